@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarrymill.llm.mixing import fit_rates
 from quarrymill.llm.near_dedup import near_dedup
+from quarrymill.llm.pieces import encode_pieces
+from quarrymill.llm.quality import score_quality
+from quarrymill.llm.toxicity import score_toxicity
 
+#: Token shares of the languages that mixing aims at.
+TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir), shingle_words=4, percent=80)
+    return near_dedup(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], with_ids=False)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fit_rates(docs, docs.select("doc_id", F.col("lang").alias("label")), TARGETS, keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_toxicity, op5_sentencepiece, op9_quality, op10_mixing)}
 ORACLES: dict[str, str] = {}

@@ -125,3 +125,21 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, dtype=U))
     return out
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, most: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, offsets and text numbers of stretches of at most ``most`` bytes.
+
+    A longer text comes in several stretches, cut after a blank where there is one.
+    """
+    for a, b in spans(offsets, most):
+        lo, hi = int(offsets[a]), int(offsets[b])
+        if hi - lo <= most:
+            yield data[lo:hi], offsets[a : b + 1] - lo, np.arange(a, b)
+            continue
+        while lo < hi:
+            to = min(hi, lo + most)
+            if to < hi and len(cut := np.flatnonzero(blank(data[lo:to]))):
+                to = lo + int(cut[-1]) + 1
+            yield data[lo:to], np.array([0, to - lo]), np.array([a])
+            lo = to

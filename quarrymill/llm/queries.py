@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.llm.archives import archive_pages
+from quarrymill.llm.language import identify
 from quarrymill.llm.mixing import fit_rates
 from quarrymill.llm.near_dedup import near_dedup
 from quarrymill.llm.pieces import encode_pieces
 from quarrymill.llm.quality import score_quality
+from quarrymill.llm.token_counts import count_tokens
 from quarrymill.llm.toxicity import score_toxicity
+from quarrymill.llm.vectors import exact_topk, near_vectors
 
 #: Token shares of the languages that mixing aims at.
 TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
@@ -24,6 +28,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048, keep=["doc_id"])
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
 
@@ -32,6 +44,18 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], with_ids=False)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"), least=1000)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
 
@@ -41,5 +65,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_rates(docs, docs.select("doc_id", F.col("lang").alias("label")), TARGETS, keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_toxicity, op5_sentencepiece, op9_quality, op10_mixing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_exact_topk, op4_toxicity, op5_sentencepiece, op6_language_id, op7_embedding_near_dedup, op8_warc, op9_quality, op10_mixing)}
+
+ORACLES = {
+    "op3_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.e, x.e) AS BIGINT) AS score
+              FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS m FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to
+        FROM g""",
+}

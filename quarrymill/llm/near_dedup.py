@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.bloom import bloom_filter, may_hold
 from quarrymill.llm.shared import by_group, connected_components, list_rows, materialize, whole_groups
 from quarrymill.llm.texthash import mix, powers, shingles, spans, text_bytes, words
 
@@ -61,12 +63,16 @@ def sketch_sets(k: int, seed: int):
     return run
 
 
-def full_sets(k: int):
-    """Batches of (id, text) to (id, set): the sorted shingle hashes as bytes."""
+def full_sets(k: int, filled: Broadcast):
+    """Batches of (id, text) to (id, set): the sorted shingle hashes as bytes.
+
+    Only ids that the Bloom filter lets through; the join that follows is exact.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = powers()
         for batch in batches:
+            batch = batch.filter(pa.array(may_hold(filled.value, batch.column(0).to_numpy())))
             data, offsets = text_bytes(batch.column(1))
             for a, b in spans(offsets):
                 h, bounds = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tables)
@@ -94,11 +100,13 @@ def candidates(least_equal: int, roots: int):
                 if b - a < 2:
                     continue
                 s = sketch[a:b]
-                same = s[:, None, :] == s[None, :, :]
-                take = np.triu(same.sum(axis=2) >= least_equal, 1)
                 earlier = min(roots, int(root[a]))
-                done = (masks[a:b, None] >> np.arange(earlier)) & 1
-                take &= ~(same[:, :, :earlier] & done[:, None, :].astype(bool)).any(axis=2)
+                done = ((masks[a:b, None] >> np.arange(earlier)) & 1).astype(bool)
+                take = np.zeros((b - a, b - a), dtype=bool)
+                for at in range(0, b - a, 64):  # bounds the memory of one comparison
+                    same = s[at : at + 64, None, :] == s[None, :, :]
+                    take[at : at + 64] = (same.sum(axis=2) >= least_equal) & ~(same[:, :, :earlier] & done[at : at + 64, None, :]).any(axis=2)
+                take = np.triu(take, 1)
                 if across[a]:
                     take &= blocks[a:b, None] != blocks[None, a:b]
                 i, j = np.nonzero(take)
@@ -165,6 +173,7 @@ def near_dedup(
     percent: int = 80,
     trees: int = 4,
     node_size: int = 128,
+    block_size: int = 128,
     least_equal: int = 38,
     max_depth: int = 12,
     seed: int = 1,
@@ -176,7 +185,6 @@ def near_dedup(
     64 sketch tokens make a candidate (38 lies four deviations below 0.8).
     """
     roots = trees * BRANCHES
-    half = node_size // 2
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = materialize(text.mapInArrow(sketch_sets(shingle_words, seed), "id long, n_shingles long, digest binary, sketch array<int>"), "sketches")
     some = sketches.filter("digest is not null and id is not null")
@@ -226,7 +234,7 @@ def near_dedup(
     for x in compared[1:]:
         nodes = nodes.unionByName(x.select(cols))
     # Small nodes are one unit; others are cut into blocks, and each pair of blocks is a unit.
-    count = F.when(F.col("dense").isNotNull(), F.ceil(F.col("n") / half)).otherwise(F.lit(1)).cast("int")
+    count = F.when(F.col("dense").isNotNull(), F.ceil(F.col("n") / block_size)).otherwise(F.lit(1)).cast("int")
     blocked = nodes.withColumn("count", count).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("count")).cast("int"))
     units = blocked.select("rep", "root", "mask", "node", "block", "sketch", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
@@ -234,8 +242,8 @@ def near_dedup(
     # A unit of two blocks has rows of both; one row's own mark is the same for all.
     paired = materialize(by_group(units, "unit").mapInArrow(candidates(least_equal, roots), "unit long, rep long, partners array<long>"), "paired")
 
-    wanted = paired.select(F.col("rep").alias("id")).distinct()
-    sets = text.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(full_sets(shingle_words), "rep long, set binary")
+    filled = docs.sparkSession.sparkContext.broadcast(bloom_filter(paired, "rep"))
+    sets = text.filter("id is not null").mapInArrow(full_sets(shingle_words, filled), "rep long, set binary").dropDuplicates(["rep"])
     links = by_group(paired.join(sets, "rep").select("unit", "rep", "partners", "set"), "unit").mapInArrow(confirm(percent), "a long, b long")
     labels = connected_components(links)
 

@@ -173,7 +173,7 @@ def near_dedup(
     percent: int = 80,
     trees: int = 4,
     node_size: int = 128,
-    block_size: int = 128,
+    block_size: int = 512,
     least_equal: int = 38,
     max_depth: int = 12,
     seed: int = 1,

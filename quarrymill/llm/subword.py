@@ -110,4 +110,7 @@ def fit(sample: DataFrame, counts: dict) -> tuple[np.ndarray, list]:
 
     if len(names) < 2:  # nothing to tell apart
         return np.zeros((BUCKETS + 1, max(1, len(names))), np.float32), names
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"]), names
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    if row is None:  # no labelled row has a text: the prior is all there is
+        return np.vstack([np.zeros((BUCKETS, len(names))), np.log(prior)[None, :]]).astype(np.float32), names
+    return pickle.loads(row["model"]), names

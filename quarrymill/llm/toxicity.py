@@ -29,18 +29,29 @@ from pyspark.sql import types as T
 from quarrymill.llm.labelled import crc_mod, sample_labelled
 
 PAD, LEVEL, CACHE = b" " * 12, 12, 400_000
+#: Length differences, in bytes, at which windows are counted.
+CUTS = (3, 4, 5, 6)
+#: Lengths of word beginnings that are tested as words are.
+STEMS = (4, 5, 6)
+# ASCII punctuation.
+EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def split(text: str | None) -> list[bytes]:
+    """Lower-cased words without the marks around them."""
+    return [w.strip(EDGES) or w for w in (text or "").encode().lower().split()]
 
 
 def contexts(texts: list[str]) -> tuple[Counter, int]:
     """For each word the number of distinct words before it: copies of a text add nothing."""
     seen: set[tuple[bytes, bytes]] = set()
     for t in texts:
-        w = t.encode().lower().split()
-        seen.update(zip([b"", *w[:-1]], w, strict=True))
+        w = split(t)
+        seen.update(zip([b"", *w], w, strict=False))
     return Counter(b for _, b in seen), max(1, len(seen))
 
 
-def dictionaries(toxic: list[str], ordinary: list[str], surprise: float = 16.0, ratio: float = 6.0, most: int = 32768) -> tuple[bytes, bytes]:
+def dictionaries(toxic: list[str], ordinary: list[str], surprise: float = 16.0, ratio: float = 6.0, most: int = 65536) -> tuple[bytes, bytes]:
     """Content of the ordinary and the toxic dictionary.
 
     The toxic one has the words that toxic texts use in far more contexts than
@@ -54,11 +65,23 @@ def dictionaries(toxic: list[str], ordinary: list[str], surprise: float = 16.0,
         part = lambda k, at: k * math.log(k / at) if k else 0.0
         return 2 * (part(x, n * e) + part(y, m * e) + part(n - x, n * (1 - e)) + part(m - y, m * (1 - e)))
 
-    marks = [(gain(k, b[w]), w) for w, k in a.items() if (k + 0.5) / (n + 1) > ratio * (b[w] + 0.5) / (m + 1)]
-    marks = [w for g, w in sorted(marks) if g > surprise]
+    def marked(x: Counter, y: Counter) -> dict[bytes, float]:
+        found = {w: gain(k, y[w]) for w, k in x.items() if (k + 0.5) / (n + 1) > ratio * (y[w] + 0.5) / (m + 1)}
+        return {w: g for w, g in found.items() if g > surprise}
+
+    strength = marked(a, b)
+    for size in STEMS:  # rare words count if many words with their beginning are toxic
+        stems = [Counter(), Counter()]
+        for to, words in zip(stems, (a, b), strict=True):
+            for w, k in words.items():
+                if len(w) > size:
+                    to[w[:size]] += k
+        sure = {w: g for w, g in marked(*stems).items() if g > 3 * surprise}
+        strength.update({w: sure[w[:size]] for w in a if w[:size] in sure and not b[w] and w not in strength})
+    marks = [w for w, _ in sorted(strength.items(), key=lambda x: (x[1], x[0]))]
     usual = [w for w, _ in sorted(b.items(), key=lambda x: (x[1], x[0]))]
-    base = b" ".join(usual)[-most:]
-    return base, base + b" " + b" ".join(marks)[-most:] + b" "
+    base = b" ".join(usual)[-most:] + PAD
+    return base, base + b"".join(b" " + w + PAD for w in marks)[-most:]  # padded as the windows are: a mark is one match
 
 
 class Differ:
@@ -77,20 +100,21 @@ class Differ:
         return np.fromiter((len(out[i]) for i in range(len(out))), dtype=np.int64, count=len(out))
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        split = [(t or "").encode().lower().split() for t in texts]
+        words = [split(t) for t in texts]
         if len(self.known) > CACHE:
             self.known = {}
-        new = list({w for ws in split for w in ws} - self.known.keys())
+        new = list({w for ws in words for w in ws} - self.known.keys())
         if new:
             windows = [b" " + w + PAD for w in new]
             self.known.update(zip(new, (self.lengths(0, windows) - self.lengths(1, windows)).tolist(), strict=True))
-        for ws in split:
+        for ws in words:
             yield np.fromiter(map(self.known.__getitem__, ws), dtype=np.int64, count=len(ws))
 
 
-def inputs(d: np.ndarray, cut: int) -> list[float]:
-    n = int((d >= cut).sum())
-    return [1.0, math.log1p(n), math.log1p(1000 * n / max(1, len(d)))]
+def inputs(d: np.ndarray) -> list[float]:
+    """How many windows reach each length difference, and what share of all."""
+    n = [int((d >= cut).sum()) for cut in CUTS]
+    return [1.0, *(math.log1p(x) for x in n), *(math.log1p(1000 * x / max(1, len(d))) for x in n)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50) -> np.ndarray:
@@ -105,23 +129,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50)
 
 
 def train(toxic: list[str], ordinary: list[str], share: float) -> dict:
-    """Dictionaries from two thirds of the rows; threshold and fit from the last third."""
+    """Threshold and fit from a third of the rows that the dictionaries haven't seen; then dictionaries of all rows."""
     t, o = len(toxic) * 2 // 3, len(ordinary) * 2 // 3
     base, marked = dictionaries(toxic[:t], ordinary[:o])
     differ = Differ(base, marked)
     found = [*differ(toxic[t:]), *differ(ordinary[o:])]
     y = np.array([1.0] * (len(toxic) - t) + [0.0] * (len(ordinary) - o))
-    best = (math.inf, 3, np.zeros(3))
-    for cut in range(2, 7):
-        x = np.array([inputs(d, cut) for d in found]).reshape(-1, 3)
-        w = logistic(x, y)
-        z = np.clip(x @ w, -30, 30)
-        loss = float(np.log1p(np.exp(np.where(y > 0, -z, z))).sum())
-        if loss < best[0]:
-            best = (loss, cut, w)
-    seen, w = y.mean() if len(y) else 0.5, best[2].copy()
+    w = logistic(np.array([inputs(d) for d in found]).reshape(len(found), -1), y)
+    seen = y.mean() if len(y) else 0.5
     w[0] += math.log(share / (1 - share)) - math.log(seen / (1 - seen))
-    return {"base": base, "marked": marked, "cut": best[1], "w": w}
+    base, marked = dictionaries(toxic, ordinary)
+    return {"base": base, "marked": marked, "w": w}
 
 
 def fit(sample: DataFrame, counts: dict) -> dict | None:
@@ -133,10 +151,13 @@ def fit(sample: DataFrame, counts: dict) -> dict | None:
         rows = sorted((i, t or "", c) for b in batches for i, t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
         rng = np.random.default_rng(5)
         rows = [rows[i] for i in rng.permutation(len(rows))]
+        if len({c for _, _, c in rows}) < 2:  # the labelled rows' texts are missing
+            return
         model = train([t for _, t, c in rows if c == 1], [t for _, t, c in rows if c == 0], share)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else None
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, folds: int = 3, held: int = 1, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -159,7 +180,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, fo
             score = np.zeros(len(texts))
             for at in range(0, len(texts) if m else 0, 128):
                 for i, d in enumerate(differ(texts.slice(at, 128).to_pylist()), at):
-                    score[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(inputs(d, m["cut"]), m["w"]))))))
+                    score[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(inputs(d), m["w"]))))))
             columns = [batch.column(i) for i in range(len(cols))] + [batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*cols, "held_out", "score", "predicted"])
 

@@ -199,5 +199,5 @@ def test_archives(spark):
 
 
 def test_old_arc_url_with_blanks():
-    data = b"filedesc://x 0.0.0.0 20000101000000 text/plain 78\n1 0 A\nURL IP-address Archive-date Content-type Archive-length\n" + b"\n" * 14 + b"http://a b c 1.2.3.4 20010203040506 text/html 3\nabc\n"
+    data = b"filedesc://x 0.0.0.0 20000101000000 text/plain 76\n1 0 A\nURL IP-address Archive-date Content-type Archive-length\n" + b"\n" * 14 + b"http://a b c 1.2.3.4 20010203040506 text/html 3\nabc\n"
     assert [(f["URL"], f["Archive-date"], c) for f, c in archives.parse_arc(data)] == [("http://a%20b%20c", "20010203040506", b"abc")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    g = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 

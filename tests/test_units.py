@@ -47,5 +47,5 @@ def test_stream_equals_batch(spark):
     q = traffic.windows(stream).writeStream.outputMode("complete").format("memory").queryName("traffic").start()
     q.processAllAvailable()
     q.stop()
-    key = lambda df: {(r["window_start"], r["event_type"], r["n"]) for r in df.collect()}
+    key = lambda df: {tuple(r) for r in df.select(F.col("window_start").cast("string"), "event_type", "n").collect()}
     assert key(spark.table("traffic")) == key(O.traffic(batch))

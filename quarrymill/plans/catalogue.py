@@ -365,11 +365,11 @@ def bm25_topk(spark, d):
 L2 = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6)"
 
 
-@query(f"SELECT a.vec_id AS ordinal, b.vec_id AS query_id, {L2} AS distance FROM embeddings a JOIN embeddings b ON b.vec_id < 5")
+@query(f"SELECT a.vec_id AS ordinal, b.vec_id AS query_id, {L2} AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def l2sq(spark, d):
     v = vectors(spark, d)
-    q = v.filter("ordinal < 5").select(F.col("ordinal").alias("query_id"), F.col("vector").alias("qv"))
-    return v.crossJoin(F.broadcast(q)).select("ordinal", "query_id", F.round(R.distance(F.col("vector"), F.col("qv")), 6).alias("distance"))
+    q = v.select(F.col("ordinal").alias("query_id"), F.col("vector").alias("qv"))
+    return v.join(q, F.col("query_id") == F.col("ordinal") + 1).select("ordinal", "query_id", F.round(R.distance(F.col("vector"), F.col("qv")), 6).alias("distance"))
 
 
 DENSE = f"dn AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, ordinal) AS INTEGER) AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS ordinal, {L2} AS distance FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= 100 AND distance < 1.3)"
@@ -381,12 +381,14 @@ def dense_topk(spark, d):
     return R.dense_topk(q, vectors(spark, d), 100, 1.3).select("query_id", "ordinal", "distance", "rank")
 
 
-@query(f"""WITH q AS (SELECT item_id, list_distinct({tok_sql('text')}) AS q FROM benchmark), t AS (SELECT doc_id, list_distinct({tok_sql('text')}) AS t FROM documents WHERE doc_id < 50)
-    SELECT item_id, doc_id, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, t)) / len(q)::DOUBLE, 6) ELSE 0 END AS ratio FROM q, t""")
+@query(f"""WITH q AS (SELECT item_id, list_distinct({tok_sql('text')}) AS q FROM benchmark), a AS (SELECT item_id, len(q) AS n, unnest(q) AS term FROM q), t AS (SELECT doc_id, unnest(list_distinct({tok_sql('text')})) AS term FROM documents)
+    SELECT item_id, doc_id, round(count(*) / any_value(n)::DOUBLE, 6) AS ratio FROM a JOIN t USING (term) GROUP BY item_id, doc_id""")
 def overlap_ratio(spark, d):
+    """Share of a query's terms in each document that has one of them."""
     q = table(spark, d, "benchmark").select("item_id", F.array_distinct(X.tokens(F.col("text"))).alias("q"))
-    t = table(spark, d, "documents").filter("doc_id < 50").select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("t"))
-    return q.crossJoin(F.broadcast(t)).select("item_id", "doc_id", F.round(X.overlap(F.col("q"), F.col("t")), 6).alias("ratio"))
+    terms = q.select("item_id", F.size("q").alias("n"), F.explode("q").alias("term"))
+    t = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    return terms.join(t, "term").groupBy("item_id", "doc_id").agg(F.round(F.count("*") / F.any_value("n"), 6).alias("ratio"))
 
 
 MATCH = literal("k long, q string, t string", (1, "sve perf", "sve2 notes"), (2, "sve2", "sve only"), (3, "a b", "b c"), (4, "sme sve", "sme sve2 sme2"), (5, "x", ""))
@@ -525,12 +527,10 @@ def chunk_stats(spark, d):
     return O.chunk_stats(c)
 
 
-@query("WITH a AS (SELECT doc_id AS name, md5(text) AS x FROM documents WHERE doc_id % 10 <> 0), b AS (SELECT doc_id AS name, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS y FROM documents WHERE doc_id % 11 <> 0) SELECT coalesce(a.name, b.name) AS name, CASE WHEN y IS NULL THEN 'missing' WHEN x IS NULL THEN 'unexpected' WHEN x <> y THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b ON a.name = b.name")
+@query("WITH a AS (SELECT CAST(s_suppkey AS BIGINT) AS name, md5(CAST(s_nationkey AS VARCHAR)) AS x FROM supplier), b AS (SELECT CAST(c_custkey AS BIGINT) AS name, md5(CAST(c_nationkey AS VARCHAR)) AS y FROM customer) SELECT coalesce(a.name, b.name) AS name, CASE WHEN y IS NULL THEN 'missing' WHEN x IS NULL THEN 'unexpected' WHEN x <> y THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b ON a.name = b.name")
 def manifest_diff(spark, d):
-    docs = table(spark, d, "documents")
-    digest = lambda c: F.md5(c.cast("binary")).alias("digest")
-    other = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return O.manifest_diff(docs.filter("doc_id % 10 <> 0").select(F.col("doc_id").alias("name"), digest(F.col("text"))), docs.filter("doc_id % 11 <> 0").select(F.col("doc_id").alias("name"), digest(other)))
+    listed = lambda t, p, key: table(spark, d, t).select(F.col(f"{p}_{key}").cast("long").alias("name"), F.md5(F.col(f"{p}_nationkey").cast("string").cast("binary")).alias("digest"))
+    return O.manifest_diff(listed("supplier", "s", "suppkey"), listed("customer", "c", "custkey"))
 
 
 ARCHES = literal("k long, m string", (1, "amd64,arm64"), (2, "amd64,amd64,unknown"), (3, ""), (4, "s390x"))

@@ -7,11 +7,11 @@ of blocks. A pair is counted in the first cell that it shares. Components of the
 links give the groups.
 
 **Exact search.** Components are quantised to integers. Queries and vectors are
-dealt into blocks; each pair of blocks has an impact-ordered index: per
-dimension the postings by value. For a query, segments of postings are taken
-in order of descending impact. After each, bounds on every vector's score tell
-which may still be among the best; only when few are left is the walk over, and
-those are scored exactly.
+dealt into blocks; each pair of blocks has an impact-ordered index: the postings
+(components) in segments by descending quantised impact. A segment is added to
+the scores of all queries of the block at a time. After each, bounds on every
+vector's score tell which may still be among the best; only when few are left is
+the walk over, and those are scored exactly.
 
 Defined cases: a vector that is null, holds a null or non-finite component, or
 (near duplicates) has no length takes no part: it is linked with nothing, and
@@ -154,57 +154,53 @@ def near_vectors(table: DataFrame, least: float = 0.95, probes: int = 4, cell_si
     return out.select(F.col("id").alias(id_col), F.coalesce(F.when(F.col("id").isNotNull(), F.col("n_links")), F.lit(0)).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def impact_search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, levels: int = 8, few: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows and scores of the ``k`` best of ``x`` for each query, ties to smaller ids.
+def impact_segments(x: np.ndarray, share: float = 0.3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Posting segments of a block by descending quantised impact, and the length that each vector has left after each.
 
-    ``own`` holds the queries' ids, which are left out of their answers.
+    A component's impact is quantised to its power of two. Segments in front of
+    the first that leaves most vectors less than ``share`` of their length can
+    prove nothing yet, so they are taken together.
     """
-    m, dims = x.shape
-    order = np.argsort(x, axis=0, kind="stable")
-    values = np.take_along_axis(x, order, axis=0)  # postings by value, per dimension
-    rising = values.T.copy()
-    for query, mine in zip(q, own, strict=True):
-        ends = np.where(query >= 0, values[-1], values[0])  # the value of highest impact
-        top, low = query * ends, query * np.where(query >= 0, values[0], values[-1])
-        allowed = ids != mine
-        score, seen = np.zeros(m), np.zeros((m, dims), dtype=bool)
-        taken = np.zeros(dims, dtype=np.int64)
-        most, left = max(1.0, float(np.abs(top).max(initial=0))), np.flatnonzero(allowed)
-        live = np.flatnonzero(query)
-        seen[:, query == 0] = True
-        for level in range(levels - 1, -levels - 1, -1):
-            bar = most * level / levels if level > -levels else -np.inf
-            rows, dim = [], []
-            for d in live.tolist():
-                if query[d] > 0:
-                    n = m - int(np.searchsorted(rising[d], bar / query[d], side="left"))
-                    part = order[m - n : m - taken[d], d] if n > taken[d] else order[:0, d]
-                else:
-                    n = int(np.searchsorted(rising[d], bar / query[d], side="right"))
-                    part = order[taken[d] : n, d] if n > taken[d] else order[:0, d]
-                if len(part):
-                    rows.append(part)
-                    dim.append(np.full(len(part), d))
-                    taken[d] = n
-            if rows:
-                r, c = np.concatenate(rows), np.concatenate(dim)
-                score += np.bincount(r, x[r, c] * query[c], m)
-                seen[r, c] = True
-            at = np.clip(np.where(query > 0, m - 1 - taken, taken), 0, m - 1)
-            rest = np.where(taken < m, query * values[at, np.arange(dims)], low)  # the most that an unseen posting adds
-            unseen = (~seen).astype(np.float64)
-            floor, ceiling = score + unseen @ low, score + unseen @ rest
-            if allowed.sum() > k:
-                bound = np.partition(floor[allowed], -k)[-k]
-                left = np.flatnonzero(allowed & (ceiling >= bound))
-            if len(left) <= max(few, k):
+    size, length, segments, above = np.abs(x), np.linalg.norm(x, axis=1), [], np.inf
+    bar = float(size.max(initial=0.0))
+    while True:
+        bar /= 2
+        left = np.linalg.norm(np.where(size <= bar, x, 0.0), axis=1)
+        if bar < 1 or np.mean(left <= share * length) >= 0.5:
+            segments.append((np.where((size > bar) & (size <= above), x, 0.0), left))
+            above = bar
+        if bar < 1:  # whole numbers: nothing is left
+            return segments
+
+
+def impact_search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, few: int = 32, together: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query ids, ids and scores of the ``k`` best of ``x`` for each query, ties to smaller ids.
+
+    ``own`` holds the queries' ids, which are left out of their answers. What is
+    unseen of a vector adds at most its length times the query's. The walk ends
+    once few vectors may still be among the best, or with the last segment.
+    """
+    segments = impact_segments(x)
+    for at in range(0, len(q), together):
+        ask, mine = q[at : at + together], own[at : at + together]
+        length = np.linalg.norm(ask, axis=1)[:, None] * (1 + 1e-9)
+        score = np.where(ids[None, :] == mine[:, None], -np.inf, 0.0)
+        for segment, left in segments:
+            score += ask @ segment.T
+            slack = length * left
+            bound = np.partition(score - slack, -k, axis=1)[:, -k] if len(x) > k else np.full(len(ask), -np.inf)
+            may = (score + slack >= bound[:, None]) & (score > -np.inf)
+            if may.sum() <= max(few, k) * len(ask):
                 break
-        exact = x[left] @ query
-        best = np.lexsort((ids[left], -exact))[:k]
-        yield left[best], exact[best]
+        i, j = np.nonzero(may)
+        exact = np.einsum("ij,ij->i", ask[i], x[j]) if left.any() else score[i, j]
+        order = np.lexsort((ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        best = np.arange(len(i)) - np.searchsorted(i, np.arange(len(ask)))[i] < k
+        yield mine[i[best]], ids[j[best]], exact[best]
 
 
-def exact_topk(table: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, block: int = 2048, query_block: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def exact_topk(table: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, block: int = 4096, query_block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` highest integer inner products for each query: ``query_id, rank, vec_id, score``.
 
     Queries are the rows whose id is divisible by ``every``; all other rows
@@ -233,7 +229,7 @@ def exact_topk(table: DataFrame, k: int = 5, every: int = 50, scale: float = 256
                 asks = query[a:b]
                 x, xi, q, qi = v[a:b][~asks], ids[a:b][~asks], v[a:b][asks], ids[a:b][asks]
                 if len(x) and len(q):
-                    out += [(np.full(len(r), i), xi[r], s) for i, (r, s) in zip(qi, impact_search(x, xi, q, qi, k), strict=True)]
+                    out += impact_search(x, xi, q, qi, k)
             if out:
                 columns = [np.concatenate([o[c] for o in out]).astype(np.int64) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])

@@ -21,6 +21,7 @@ SUPPORT = "available availability capable capabilities capability compatible com
 PROVIDER = "autopilot compute engine gcp gke google kubernetes".split()
 PROVIDER_TYPE = "google cloud documentation"
 COMPILER = "compiler compilers gcc llvm clang".split()
+LINK_STOPWORDS = "a an and for here in of or the this to".split()
 CAPABILITY_PREFIXES = ["sme", "sve"]
 EXCLUDED_NAMES = "venv .venv env ENV virtualenv node_modules __pycache__ .pytest_cache .mypy_cache .tox build dist .git .svn .hg .vscode .idea .eclipse error_logging.yaml target out .cache".split()
 EXCLUDED_SUFFIXES = [".egg-info"]

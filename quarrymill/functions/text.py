@@ -113,6 +113,11 @@ def phrase_hits(terms: Column, n: int, text: Column) -> Column:
     return F.size(F.filter(ngrams(terms, n), lambda p: text.contains(p)))
 
 
+def phrase_bonus(terms: Column, text: Column) -> Column:
+    """For pairs and triples of neighbouring terms that the lower-cased text holds."""
+    return F.least(F.lit(0.40), 0.10 * phrase_hits(terms, 2, text) + 0.16 * phrase_hits(terms, 3, text))
+
+
 def support_score(q: Column, d: Column, text: Column) -> Column:
     """Evidence that a document speaks of support for the asked capability."""
     capability = F.filter(q, lambda t: t.rlike("^(sme|sve)[0-9]*$"))

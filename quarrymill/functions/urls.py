@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarrymill import config as C
+from quarrymill.functions import text as X
+
 
 def host(u: Column) -> Column:
     return F.lower(F.try_parse_url(u, F.lit("HOST")))
@@ -60,3 +63,24 @@ def path_parts(u: Column) -> Column:
 
 def is_root(u: Column, depth: int) -> Column:
     return F.size(path_parts(u)) == depth
+
+
+def is_meaningful_link(u: Column, label: Column) -> Column:
+    """A web address with a fragment, or with at least two telling words in its label."""
+    words = X.without(X.tokens(label), C.LINK_STOPWORDS)
+    return F.coalesce(u.rlike("^https?:"), F.lit(False)) & (F.coalesce(u, F.lit("")).rlike("#.") | (F.size(words) >= 2))
+
+
+def product_of(title: Column, u: Column, doc_type: Column, keywords: Column, rules: list[tuple[str, list[str], list[str], list[str]]]) -> Column:
+    """The first product whose words, domains or parts of a url are met, else the document type.
+
+    ``rules`` are ``(product, words, domains, url parts)``, the most telling first.
+    """
+    said, kind = F.lower(F.concat_ws(" ", title, u, doc_type, keywords)), X.clean(doc_type)
+    out = F.when(kind != "", kind).otherwise("Documentation")
+    for product, words, domains, parts in reversed(rules):
+        met = F.lit(False)
+        for one in [*(said.contains(w) for w in words), *(in_domain(u, d) for d in domains), *(F.coalesce(u, F.lit("")).contains(p) for p in parts)]:
+            met = met | one
+        out = F.when(met, product).otherwise(out)
+    return out

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrymill import config as C
 from quarrymill.functions import text as X
+from quarrymill.functions import urls as U
 
 
 def postings(corpus: DataFrame, text: str = "search_text") -> DataFrame:
@@ -135,7 +136,7 @@ def rerank(queries: DataFrame, meta: DataFrame, fused: DataFrame, root_host: str
     few = F.size(asked) <= 3
     terms = F.when(F.size("direct_terms") > 0, F.col("direct_terms")).otherwise(F.sort_array(asked))
     words = F.lower(F.concat_ws(" ", m["title"], m["urls"]))
-    phrase = F.least(F.lit(0.40), 0.10 * X.phrase_hits(terms, 2, words) + 0.16 * X.phrase_hits(terms, 3, words))
+    phrase = X.phrase_bonus(terms, words)
     guide = F.array_contains(tok, F.lit("guide")) & F.array_contains("title_url", F.lit("guide"))
     match = 0.35 * o["title_url"] + 0.15 * o["links"] + phrase + flag(o["title_url"] >= 0.75, 0.20) + flag(few & (o["title_url"] >= 0.60), 0.15) + flag(guide, 0.12)
     shallow = flag((F.size(direct) > 0) & (o["title_url"] == 0) & (o["heads"] < 0.5) & (F.size(F.array_intersect(F.array_except(tok, direct), F.array_union("titles", "heads"))) >= 2), 0.12)
@@ -181,6 +182,12 @@ def search(queries: DataFrame, meta: DataFrame, vectors: DataFrame, k: int | Non
     return ranked(dedup_urls(best), d["k"], F.desc("rerank"), F.col("ord"))
 
 
+def decorate(results: DataFrame, source: str, domain: str, note: str, disclaimer: str) -> DataFrame:
+    """Tagged urls, a note for rows that have one, and a disclaimer for those of the domain."""
+    has = F.coalesce("url", F.lit("")) != ""
+    return results.withColumns({"url": U.tag_utm(F.col("url"), source), "url_note": F.when(has, note), "disclaimer": F.when(U.in_domain(F.col("url"), domain), disclaimer)})
+
+
 def eval_cases(results: DataFrame, expected: DataFrame) -> DataFrame:
     """Each question's first rank at which an expected document stands, or null."""
     hit = results.join(expected, ["query_id", "ordinal"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))

@@ -284,6 +284,37 @@ def resolve_links(spark, d):
     return l.select("page_id", link.alias("link"))
 
 
+LABELLED_LINK = '<a href="([^"]*)"[^>]*>([^<]*)</a>'
+LABELS = literal("k long, url string, label string", (1, "https://a.example.org/x", "Read the guide to tuning"), (2, "https://a.example.org/x#part", "here"), (3, "https://a.example.org/x", "this"), (4, "mailto:x@example.org", "Write to us now"), (5, None, "two words"), (6, "https://a.example.org/#", ""))
+
+
+@query(f"""WITH l AS (SELECT page_id + 1000 AS k, unnest(regexp_extract_all(html, '{LABELLED_LINK}', 1)) AS href, unnest(regexp_extract_all(html, '{LABELLED_LINK}', 2)) AS label, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS site FROM pages),
+    a AS (SELECT k, CASE WHEN starts_with(href, '/') THEN site || href ELSE href END AS url, label FROM l UNION ALL SELECT * FROM {LABELS[1]})
+    SELECT k, url, label, coalesce(regexp_matches(url, '^https?:'), false) AND (regexp_matches(coalesce(url, ''), '#.') OR len({salient_sql('label', C.LINK_STOPWORDS)}) >= 2) AS meaningful FROM a""")
+def meaningful_links(spark, d):
+    both = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(LABELLED_LINK), F.lit(i)).alias(n) for i, n in ((1, "href"), (2, "label"))))
+    l = table(spark, d, "pages").select((F.col("page_id") + 1000).alias("k"), F.regexp_extract("url", "^(https?://[^/?#]*)", 1).alias("site"), F.inline(both))
+    l = l.select("k", F.when(F.col("href").startswith("/"), F.concat("site", "href")).otherwise(F.col("href")).alias("url"), "label").unionByName(LABELS[0](spark))
+    return l.withColumn("meaningful", U.is_meaningful_link(F.col("url"), F.col("label")))
+
+
+PRODUCTS = [("Network", ["thention"], ["example.net"], []), ("Spanish", [], [], ["/es/"])]
+
+
+@query(r"""WITH p AS (SELECT page_id, url, lower(concat_ws(' ', regexp_extract(html, '<title>([^<]*)', 1), url, '', '')) AS said FROM pages)
+    SELECT page_id, CASE WHEN contains(said, 'thention') OR regexp_matches(lower(url), '^https?://([^/]*\.)?example\.net([:/?#]|$)') THEN 'Network' WHEN contains(url, '/es/') THEN 'Spanish' ELSE 'Documentation' END AS product FROM p""")
+def derive_product(spark, d):
+    none = F.lit("")
+    return table(spark, d, "pages").select("page_id", U.product_of(F.regexp_extract("html", "<title>([^<]*)", 1), F.col("url"), none, none, PRODUCTS).alias("product"))
+
+
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([^?#]*)', 1) AS f, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q, regexp_extract(url, '(#.*)$', 1) AS h FROM pages)
+    SELECT page_id, f || '?' || array_to_string(list_append(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^utm_source(=|$)')), 'utm_source=kb'), '&') || h AS url,
+        'Keep the address as it is.' AS url_note, CASE WHEN regexp_matches(lower(url), '^https?://([^/]*\\.)?example\\.org([:/?#]|$)') THEN 'Check the source before use.' END AS disclaimer FROM p""")
+def response_decorate(spark, d):
+    return R.decorate(table(spark, d, "pages").select("page_id", "url"), "kb", "example.org", "Keep the address as it is.", "Check the source before use.")
+
+
 # ---- data formats
 
 
@@ -399,6 +430,40 @@ def token_match(spark, d):
     return MATCH[0](spark).select("k", X.match_count(X.tokens(F.col("q")), X.tokens(F.col("t"))).alias("n"))
 
 
+PHRASES = literal("k long, q string, t string", (1, "tune memory cache lines", "How to tune memory cache lines"), (2, "memory cache", "a memory cached"), (3, "one", "one"), (4, "a b c d e f g h j k", "x b c d e f g h j k"), (5, "", "x"))
+
+
+@query(f"WITH m AS (SELECT k, lower(t) AS s, {salient_sql('q', C.DIRECT_STOPWORDS)} AS w FROM {PHRASES[1]}) SELECT k, round(least(0.40::DOUBLE, 0.10::DOUBLE * len([i for i in range(1, len(w)) if contains(s, array_to_string(w[i:i+1], ' '))]) + 0.16::DOUBLE * len([i for i in range(1, len(w) - 1) if contains(s, array_to_string(w[i:i+2], ' '))])), 6) AS bonus FROM m")
+def phrase_bonus(spark, d):
+    terms = X.without(X.tokens(F.col("q")), C.DIRECT_STOPWORDS)
+    return PHRASES[0](spark).select("k", F.round(X.phrase_bonus(terms, F.lower("t")), 6).alias("bonus"))
+
+
+EVIDENCE = literal("k long, q string, t string", (1, "which devices support sve2", "sve2 is supported by devices and servers"), (2, "sve support", "It does not support sve2 hardware"), (3, "sve2 support", "sve hardware"), (4, "plain words", "sve2 support"), (5, "sme capability sve", "sme2 sve capability device"))
+
+
+@query(f"""WITH m AS (SELECT k, list_distinct({tok_sql('q')}) AS q, {tok_sql('t')} AS d, t FROM {EVIDENCE[1]}),
+    n AS (SELECT *, len(list_filter(q, lambda x: regexp_full_match(x, '(sme|sve)[0-9]*') AND (list_contains(d, x) OR (x IN ('sme', 'sve') AND len(list_filter(d, lambda y: regexp_full_match(y, x || '[0-9]+'))) > 0)))) AS hits FROM m)
+    SELECT k, round(CASE WHEN list_has_any(q, {stop_list(C.SUPPORT)}) AND hits > 0 AND list_has_any(d, {stop_list(C.SUPPORT)}) THEN 0.12::DOUBLE * hits + CASE WHEN list_has_any(d, ['device', 'devices']) THEN 0.20 ELSE 0 END + CASE WHEN list_has_any(d, ['server', 'servers']) THEN 0.10 ELSE 0 END
+        + CASE WHEN list_has_any(d, ['support', 'supported', 'supporting', 'supports']) THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i){'|'.join(C.NEGATIVE_SUPPORT).replace(chr(39), chr(39) * 2)}') THEN 0.25 ELSE 0 END ELSE 0 END, 6) AS score FROM n""")
+def support_score(spark, d):
+    score = X.support_score(F.array_distinct(X.tokens(F.col("q"))), X.tokens(F.col("t")), F.col("t"))
+    return EVIDENCE[0](spark).select("k", F.round(score, 6).alias("score"))
+
+
+KINDS = literal("k long, q string, t string, d string", (1, "tune latency", "x", "tuning guide"), (2, "tune latency", "x", "solution brief"), (3, "gcc guide", "gcc guide", "tutorial"), (4, "llvm guide", "x", "tuning guide"), (5, "deploy steps", "x", "reference architecture"), (6, "deploy", "x", "brief"), (7, "how to install", "x", "install guide"), (8, "words", "x", "tutorial"))
+
+
+@query(f"""WITH m AS (SELECT k, {tok_sql('q')} AS q, {tok_sql('t')} AS t, d FROM {KINDS[1]}), f AS (SELECT *, list_has_any(q, {stop_list(C.COMPILER)}) AND list_contains(q, 'guide') AS guide, list_has_any(t, {stop_list(C.COMPILER)}) AS named FROM m)
+    SELECT k, round((CASE WHEN NOT list_has_any(q, {stop_list(C.TUNING)}) OR guide THEN 0 WHEN d = 'tuning guide' THEN 0.30 WHEN contains(d, 'brief') THEN -0.12 ELSE 0 END
+        + CASE WHEN NOT guide THEN 0 WHEN d = 'tutorial' AND named AND list_contains(t, 'guide') THEN 0.35 WHEN d = 'tuning guide' AND NOT named THEN -0.12 ELSE 0 END
+        + CASE WHEN NOT list_has_any(q, {stop_list(C.REFERENCE_ARCHITECTURE)}) THEN 0 WHEN d = 'reference architecture' THEN 0.25 WHEN contains(d, 'brief') THEN -0.05 ELSE 0 END
+        + CASE WHEN list_has_any(q, {stop_list(C.TUTORIAL)}) AND d IN ('tutorial', 'install guide', 'learning path', 'learning paths') THEN 0.10 ELSE 0 END)::DOUBLE, 6) AS bonus FROM f""")
+def doc_type_bonus(spark, d):
+    bonus = R.doc_type_bonus(X.tokens(F.col("q")), X.tokens(F.col("t")), F.col("d"))
+    return KINDS[0](spark).select("k", F.round(bonus, 6).alias("bonus"))
+
+
 INTENT = {"tuning": C.TUNING, "architecture": C.REFERENCE_ARCHITECTURE, "tutorial": C.TUTORIAL, "support": C.SUPPORT}
 ASKED = literal("k long, q string", (1, "how to tune latency"), (2, "deploy reference architecture"), (3, "is sve2 supported"), (4, "plain words"), (5, ""))
 
@@ -597,6 +662,13 @@ def markdown_sections(spark, d):
     return S.sections(docs.select(F.col("doc_id").alias("id"), F.lit("markdown").alias("format"), F.concat(F.lit("# "), "source", F.lit("\n\n"), "text").alias("content")))
 
 
+@query()
+def paged_sections(spark, d):
+    """Documents as extracted text with page breaks."""
+    docs = table(spark, d, "documents")
+    return S.sections(docs.select(F.col("doc_id").alias("id"), F.lit("pdf").alias("format"), F.col("text").alias("content")))
+
+
 @query()
 def document_chunks(spark, d):
     """Sections cut at sentences and packed: one row per chunk with its size and place."""

@@ -1,4 +1,4 @@
-"""Documents to sections: HTML, Markdown and notebooks, one row per section.
+"""Documents to sections: HTML, Markdown, notebooks, slides and paged text, one row per section.
 
 Parsing is sequential within a document, so it runs in Python over Arrow batches
 (``mapInArrow``); documents are spread by their partitions and no document meets
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.sources.slides import page_sections, slide_sections
+
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 DROPPED = set("script style noscript template svg nav header footer aside form".split())
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
@@ -29,7 +31,10 @@ def format_of(content: Column, url: Column) -> Column:
 
 
 class Blocks(HTMLParser):
-    """Outermost blocks of a page, in order, with the tag of each; dropped parts are skipped."""
+    """Outermost blocks of a page, in order, with the tag of each; dropped parts are skipped.
+
+    The root is the first main part, article or content; it holds a run of the blocks.
+    """
 
     def __init__(self):
         super().__init__()
@@ -37,14 +42,25 @@ class Blocks(HTMLParser):
         self.found: list[tuple[str, list[str], str | None]] = []
         self.open: int | None = None
         self.title: list[str] = []
+        self.loose: list[str] = []
+        self.roots: dict[int, list] = {}  # by preference: depth, first block, end
+
+    def blocks(self) -> list[tuple[str, list[str], str | None]]:
+        _, at, to = self.roots[min(self.roots)] if self.roots else (0, 0, None)
+        return self.found[at:to]
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             return
         self.stack.append(tag)
+        attrs = dict(attrs)
+        classes = (attrs.get("class") or "").split()
+        for rank, met in enumerate((tag == "main", tag == "article", attrs.get("role") == "main", "article" in classes, "content" in classes, tag == "body")):
+            if met and not self.dropped():
+                self.roots.setdefault(rank, [len(self.stack), len(self.found), None])
         if tag in BLOCKS and self.open is None and not self.dropped():
             self.open = len(self.stack)
-            self.found.append((tag, [], dict(attrs).get("id")))
+            self.found.append((tag, [], attrs.get("id")))
 
     def handle_endtag(self, tag):
         if tag in self.stack:
@@ -52,6 +68,9 @@ class Blocks(HTMLParser):
                 pass
             if self.open is not None and len(self.stack) < self.open:
                 self.open = None
+            for root in self.roots.values():
+                if root[2] is None and len(self.stack) < root[0]:
+                    root[2] = len(self.found)
 
     def dropped(self) -> bool:
         return any(t in DROPPED for t in self.stack)
@@ -59,8 +78,8 @@ class Blocks(HTMLParser):
     def handle_data(self, data):
         if "title" in self.stack:
             self.title.append(data)
-        elif self.open is not None and data.strip() and not self.dropped():
-            self.found[-1][1].append(data.strip())
+        elif data.strip() and not self.dropped():
+            (self.loose if self.open is None else self.found[-1][1]).append(data.strip())
 
 
 def html_sections(text: str) -> list[tuple[list[str], str]]:
@@ -70,7 +89,7 @@ def html_sections(text: str) -> list[tuple[list[str], str]]:
     p.close()
     path: list[tuple[int, str]] = []
     out: list[tuple[list[str], list[str]]] = [([], [])]
-    for tag, words, _ in p.found:
+    for tag, words, _ in p.blocks():
         body = re.sub(r"\s+", " ", ("\n" if tag == "pre" else " ").join(words)).strip()
         if not body:
             continue
@@ -79,7 +98,8 @@ def html_sections(text: str) -> list[tuple[list[str], str]]:
             out.append(([h for _, h in path], []))
         else:
             out[-1][1].append(f"- {body}" if tag == "li" else body)
-    return [(h, "\n\n".join(b)) for h, b in out if b]
+    found = [(h, "\n\n".join(b)) for h, b in out if b]
+    return found or ([([], re.sub(r"\s+", " ", " ".join(p.loose)))] if p.loose else [])
 
 
 def markdown_sections(text: str) -> list[tuple[list[str], str]]:
@@ -127,7 +147,15 @@ def notebook_markdown(text: str) -> str:
     return "\n\n".join(out)
 
 
-PARSERS = {"html": html_sections, "markdown": markdown_sections, "notebook": lambda t: markdown_sections(notebook_markdown(t))}
+PARSERS = {"html": html_sections, "markdown": markdown_sections, "notebook": lambda t: markdown_sections(notebook_markdown(t)), "pdf": page_sections, "pptx": slide_sections}
+
+
+def readable(form: str, content: str | bytes | None) -> str | bytes | None:
+    """Bytes for slides, text for all others; bytes that are no UTF-8 are left out, and raw PDF has no text."""
+    if form == "pptx":
+        return content if isinstance(content, bytes) else None
+    text = content.decode("utf-8", "ignore") if isinstance(content, bytes) else content or ""
+    return "" if text.startswith("%PDF-") else text
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -136,7 +164,7 @@ def sections(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                rows = [(i, n, " > ".join(h), t) for i, f, c in zip(*(b.column(k).slice(at, 200).to_pylist() for k in range(3)), strict=True) if f in PARSERS for n, (h, t) in enumerate(PARSERS[f](c))]
+                rows = [(i, n, " > ".join(h), t) for i, f, c in zip(*(b.column(k).slice(at, 200).to_pylist() for k in range(3)), strict=True) if f in PARSERS for n, (h, t) in enumerate(PARSERS[f](readable(f, c)))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], ["id", "n", "heading_path", "text"])
 
     return docs.select("id", "format", "content").mapInArrow(run, "id long, n int, heading_path string, text string")

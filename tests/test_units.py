@@ -1,10 +1,14 @@
 """Literals for parsers, reranking and the streaming twins."""
 
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
 from quarrymill.operators import operations as O
 from quarrymill.operators import retrieval as R
 from quarrymill.sources import sections as S
+from quarrymill.sources import slides
 from quarrymill.streaming import traffic
 
 
@@ -15,6 +19,43 @@ def test_html_sections():
     assert S.html_sections("") == []
 
 
+def test_html_root_and_loose_text():
+    page = "<body><p>around</p><div class='content'><p>inner</p></div><article><h1>A</h1><p>x</p></article><p>after</p></body>"
+    assert S.html_sections(page) == [(["A"], "x")]
+    assert S.html_sections(page.replace("article", "section")) == [([], "inner")]
+    assert S.html_sections("<div>only  text</div>") == [([], "only text")]
+
+
+def deck(order, notes=True):
+    a, r = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    slide = lambda *lines: f'<s xmlns:a="{a}">' + "".join(f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>" for x in lines) + "</s>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("ppt/slides/slide1.xml", slide("First", "Click to add title", "3 / 9"))
+        z.writestr("ppt/slides/slide2.xml", slide("Second", "more"))
+        z.writestr("ppt/slides/slide3.xml", "broken <")
+        if order:
+            z.writestr("ppt/presentation.xml", f'<p xmlns:r="{r}"><i r:id="b"/><i r:id="a"/><i r:id="zz"/></p>')
+            z.writestr("ppt/_rels/presentation.xml.rels", '<R><Relationship Id="a" Type="t/slide" Target="slides/slide1.xml"/><Relationship Id="b" Type="t/slide" Target="/ppt/slides/slide2.xml"/></R>')
+        if notes:
+            z.writestr("ppt/slides/_rels/slide1.xml.rels", '<R><Relationship Id="n" Type="t/notesSlide" Target="../notesSlides/notesSlide1.xml"/></R>')
+            z.writestr("ppt/notesSlides/notesSlide1.xml", slide("Say this"))
+    return out.getvalue()
+
+
+def test_slides(spark):
+    assert slides.slide_sections(deck(True)) == [(["Slide 1"], "Second\n\nmore"), (["Slide 2"], "First\n\nSpeaker notes:\nSay this")]
+    assert slides.slide_sections(deck(False, False)) == [(["Slide 1"], "First"), (["Slide 2"], "Second\n\nmore")]
+    assert slides.slide_sections(b"no deck") == slides.slide_sections(None) == []
+    df = spark.createDataFrame([(1, "pptx", bytearray(deck(True))), (2, "markdown", bytearray(b"# A\n\n\xffb")), (3, "pdf", bytearray(b"%PDF-1.7")), (4, "pptx", None)], "id long, format string, content binary")
+    assert [tuple(r)[:4:2] for r in S.sections(df).orderBy("id", "n").collect()] == [(1, "Slide 1"), (1, "Slide 2"), (2, "A")]
+
+
+def test_pages():
+    assert slides.page_sections("My title\n\nOVERVIEW\n\nSome text is here.\fmore text follows\n\n12") == [(["My title", "OVERVIEW"], "Some text is here."), (["My title", "Page 2"], "more text follows")]
+    assert slides.page_sections("") == slides.page_sections(None) == []
+
+
 def test_markdown_sections():
     text = "# T {#t}\npara\n```\n# no heading\n```\n## U\nmore"
     assert [h for h, _ in S.markdown_sections(text)] == [["T"], ["T", "U"]]

@@ -3,7 +3,7 @@
 # Limits and weights.
 K, RRF_K, PREPASS_DEPTH, PINNED, DEDUP_FACTOR, DEDUP_LEAST, CANDIDATES_LEAST = 5, 60, 400, 20, 10, 50, 100
 DISTANCE_LIMIT = 1.1
-CHUNK_LEAST, CHUNK_MOST, CHUNK_OVERLAP, TOKENS_PER_WORD = 300, 600, 50, 0.85
+CHUNK_LEAST, CHUNK_MOST, CHUNK_OVERLAP, CODE_CONTEXT, TOKENS_PER_WORD = 300, 600, 50, 180, 0.85
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 
 # Patterns.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarrymill import config as C
 from quarrymill.functions import text as X
 from quarrymill.functions import urls as U
+from quarrymill.operators import chunking as K
 from quarrymill.operators import operations as O
 from quarrymill.operators import retrieval as R
 from quarrymill.sources import sections as S
@@ -671,6 +672,17 @@ def paged_sections(spark, d):
 
 @query()
 def document_chunks(spark, d):
-    """Sections cut at sentences and packed: one row per chunk with its size and place."""
-    s = parsed(spark, d).withColumn("sizes", O.pack(F.transform(X.sentences(F.col("text")), X.estimate_tokens)))
-    return s.select("id", "n", "heading_path", F.posexplode("sizes").alias("chunk", "n_tokens"))
+    """Sections cut and packed with overlap: one row per chunk, with its place, text and a lasting id."""
+    p = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    path = K.heading_path(F.col("title"), F.split("heading_path", " > "))
+    s = parsed(spark, d).select("id", "n", "heading_path", F.posexplode(K.chunks(F.col("text"))).alias("chunk", "body")).join(p, "id")
+    s = s.withColumn("path", path).withColumn("content", K.chunk_text(F.col("title"), F.col("path"), F.col("body")))
+    uuid = F.sha2(F.concat_ws("|", "url", "n", "chunk", "content"), 256)
+    return s.select("id", "n", "chunk", uuid.alias("uuid"), "title", "url", F.array_join("path", " > ").alias("heading_path"), X.version_of(F.concat_ws(" ", "title", "url")).alias("version"), "content", X.estimate_tokens(F.col("body")).alias("n_tokens"))
+
+
+@query()
+def text_chunks(spark, d):
+    """Whole documents as single sections, cut and packed with overlap."""
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(K.chunks(F.col("text"))).alias("chunk", "body"))
+    return docs.select("doc_id", "chunk", X.estimate_tokens(F.col("body")).alias("n_tokens"), F.md5(F.col("body").cast("binary")).alias("digest"))

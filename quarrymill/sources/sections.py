@@ -22,6 +22,8 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 DROPPED = set("script style noscript template svg nav header footer aside form".split())
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 BLOCKS = set(HEADINGS) | {"p", "li", "pre", "code", "table"}
+#: Marks among a table's words: here a row begins, here a cell.
+ROW, CELL = "\0", "\1"
 
 
 def format_of(content: Column, url: Column) -> Column:
@@ -61,6 +63,8 @@ class Blocks(HTMLParser):
         if tag in BLOCKS and self.open is None and not self.dropped():
             self.open = len(self.stack)
             self.found.append((tag, [], attrs.get("id")))
+        elif tag in ("tr", "td", "th") and self.open is not None and self.found[-1][0] == "table" and not self.dropped():
+            self.found[-1][1].append(ROW if tag == "tr" else CELL)
 
     def handle_endtag(self, tag):
         if tag in self.stack:
@@ -79,7 +83,20 @@ class Blocks(HTMLParser):
         if "title" in self.stack:
             self.title.append(data)
         elif data.strip() and not self.dropped():
-            (self.loose if self.open is None else self.found[-1][1]).append(data.strip())
+            words = self.loose if self.open is None else self.found[-1][1]
+            words.append(data.strip("\n") if self.open is not None and self.found[-1][0] == "pre" else data.strip())
+
+
+def block_text(tag: str, words: list[str]) -> str:
+    """Code in a fence, tables a line for each row, all else in one line."""
+    one = lambda t: re.sub(r"\s+", " ", t).strip()
+    if tag == "pre":
+        body = "\n".join(words).strip("\n")
+        return f"```\n{body}\n```" if body.strip() else ""
+    if tag == "table":
+        rows = [" | ".join(filter(None, map(one, r.split(CELL)))) for r in " ".join(words).split(ROW)]
+        return "\n".join(filter(None, rows))
+    return one(" ".join(words))
 
 
 def html_sections(text: str) -> list[tuple[list[str], str]]:
@@ -90,7 +107,7 @@ def html_sections(text: str) -> list[tuple[list[str], str]]:
     path: list[tuple[int, str]] = []
     out: list[tuple[list[str], list[str]]] = [([], [])]
     for tag, words, _ in p.blocks():
-        body = re.sub(r"\s+", " ", ("\n" if tag == "pre" else " ").join(words)).strip()
+        body = block_text(tag, words)
         if not body:
             continue
         if tag in HEADINGS:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,7 @@ class Transducer:
         self.byte = {int(p[1:-1], 16): i for i, (p, _, t) in enumerate(model["pieces"]) if t == BYTE}
         self.unknown = next((i for i, (_, _, t) in enumerate(model["pieces"]) if t == UNKNOWN), 0)
         self.longest = max(map(len, self.score), default=1)
+        self.begun = {p[:i] for p in self.score for i in range(1, len(p) + 1)}
         self.worst = min((s for s in self.score.values() if s > -1e8), default=0.0) - 10
         self.output = [bytes([int(p[1:-1], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t in (NORMAL, USER) else b"" for p, _, t in model["pieces"]]
         joined = {c for p in self.score if len(p) > 1 for c in p}
@@ -90,13 +92,20 @@ class Transducer:
         """The shortest path through the lattice of a word."""
         n, has, follows = len(word), self.score, self.follows
         if self.kind == MERGES:
+            begun, pairs = self.begun, self.pairs
             last: list[str | None] = [""] + [None] * n
-            for end in range(1, n + 1):
-                for begin in range(max(0, end - self.longest), end):
+            for begin in range(n):
+                before = last[begin]
+                if before is None:
+                    continue
+                for end in range(begin + 1, n + 1):
                     piece = word[begin:end]
-                    before = last[begin]
-                    if before is not None and (piece in has or end - begin == 1) and follows(before, piece):
-                        last[end] = piece
+                    more = piece in begun  # no longer arc begins so otherwise
+                    if (piece in has or end - begin == 1) and last[end] is None:
+                        fits = pairs.get((before, piece))
+                        if follows(before, piece) if fits is None else fits:
+                            last[end] = piece
+                    if not more:
                         break
         else:
             cost, last = [0.0] + [float("inf")] * n, [""] + [None] * n
@@ -121,7 +130,7 @@ class Transducer:
                 ids.append(self.id[piece])
             else:
                 ids.extend(self.byte.get(b, self.unknown) for b in piece.encode())
-        return np.array(ids, dtype="<i4").tobytes()
+        return array("i", ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Piece numbers as little-endian 32-bit integers."""

@@ -1,10 +1,13 @@
 """Near-duplicate vectors by spherical k-means cells, and exact top-k search.
 
 **Near duplicates.** Equal vectors collapse to one class. Spherical k-means, fit
-on a bounded sample, gives cells; every class belongs to its few nearest cells.
-Cells are cut into blocks of bounded size, and cosine products compare each pair
-of blocks. A pair is counted in the first cell that it shares. Components of the
-links give the groups.
+on a bounded sample, gives cells; every class lives in its nearest cell. Near
+cells are joined to blocks of bounded size, and a large cell is cut into several.
+A class goes to every block with a cell that a vector within the angle of
+``least`` can live in: bounds by the triangle inequality, which drop no pair.
+Cosine products compare each two blocks once, so all links are found whatever
+the cells are; they only decide how much is compared. Where vectors have no
+groups, as in noise, all blocks meet. Components of the links give the groups.
 
 **Exact search.** Components are quantised to integers. Queries and vectors are
 dealt into blocks; each pair of blocks has an impact-ordered index: the postings
@@ -67,8 +70,91 @@ def centroids(sample: DataFrame, cells: int, rounds: int = 8, seed: int = 7) ->
     return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
-def near_vectors(table: DataFrame, least: float = 0.95, probes: int = 4, cell_size: int = 400, most_cells: int = 2048, sample_size: int = 20_000, block: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row per vector: ``id_col, n_links, component_id, kept``."""
+def tour(c: np.ndarray) -> np.ndarray:
+    """An order of the centroids in which each is followed by its nearest that is left."""
+    order, left = [0], np.ones(len(c), dtype=bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, c @ c[order[-1]], -np.inf).argmax()))
+        left[order[-1]] = False
+    return np.array(order)
+
+
+def layout(c: np.ndarray, sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: runs of the tour of at most ``block`` rows, or one larger cell in several."""
+    first, count, at, held = np.zeros(len(c), np.int64), np.ones(len(c), np.int64), 0, 0
+    for cell in tour(c):
+        if held and held + sizes[cell] > block:
+            at, held = at + 1, 0
+        first[cell], count[cell] = at, max(1, -(-int(sizes[cell]) // block))
+        held += int(sizes[cell])
+        if count[cell] > 1:
+            at, held = at + int(count[cell]), 0
+    return first, count
+
+
+def reach(near: np.ndarray, c: np.ndarray, gaps: np.ndarray, low: np.ndarray, high: np.ndarray, least: float, probes: int) -> np.ndarray:
+    """Which cells (columns) may hold a vector whose cosine with a row is ``least`` or more; ``near`` has cosines with the centroids.
+
+    Angles to a centroid differ by at most the pair's angle. A vector of cell c is
+    not nearer to another centroid g, so it lies on c's side of the plane between
+    them, and the row lies at most the pair's angle beyond it: tried for the row's
+    ``probes`` nearest g.
+    """
+    turn, slack = np.arccos(np.clip(least, -1, 1)), 1e-6
+    angle = np.arccos(np.clip(near, -1, 1))
+    may = (angle <= high + turn + slack) & (angle >= low - turn - slack)
+    if least > 0:
+        p = min(probes, len(c))
+        for g in np.argpartition(-near, p - 1, axis=1)[:, :p].T:
+            may &= near[np.arange(len(near)), g][:, None] - near <= np.sin(turn) * gaps[g] + slack
+    return may
+
+
+def links_of(x: np.ndarray, y: np.ndarray | None, least: float, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of ``x`` and ``y`` (of two of ``x`` without ``y``) with a cosine of ``least`` or more.
+
+    Short products are trusted where they cannot be wrong about it; the others are done again in double.
+    """
+    wide, error = x if y is None else y, (x.shape[1] + 8) * 2.0**-22
+    short_x, short_y = x.astype(np.float32), wide.astype(np.float32)
+    for at in range(0, len(x), rows):
+        score = short_x[at : at + rows] @ short_y.T
+        i, j = np.nonzero(score >= least - error)
+        score = score[i, j]
+        i = i + at
+        keep = np.ones(len(i), dtype=bool) if y is not None else i < j
+        doubt = np.flatnonzero(keep & (score < least + error))
+        for k in range(0, len(doubt), 100_000):
+            d = doubt[k : k + 100_000]
+            keep[d] = np.einsum("ij,ij->i", x[i[d]], wide[j[d]]) >= least
+        if keep.any():
+            yield i[keep], j[keep]
+
+
+def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest positions of components, after more links."""
+    a, b = root[i], root[j]
+    apart = a != b
+    a, b = a[apart], b[apart]
+    label = np.arange(len(root))
+    while len(a):
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, new[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label[root]
+
+
+def near_vectors(table: DataFrame, least: float = 0.95, probes: int = 4, cell_size: int = 400, most_cells: int = 2048, sample_size: int = 20_000, block: int = 256, most_block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """One row per vector: ``id_col, n_links, component_id, kept``.
+
+    ``probes``, ``cell_size``, ``most_cells``, ``sample_size`` and the two bounds of a
+    block's rows change what is compared, not the result.
+    """
     spark = table.sparkSession
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     keyed = rows.withColumn("key", F.when(usable("v") & F.exists("v", lambda x: x != 0), F.struct(F.xxhash64("v").alias("x"), F.hash("v").alias("y"))))
@@ -95,52 +181,74 @@ def near_vectors(table: DataFrame, least: float = 0.95, probes: int = 4, cell_si
     sample = units.filter(draw <= share).select("rep", "v")
     model = spark.sparkContext.broadcast(centroids(sample, cells) if not sample.isEmpty() else np.zeros((1, width)))
 
+    def cosines(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for at in range(0, b.num_rows, 1024):
+            yield at, rows_of(b.column(2).slice(at, 1024)) @ model.value.T
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, low, high = np.zeros(len(model.value), np.int64), np.full(len(model.value), np.inf), np.full(len(model.value), -np.inf)
+        for b in batches:
+            for _, near in cosines(b):
+                home, best = near.argmax(axis=1), near.max(axis=1)
+                np.add.at(size, home, 1)
+                np.minimum.at(low, home, best)
+                np.maximum.at(high, home, best)
+        has = np.flatnonzero(size)
+        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(size[has]), pa.array(low[has]), pa.array(high[has])], ["cell", "size", "low", "high"])
+
+    measured = units.mapInArrow(measure, "cell long, size long, low double, high double").groupBy("cell").agg(F.sum("size"), F.min("low"), F.max("high")).collect()  # at most most_cells rows
+    c = model.value
+    size, low, high = np.zeros(len(c), np.int64), np.full(len(c), np.inf), np.full(len(c), -np.inf)  # angles: nothing reaches an empty cell
+    for r in measured:
+        size[r[0]], high[r[0]], low[r[0]] = r[1], np.arccos(np.clip(r[2], -1, 1)), np.arccos(np.clip(r[3], -1, 1))
+    first, count = layout(c, size, max(block, min(most_block, n // 24)))  # some hundreds of units at least, where there are rows for them
+    n_blocks = int((first + count).max())
+    gaps = np.sqrt(np.maximum(0.0, (c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * c @ c.T))
+    plan = spark.sparkContext.broadcast((first, count, low, high, gaps))
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = model.value
-        p = min(probes, len(c))
+        first, count, low, high, gaps = plan.value
+        cells = np.flatnonzero(low <= high)
+        spread = np.repeat(cells, count[cells])  # the cell of each column below
+        blocks = first[spread] + np.arange(len(spread)) - np.repeat(np.cumsum(count[cells]) - count[cells], count[cells])
+        order = np.argsort(blocks, kind="stable")
+        spread, starts = spread[order], np.flatnonzero(np.diff(blocks[order], prepend=-1))
+        names = blocks[order][starts]
         for b in batches:
-            near = np.sort(np.argpartition(-(rows_of(b.column(2)) @ c.T), p - 1, axis=1)[:, :p], axis=1).astype(np.int32) if b.num_rows else np.zeros((0, p), np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * p), pa.array(near.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], ["rep", "copies", "v", "cells"])
-
-    placed = materialize(units.mapInArrow(assign, "rep long, copies long, v array<double>, cells array<int>"), "placed")
-    sizes = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("count"))
-    flat = placed.select("rep", "copies", "v", "cells", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell")  # at most most_cells rows
-    blocked = flat.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("count")).cast("int"))
-    pairs = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
-    unit_key = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
-    pairs = pairs.select(unit_key.alias("unit"), "rep", "copies", "v", "cells", "cell", "block", (F.col("block") != F.col("other")).alias("across"))
+            mixed = b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            for at, near in cosines(b):
+                home = near.argmax(axis=1)
+                own = first[home] + (mixed[at : at + len(home)] % count[home].astype(np.uint64)).astype(np.int64)
+                may = reach(near, model.value, gaps, low, high, least, probes)
+                may[np.arange(len(home)), home] = True
+                i, k = np.nonzero(np.logical_or.reduceat(may[:, spread], starts, axis=1))
+                other = names[k]
+                unit = np.minimum(own[i], other) * n_blocks + np.maximum(own[i], other)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(i, np.arange(len(home) + 1)).astype(np.int32)), pa.array(unit))
+                yield pa.RecordBatch.from_arrays([*(x.slice(at, len(home)) for x in b.columns), pa.array(own), lists], ["rep", "copies", "v", "block", "units"])
+
+    placed = units.mapInArrow(assign, "rep long, copies long, v array<double>, block long, units array<long>")
+    pairs = placed.select(F.explode("units").alias("unit"), "rep", "copies", "v", "block")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in whole_groups(batches, "unit"):
-            rep, copies, cell, blk = (t.column(c).to_numpy() for c in ("rep", "copies", "cell", "block"))
-            across, x, near = t.column("across").to_numpy(), rows_of(t.column("v")), rows_of(t.column("cells"))
+            unit, rep, copies, blk = (t.column(c).to_numpy() for c in ("unit", "rep", "copies", "block"))
+            x = rows_of(t.column("v"))
             out_a, out_b, out_n = [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                link = np.triu(x[a:b] @ x[a:b].T >= least, 1)
-                if across[a]:
-                    link &= blk[a:b, None] != blk[None, a:b]
-                i, j = np.nonzero(link)
-                if not len(i):
-                    continue
-                same = near[a + i][:, :, None] == near[a + j][:, None, :]
-                first = np.where(same.any(axis=2), near[a + i], np.iinfo(np.int32).max).min(axis=1) == cell[a]
-                i, j = i[first], j[first]
-                if not len(i):
-                    continue
-                degree = np.bincount(i, copies[a + j], b - a) + np.bincount(j, copies[a + i], b - a)
-                label = np.arange(b - a)
-                while True:  # smallest row that is reachable inside the unit
-                    new = label.copy()
-                    np.minimum.at(new, i, label[j])
-                    np.minimum.at(new, j, new[i])
-                    if (new == label).all():
-                        break
-                    label = new
+                one, two = divmod(int(unit[a]), n_blocks)
+                p = a + np.flatnonzero(blk[a:b] == one)
+                q = p if one == two else a + np.flatnonzero(blk[a:b] == two)
+                degree, root = np.zeros(b - a, np.int64), np.arange(b - a)
+                for i, j in links_of(x[p], None if one == two else x[q], least):
+                    i, j = p[i] - a, q[j] - a
+                    degree += (np.bincount(i, copies[a + j], b - a) + np.bincount(j, copies[a + i], b - a)).astype(np.int64)
+                    root = join_roots(root, i, j)
                 has = np.flatnonzero(degree)
-                out_a.append(rep[a + has])
-                out_b.append(rep[a + label[has]])
-                out_n.append(degree[has].astype(np.int64))
+                if len(has):
+                    out_a.append(rep[a + has])
+                    out_b.append(rep[a + root[has]])
+                    out_n.append(degree[has])
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in (out_a, out_b, out_n)], ["a", "b", "n"])
 

@@ -112,6 +112,29 @@ def test_near_vectors(spark):
     assert got[204]["component_id"] == 5 and not got[204]["kept"]
 
 
+@pytest.mark.parametrize(("cell_size", "block"), [(4, 16), (4, 300), (100, 16)])
+def test_near_vectors_dense_group(spark, cell_size, block):
+    """All links and components of brute force, with cells much more than probes and a group of a third of the rows."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1500, 64))
+    v[:500] = v[0] + rng.normal(size=(500, 64)) * 0.17 * np.linalg.norm(v[0]) / 8
+    v[500:700] = v[700:900] + rng.normal(size=(200, 64)) * 0.3
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in vectors.near_vectors(df, cell_size=cell_size, block=block).collect()}
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = (x @ x.T) >= 0.95
+    np.fill_diagonal(link, False)
+    top = np.arange(len(x))
+    while True:
+        new = np.minimum(top, np.where(link, top[None, :], len(x)).min(axis=1))
+        if (new == top).all():
+            break
+        top = new
+    assert link[:500, :500].sum() > 50_000
+    assert [got[i]["n_links"] for i in range(len(x))] == link.sum(axis=1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == top.tolist()
+
+
 def test_exact_topk(spark):
     df, rows = vector_table(spark)
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vectors.exact_topk(df, block=16, query_block=2).collect()}

@@ -6,6 +6,7 @@ boundary inside their overlap that is proven stable: a blank of the text, which
 no token spans and across which neither normaliser, word splitter nor merges
 act, with both chunks giving the same tokens from there to the next such blank.
 Where an overlap has no such boundary it is widened, at worst to the text's end.
+No chunk begins before the last boundary, so no token is counted twice.
 
 Defined cases: null and empty texts have no tokens. Rows may repeat; an empty
 table gives an empty result. Strings of special tokens inside texts are handled
@@ -53,20 +54,23 @@ class Counter:
 
     def long(self, text: str) -> int:
         total, begin, at, overlap = 0, 0, 0, self.overlap
-        left = self.encode(text, 0, min(len(text), self.chunk + overlap))
+        seen = min(len(text), self.chunk + overlap)
+        left = self.encode(text, 0, seen)
         while True:
-            following = at + self.chunk
+            following = max(at + self.chunk, begin)  # a widened overlap may have led past the next chunk's start
             end = min(len(text), following + overlap)
+            if seen < end:
+                left, seen = self.encode(text, at, end), end
             if end == len(text):
                 return total + int((left[1] >= begin).sum())
-            right = self.encode(text, following, min(len(text), following + self.chunk + overlap))
+            to = min(len(text), following + self.chunk + overlap)
+            right = self.encode(text, following, to)
             c = self.splice(text, left, right, following, end)
             if c is None:  # widen, and encode the left chunk anew
                 overlap *= 2
-                left = self.encode(text, at, min(len(text), following + overlap))
                 continue
             total += int(((left[1] >= begin) & (left[1] < c)).sum())
-            begin, at, left, overlap = c, following, right, self.overlap
+            begin, at, left, seen, overlap = c, following, right, to, self.overlap
 
     def __call__(self, texts: list[str]) -> list[int]:
         short = [i for i, t in enumerate(texts) if len(t) <= self.chunk + self.overlap]

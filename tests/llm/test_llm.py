@@ -90,6 +90,23 @@ def test_token_counts_without_blanks():
         assert c([text]) == [len(t.encode(text, add_special_tokens=False).ids)]
 
 
+def test_token_counts_after_a_run_without_blanks():
+    """A run that covers whole chunks between ordinary words: no token is counted twice."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        model = f.read()
+    t = Tokenizer.from_file(path)
+    words = " ".join(R.choice("alpha beta gamma delta of the and".split()) for _ in range(400))
+    for chunk, overlap, run in ((50, 8, 100), (50, 8, 67), (50, 8, 230), (200, 16, 410), (20, 30, 90)):
+        c = token_counts.Counter(model, chunk, overlap)
+        for before in (0, 30, 47, 60, 120):
+            for filler in ("a1B2/", "日本語"):
+                text = words[:before] + " " + (filler * run)[:run] + " " + words
+                assert c([text]) == [len(t.encode(text, add_special_tokens=False).ids)]
+
+
 def vector_table(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(120, 8)).round(3)

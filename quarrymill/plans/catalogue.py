@@ -518,7 +518,7 @@ def url_dedup(spark, d):
 def search_flagship(spark, d):
     out = R.search(asked(spark, d), corpus(spark, d), vectors(spark, d))
     note = F.when(U.in_domain(F.col("url"), "example.org"), "Check the source before use.")
-    return out.select("query_id", "rank", U.tag_utm(F.col("url"), "kb").alias("url"), F.substring("search_text", 1, 300).alias("snippet"), "title", "heading", "doc_type", "product", "distance", F.col("rerank").alias("score"), note.alias("disclaimer"))
+    return out.select("query_id", "rank", U.tag_utm(F.col("url"), "kb").alias("url"), F.col("search_text").alias("snippet"), "title", "heading", "doc_type", "product", "distance", F.col("rerank").alias("score"), note.alias("disclaimer"))
 
 
 EXPECTED = "ex AS (SELECT item_id AS query_id, doc_id AS ordinal FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from quarrymill.operators import retrieval as R
 from quarrymill.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +32,11 @@ def test_twin(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_flagship_returns_whole_texts(spark, monkeypatch):
+    text = "word " * 500
+    columns = "query_id long, rank int, url string, search_text string, title string, heading string, doc_type string, product string, distance double, rerank double"
+    found = spark.createDataFrame([(1, 1, "https://docs.example.org/a", text, "t", "h", "d", "p", 0.5, 0.1)], columns)
+    monkeypatch.setattr(R, "search", lambda *_: found)
+    assert QUERIES["search_flagship"](spark, SF).first()["snippet"] == text

@@ -45,6 +45,11 @@ def literal(columns: str, *rows: tuple):
     return (lambda spark: spark.createDataFrame(rows, columns)), f"(VALUES {values}) AS t({', '.join(names)})"
 
 
+def given(spark: SparkSession, lit: tuple, rows: DataFrame | None) -> DataFrame:
+    """The literal rows, after those of a table where there are some."""
+    return lit[0](spark) if rows is None else rows.unionByName(lit[0](spark))
+
+
 TOK = r"(?i)[a-z0-9][a-z0-9_\-+.]*"
 SQL_TOKENS = f"list_transform(regexp_extract_all(coalesce({{c}}, ''), '{TOK}'), lambda x: lower(x))"
 stop_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -81,8 +86,8 @@ RAW = literal("k long, s string", (1, "a\r\nb\rc"), (2, " x \t\t y  "), (3, "p\n
 
 
 @query(rf"SELECT k, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(s, ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS clean FROM {RAW[1]}")
-def clean_text(spark, d):
-    return RAW[0](spark).select("k", X.clean(F.col("s")).alias("clean"))
+def clean_text(spark, d, rows=None):
+    return given(spark, RAW, rows).select("k", X.clean(F.col("s")).alias("clean"))
 
 
 @query(f"WITH q AS (SELECT item_id, {salient_sql('text')} AS t FROM benchmark) SELECT item_id, array_to_string([array_to_string(t[i:i+1], ' ') for i in range(1, len(t)) if true], '|') AS bigrams, array_to_string([array_to_string(t[i:i+2], ' ') for i in range(1, len(t) - 1) if true], '|') AS trigrams FROM q")
@@ -108,8 +113,8 @@ FRONT = literal("k long, s string", (1, "---\ntitle: a\n---\n\nbody"), (2, "no f
 @query(f"""WITH b AS (SELECT k, CASE WHEN s[1] = chr(65279) THEN s[2:] ELSE s END AS s FROM {FRONT[1]}),
     e AS (SELECT k, s, CASE WHEN starts_with(s, '---') THEN strpos(s[4:], chr(10) || '---') ELSE 0 END AS p FROM b)
     SELECT k, CASE WHEN p > 0 THEN ltrim(s[p + 3 + 4:], chr(10) || ' ') ELSE s END AS body FROM e""")
-def strip_frontmatter(spark, d):
-    return FRONT[0](spark).select("k", X.strip_frontmatter(F.col("s")).alias("body"))
+def strip_frontmatter(spark, d, rows=None):
+    return given(spark, FRONT, rows).select("k", X.strip_frontmatter(F.col("s")).alias("body"))
 
 
 BOILER_SQL = " OR ".join(["regexp_matches(l, '^©\\s*\\d{4}')", "regexp_matches(l, '^\\d+\\s*/\\s*\\d+$')", "regexp_matches(l, '^\\d+$')", *("regexp_matches(l, '(?i)" + p.replace("'", "''") + "')" for p in C.BOILERPLATE)])
@@ -126,8 +131,8 @@ HEADS = literal("k long, s string", (1, "GETTING STARTED"), (2, "Getting started
 
 
 @query(rf"SELECT k, length(s) <= 120 AND len(regexp_extract_all(s, '\S+')) <= 12 AND NOT regexp_matches(s, '[.!?:]$') AND regexp_matches(s, '[A-Za-z]') AND upper(s) = s AS heading FROM {HEADS[1]}")
-def heading_like(spark, d):
-    return HEADS[0](spark).select("k", X.shouted_heading(F.col("s")).alias("heading"))
+def heading_like(spark, d, rows=None):
+    return given(spark, HEADS, rows).select("k", X.shouted_heading(F.col("s")).alias("heading"))
 
 
 @query(r"SELECT page_id, regexp_extract(url, '(?i)\b(v?\d+(?:\.\d+){0,2})\b', 1) AS version FROM pages")
@@ -144,8 +149,8 @@ KEYS = literal("k long, s string, title string", (1, "a; b,c", "c"), (2, " , ;",
 
 
 @query(f"WITH w AS (SELECT k, title, list_filter(list_transform(string_split_regex(coalesce(s, ''), '[;,]'), lambda x: trim(x)), lambda x: x <> '') AS w FROM {KEYS[1]}) SELECT k, array_to_string(CASE WHEN list_contains(w, title) THEN w ELSE list_append(w, title) END, '|') AS keywords FROM w")
-def parse_keywords(spark, d):
-    return KEYS[0](spark).select("k", F.array_join(X.keyword_list(F.col("s"), F.col("title")), "|").alias("keywords"))
+def parse_keywords(spark, d, rows=None):
+    return given(spark, KEYS, rows).select("k", F.array_join(X.keyword_list(F.col("s"), F.col("title")), "|").alias("keywords"))
 
 
 @query("SELECT doc_id, md5(concat_ws(' ', nullif(source, ''), nullif(lang, ''), nullif(text, ''))) AS search_text FROM documents")
@@ -157,8 +162,8 @@ SECRETS = literal("k long, s string", (1, "x -----BEGIN RSA PRIVATE KEY-----\nab
 
 
 @query(rf"SELECT k, regexp_replace(regexp_replace(s, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED_PRIVATE_KEY]', 'g'), '/[^\s:]+\.pem', '[REDACTED_KEY_PATH]', 'g') AS safe FROM {SECRETS[1]}")
-def redact_secrets(spark, d):
-    return SECRETS[0](spark).select("k", X.redact(F.col("s")).alias("safe"))
+def redact_secrets(spark, d, rows=None):
+    return given(spark, SECRETS, rows).select("k", X.redact(F.col("s")).alias("safe"))
 
 
 @query("SELECT doc_id, md5(right(text, 500)) AS tail FROM documents")
@@ -170,8 +175,8 @@ SUPPORT = literal("k long, s string", (1, "It does  not support SVE2."), (2, "Un
 
 
 @query(f"SELECT k, regexp_matches(s, '(?i){'|'.join(C.NEGATIVE_SUPPORT).replace(chr(39), chr(39) * 2)}') AS denied FROM {SUPPORT[1]}")
-def negative_support(spark, d):
-    return SUPPORT[0](spark).select("k", X.denies_support(F.col("s")).alias("denied"))
+def negative_support(spark, d, rows=None):
+    return given(spark, SUPPORT, rows).select("k", X.denies_support(F.col("s")).alias("denied"))
 
 
 IMAGES = literal("k long, s string", (1, "nginx"), (2, "nginx:1.2"), (3, "Org/App:latest"), (4, "org/app"))
@@ -223,13 +228,13 @@ NORM = "regexp_replace(coalesce(u, ''), '^\\s+|\\s+$', '', 'g')"
 
 
 @query(f"SELECT k, CASE WHEN regexp_matches({NORM}, '^chrome-extension://.*https:/') THEN 'https://' || regexp_extract({NORM}, '^chrome-extension://.*?https:/+(.*)$', 1) ELSE {NORM} END AS url FROM {ADDRESSES[1]}")
-def normalize_url(spark, d):
-    return ADDRESSES[0](spark).select("k", U.normalize(F.col("u")).alias("url"))
+def normalize_url(spark, d, rows=None):
+    return given(spark, ADDRESSES, rows).select("k", U.normalize(F.col("u")).alias("url"))
 
 
 @query(f"SELECT k, CASE WHEN regexp_matches({NORM}, '^chrome-extension://.*https:/') THEN 'https://' || regexp_extract({NORM}, '^chrome-extension://.*?https:/+(.*)$', 1) ELSE regexp_replace({NORM}, '^https://github\\.com/([^/]+)/([^/]+)/blob/([^/]+)/([^?#]+)$', 'https://raw.githubusercontent.com/\\1/\\2/\\3/\\4') END AS url FROM {ADDRESSES[1]}")
-def fetch_url(spark, d):
-    return ADDRESSES[0](spark).select("k", U.fetchable(F.col("u")).alias("url"))
+def fetch_url(spark, d, rows=None):
+    return given(spark, ADDRESSES, rows).select("k", U.fetchable(F.col("u")).alias("url"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS base FROM pages")
@@ -427,17 +432,17 @@ MATCH = literal("k long, q string, t string", (1, "sve perf", "sve2 notes"), (2,
 
 
 @query(f"WITH m AS (SELECT k, {tok_sql('q')} AS q, {tok_sql('t')} AS t FROM {MATCH[1]}) SELECT k, CAST(len(list_filter(q, lambda x: list_contains(t, x) OR (x IN ('sme', 'sve') AND len(list_filter(t, lambda y: regexp_full_match(y, x || '[0-9]+'))) > 0))) AS BIGINT) AS n FROM m")
-def token_match(spark, d):
-    return MATCH[0](spark).select("k", X.match_count(X.tokens(F.col("q")), X.tokens(F.col("t"))).alias("n"))
+def token_match(spark, d, rows=None):
+    return given(spark, MATCH, rows).select("k", X.match_count(X.tokens(F.col("q")), X.tokens(F.col("t"))).alias("n"))
 
 
 PHRASES = literal("k long, q string, t string", (1, "tune memory cache lines", "How to tune memory cache lines"), (2, "memory cache", "a memory cached"), (3, "one", "one"), (4, "a b c d e f g h j k", "x b c d e f g h j k"), (5, "", "x"))
 
 
 @query(f"WITH m AS (SELECT k, lower(t) AS s, {salient_sql('q', C.DIRECT_STOPWORDS)} AS w FROM {PHRASES[1]}) SELECT k, round(least(0.40::DOUBLE, 0.10::DOUBLE * len([i for i in range(1, len(w)) if contains(s, array_to_string(w[i:i+1], ' '))]) + 0.16::DOUBLE * len([i for i in range(1, len(w) - 1) if contains(s, array_to_string(w[i:i+2], ' '))])), 6) AS bonus FROM m")
-def phrase_bonus(spark, d):
+def phrase_bonus(spark, d, rows=None):
     terms = X.without(X.tokens(F.col("q")), C.DIRECT_STOPWORDS)
-    return PHRASES[0](spark).select("k", F.round(X.phrase_bonus(terms, F.lower("t")), 6).alias("bonus"))
+    return given(spark, PHRASES, rows).select("k", F.round(X.phrase_bonus(terms, F.lower("t")), 6).alias("bonus"))
 
 
 EVIDENCE = literal("k long, q string, t string", (1, "which devices support sve2", "sve2 is supported by devices and servers"), (2, "sve support", "It does not support sve2 hardware"), (3, "sve2 support", "sve hardware"), (4, "plain words", "sve2 support"), (5, "sme capability sve", "sme2 sve capability device"))
@@ -447,9 +452,9 @@ EVIDENCE = literal("k long, q string, t string", (1, "which devices support sve2
     n AS (SELECT *, len(list_filter(q, lambda x: regexp_full_match(x, '(sme|sve)[0-9]*') AND (list_contains(d, x) OR (x IN ('sme', 'sve') AND len(list_filter(d, lambda y: regexp_full_match(y, x || '[0-9]+'))) > 0)))) AS hits FROM m)
     SELECT k, round(CASE WHEN list_has_any(q, {stop_list(C.SUPPORT)}) AND hits > 0 AND list_has_any(d, {stop_list(C.SUPPORT)}) THEN 0.12::DOUBLE * hits + CASE WHEN list_has_any(d, ['device', 'devices']) THEN 0.20 ELSE 0 END + CASE WHEN list_has_any(d, ['server', 'servers']) THEN 0.10 ELSE 0 END
         + CASE WHEN list_has_any(d, ['support', 'supported', 'supporting', 'supports']) THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i){'|'.join(C.NEGATIVE_SUPPORT).replace(chr(39), chr(39) * 2)}') THEN 0.25 ELSE 0 END ELSE 0 END, 6) AS score FROM n""")
-def support_score(spark, d):
+def support_score(spark, d, rows=None):
     score = X.support_score(F.array_distinct(X.tokens(F.col("q"))), X.tokens(F.col("t")), F.col("t"))
-    return EVIDENCE[0](spark).select("k", F.round(score, 6).alias("score"))
+    return given(spark, EVIDENCE, rows).select("k", F.round(score, 6).alias("score"))
 
 
 KINDS = literal("k long, q string, t string, d string", (1, "tune latency", "x", "tuning guide"), (2, "tune latency", "x", "solution brief"), (3, "gcc guide", "gcc guide", "tutorial"), (4, "llvm guide", "x", "tuning guide"), (5, "deploy steps", "x", "reference architecture"), (6, "deploy", "x", "brief"), (7, "how to install", "x", "install guide"), (8, "words", "x", "tutorial"))
@@ -460,9 +465,9 @@ KINDS = literal("k long, q string, t string, d string", (1, "tune latency", "x",
         + CASE WHEN NOT guide THEN 0 WHEN d = 'tutorial' AND named AND list_contains(t, 'guide') THEN 0.35 WHEN d = 'tuning guide' AND NOT named THEN -0.12 ELSE 0 END
         + CASE WHEN NOT list_has_any(q, {stop_list(C.REFERENCE_ARCHITECTURE)}) THEN 0 WHEN d = 'reference architecture' THEN 0.25 WHEN contains(d, 'brief') THEN -0.05 ELSE 0 END
         + CASE WHEN list_has_any(q, {stop_list(C.TUTORIAL)}) AND d IN ('tutorial', 'install guide', 'learning path', 'learning paths') THEN 0.10 ELSE 0 END)::DOUBLE, 6) AS bonus FROM f""")
-def doc_type_bonus(spark, d):
+def doc_type_bonus(spark, d, rows=None):
     bonus = R.doc_type_bonus(X.tokens(F.col("q")), X.tokens(F.col("t")), F.col("d"))
-    return KINDS[0](spark).select("k", F.round(bonus, 6).alias("bonus"))
+    return given(spark, KINDS, rows).select("k", F.round(bonus, 6).alias("bonus"))
 
 
 INTENT = {"tuning": C.TUNING, "architecture": C.REFERENCE_ARCHITECTURE, "tutorial": C.TUTORIAL, "support": C.SUPPORT}
@@ -470,8 +475,8 @@ ASKED = literal("k long, q string", (1, "how to tune latency"), (2, "deploy refe
 
 
 @query(f"SELECT k, {', '.join(f'list_has_any({tok_sql(chr(113))}, {stop_list(w)}) AS {n}' for n, w in INTENT.items())} FROM {ASKED[1]}")
-def intent_flags(spark, d):
-    return ASKED[0](spark).select("k", *(F.arrays_overlap(X.tokens(F.col("q")), X.words_in(w)).alias(n) for n, w in INTENT.items()))
+def intent_flags(spark, d, rows=None):
+    return given(spark, ASKED, rows).select("k", *(F.arrays_overlap(X.tokens(F.col("q")), X.words_in(w)).alias(n) for n, w in INTENT.items()))
 
 
 @query(f"SELECT * FROM (VALUES {', '.join(str(tuple(R.depths(k).values())) for k in (1, 5, 50))}) AS t(k, candidates, over_fetch, prepass, lexical)")
@@ -613,8 +618,8 @@ PATHS = literal("k long, p string", (1, "src/a.py"), (2, "src/.git/x"), (3, "nod
 
 
 @query(f"SELECT k, len(list_filter(string_split(p, '/'), lambda s: list_contains({stop_list(C.EXCLUDED_NAMES)}, s) OR ends_with(s, '.egg-info'))) > 0 AS excluded FROM {PATHS[1]}")
-def path_exclusion(spark, d):
-    return PATHS[0](spark).select("k", O.excluded(F.col("p")).alias("excluded"))
+def path_exclusion(spark, d, rows=None):
+    return given(spark, PATHS, rows).select("k", O.excluded(F.col("p")).alias("excluded"))
 
 
 @query("SELECT c.conv_id, c.turn, CAST(length(c.text) AS BIGINT) AS call_chars, CAST(length(r.text) AS BIGINT) AS result_chars FROM conversations c LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant' WHERE c.role = 'user'")
@@ -686,3 +691,62 @@ def text_chunks(spark, d):
     """Whole documents as single sections, cut and packed with overlap."""
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(K.chunks(F.col("text"))).alias("chunk", "body"))
     return docs.select("doc_id", "chunk", X.estimate_tokens(F.col("body")).alias("n_tokens"), F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+# ---- the queries over literal rows, over whole tables and the literal rows
+
+
+def whole(f, lit: tuple, sql: str, frame: Callable[[SparkSession, str], DataFrame]) -> None:
+    """Register ``f`` over a table's rows and its literal ones as ``<name>_whole``; ``sql`` selects the same rows."""
+    source = f"FROM {lit[1]}"
+    assert source in ORACLES[f.__name__]
+    both = ORACLES[f.__name__].replace(source, f"FROM ({sql} UNION ALL SELECT * {source}) AS t")
+    QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, frame(spark, d))
+    ORACLES[f"{f.__name__}_whole"] = both
+
+
+def documents(spark, d):
+    return table(spark, d, "documents").select((F.col("doc_id") + 1000).alias("k"), F.col("text").alias("s"))
+
+
+def lines(spark, d):
+    return documents(spark, d).select("k", F.explode(F.split("s", "\n")).alias("s"))
+
+
+def addresses(column):
+    return lambda spark, d: table(spark, d, "pages").select((F.col("page_id") + 1000).alias("k"), F.col("url").alias(column))
+
+
+def candidates(*columns):
+    """The best pairs by BM25, with the texts of query and document and the document's type."""
+
+    def frame(spark, d):
+        top = R.bm25_topk(scores(spark, d), 5).select("query_id", "ordinal")
+        c = corpus(spark, d).select("ordinal", F.col("search_text").alias("t"), F.col("doc_type").alias("d"))
+        q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+        return top.join(c, "ordinal").join(q, "query_id").select((F.col("query_id") * (1 << 40) + F.col("ordinal") + 1000).cast("long").alias("k"), *columns)
+
+    return frame
+
+
+KIND_SQL = "['tutorial', 'tuning guide', 'brief', 'reference architecture'][doc_id % 4 + 1] AS d"
+PAIR_SQL = f"SELECT * FROM (WITH {CTE} SELECT CAST(query_id * 1099511627776 + ordinal + 1000 AS BIGINT) AS k, b.text AS q, coalesce(x.text, '') AS t{{more}} FROM tp JOIN documents x ON ordinal = doc_id JOIN benchmark b ON query_id = item_id WHERE rank <= 5)"
+TEXT_SQL = "SELECT doc_id + 1000 AS k, text AS s FROM documents"
+
+for f, lit in ((clean_text, RAW), (strip_frontmatter, FRONT), (redact_secrets, SECRETS), (negative_support, SUPPORT)):
+    whole(f, lit, TEXT_SQL, documents)
+whole(heading_like, HEADS, "SELECT doc_id + 1000 AS k, unnest(string_split(text, chr(10))) AS s FROM documents", lines)
+whole(parse_keywords, KEYS, "SELECT doc_id + 1000 AS k, text AS s, source AS title FROM documents", lambda spark, d: table(spark, d, "documents").select((F.col("doc_id") + 1000).alias("k"), F.col("text").alias("s"), F.col("source").alias("title")))
+for f in (normalize_url, fetch_url):
+    whole(f, ADDRESSES, "SELECT page_id + 1000 AS k, url AS u FROM pages", addresses("u"))
+whole(path_exclusion, PATHS, "SELECT page_id + 1000 AS k, url AS p FROM pages", addresses("p"))
+whole(intent_flags, ASKED, "SELECT item_id + 1000 AS k, text AS q FROM benchmark", lambda spark, d: table(spark, d, "benchmark").select((F.col("item_id") + 1000).alias("k"), F.col("text").alias("q")))
+for f, lit in ((token_match, MATCH), (phrase_bonus, PHRASES), (support_score, EVIDENCE)):
+    whole(f, lit, PAIR_SQL.format(more=""), candidates("q", "t"))
+whole(doc_type_bonus, KINDS, PAIR_SQL.format(more=", " + KIND_SQL), candidates("q", "t", "d"))
+
+
+@query(f"WITH {PROFILE} SELECT * FROM dr")
+def memory_access_whole(spark, d):
+    """All drilldown rows, as the reference returns them; ``memory_access`` counts them by type."""
+    return profile(spark, d)[0]

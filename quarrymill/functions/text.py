@@ -105,12 +105,23 @@ def match_count(q: Column, d: Column) -> Column:
     return F.size(F.filter(q, lambda t: F.array_contains(d, t) | numbered(t))).cast("long")
 
 
-def overlap(q: Column, d: Column) -> Column:
-    return F.when(F.size(q) > 0, match_count(q, d).cast("double") / F.size(q)).otherwise(F.lit(0.0))
+def numbered_prefixes(d: Column) -> Column:
+    """The capability prefixes that an array of tokens has in a numbered form."""
+    return F.filter(words_in(C.CAPABILITY_PREFIXES), lambda p: F.exists(d, lambda x: x.startswith(p) & x.rlike(r"^[a-z]+[0-9]+$") & (F.regexp_replace(x, "[0-9]+$", "") == p)))
+
+
+def share(q: Column, d: Column) -> Column:
+    """The share of an array's distinct tokens that a document's array has."""
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, d)).cast("double") / F.size(q)).otherwise(F.lit(0.0))
+
+
+def held(phrases: Column, text: Column) -> Column:
+    """How many of the phrases a text contains."""
+    return F.size(F.filter(phrases, lambda p: text.contains(p)))
 
 
 def phrase_hits(terms: Column, n: int, text: Column) -> Column:
-    return F.size(F.filter(ngrams(terms, n), lambda p: text.contains(p)))
+    return held(ngrams(terms, n), text)
 
 
 def phrase_bonus(terms: Column, text: Column) -> Column:
@@ -123,9 +134,15 @@ def support_score(q: Column, d: Column, text: Column) -> Column:
     capability = F.filter(q, lambda t: t.rlike("^(sme|sve)[0-9]*$"))
     found = match_count(capability, d)
     asks = F.arrays_overlap(q, words_in(C.SUPPORT)) & (F.size(capability) > 0) & (found > 0) & F.arrays_overlap(d, words_in(C.SUPPORT))
-    has = lambda names: F.when(F.arrays_overlap(d, words_in(names)), 1.0).otherwise(0.0)
-    score = 0.12 * found + 0.20 * has(["device", "devices"]) + 0.10 * has(["server", "servers"]) + 0.15 * has(["support", "supported", "supporting", "supports"]) + F.when(denies_support(text), 0.25).otherwise(0.0)
-    return F.when(asks, score).otherwise(F.lit(0.0))
+    return F.when(asks, support_parts(q, d, found, denies_support(text))).otherwise(F.lit(0.0))
+
+
+def support_parts(q: Column, d: Column, found: Column, denied: Column) -> Column:
+    """The parts of the evidence, where query and document speak of support."""
+    flag = lambda c, v: F.when(c, v).otherwise(0.0)
+    both = lambda names: F.arrays_overlap(q, words_in(names)) & F.arrays_overlap(d, words_in(names))
+    said = F.arrays_overlap(d, words_in(C.SUPPORT_WORDS))
+    return 0.12 * found + flag(both(C.DEVICES), 0.20) + flag(both(C.SERVERS), 0.10) + flag(said, 0.15) + flag(denied, 0.25)
 
 
 def html_text(c: Column) -> Column:

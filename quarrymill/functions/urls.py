@@ -43,7 +43,7 @@ def tag_utm(u: Column, source: str) -> Column:
     front = F.regexp_extract(u, r"^([^?#]*)", 1)
     query, fragment = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), F.regexp_extract(u, r"(#.*)$", 1)
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^utm_source(=|$)"))
-    code = lambda x: F.url_encode(F.url_decode(x))
+    code = lambda x: F.url_encode(F.coalesce(F.try_url_decode(x), x))
     pairs = F.transform(kept, lambda p: F.concat(code(F.split_part(p, F.lit("="), F.lit(1))), F.lit("="), code(F.regexp_extract(p, "^[^=]*=?(.*)$", 1))))
     return F.when(F.coalesce(u, F.lit("")) == "", u).otherwise(F.concat(front, F.lit("?"), F.array_join(F.array_append(pairs, F.lit(f"utm_source={source}")), "&"), fragment))
 

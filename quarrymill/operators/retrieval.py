@@ -1,25 +1,38 @@
 """Hybrid retrieval over batches of queries: BM25, vectors, fusion, reranking.
 
-One plan answers all queries. Tokens are computed once; the inverted index is a
-table of postings; candidates are cut by a rank per query before the costly
-scoring, so that the reranker sees a bounded number of rows per query.
+One plan answers all queries. The postings are written once per corpus; a batch's
+terms are broadcast after a check of their number, so that scores are summed
+beside the postings and no term is a key of a shuffle. Texts are cut into token
+arrays once per document, below the joins; above them only arrays meet.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill import config as C
 from quarrymill.functions import text as X
 from quarrymill.functions import urls as U
+from quarrymill.storage import Scratch
+
+#: Terms of a batch (with their queries) that may be broadcast: some ten MB.
+BROADCAST_ROWS = 200_000
 
 
 def postings(corpus: DataFrame, text: str = "search_text") -> DataFrame:
-    """``ordinal, dl, term, tf``: one row per term of a document."""
-    tok = corpus.select("ordinal", X.tokens(F.col(text)).alias("t"))
-    flat = tok.select("ordinal", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    return flat.groupBy("ordinal", "dl", "term").agg(F.count("*").alias("tf"))
+    """``ordinal, dl, term, tf``: one row per term of a document, without a shuffle.
+
+    A document's tokens are sorted within its row; a term's count is the length of its run.
+    """
+    rows = corpus.select("ordinal", F.sort_array(X.tokens(F.col(text))).alias("t")).select("ordinal", "t", F.size("t").cast("long").alias("dl"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.select("ordinal", "t", "dl", F.when(F.size("t") > 0, begins).otherwise(F.array().cast("array<int>")).alias("at"))
+    term = lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("t")) - i).cast("long").alias("tf"))
+    # The generator's input is no plain column: no filter on its size is inferred and pushed into the tokens' place.
+    return rows.select("ordinal", "dl", F.inline(F.transform("at", term)))
 
 
 def corpus_stats(corpus: DataFrame, text: str = "search_text") -> DataFrame:
@@ -35,10 +48,21 @@ def idf(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(C.BM25_EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 def bm25(queries: DataFrame, posts: DataFrame, weights: DataFrame, stats: DataFrame) -> DataFrame:
-    """``query_id, ordinal, score`` of all documents that share a term; repeated query terms count again."""
+    """``query_id, ordinal, score`` of all documents that share a term; repeated query terms count again.
+
+    With a batch's terms broadcast, a document's parts are summed in the task that
+    holds its postings. A batch of more terms joins by term instead (adaptive
+    execution splits a frequent one).
+    """
     asked = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hit = asked.join(weights.select("term", "idf"), "term").join(posts, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    side = F.broadcast if few(asked) else lambda df: df
+    weighted = weights.select("term", "idf").join(side(asked), "term")
+    hit = posts.join(side(weighted), "term").crossJoin(F.broadcast(stats.select("avgdl")))  # stats is one row
     part = F.col("times") * F.col("idf") * F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "ordinal").agg(F.round(F.sum(part), 6).alias("score"))
 
@@ -56,47 +80,100 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, depth: int, limit: float = C.DISTANCE_LIMIT) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, depth: int, limit: float = C.DISTANCE_LIMIT, block: int = 4096, query_block: int = 512) -> DataFrame:
     """``query_id, ordinal, distance, rank`` by an exact scan; ranks keep the gaps of the limit.
 
-    Every query meets every vector by definition; the batch of queries is the
-    broadcast side and a caller's batch: the ranks are cut before the shuffle.
+    Queries and vectors are dealt into blocks of bounded size; each pair of blocks
+    is one group, of which only the ``depth`` nearest of each query (and ties at
+    the rounding of distances) go on.
     """
-    pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("qv"))))
-    scored = pairs.select("query_id", "ordinal", F.round(distance(F.col("vector"), F.col("qv")), 6).alias("distance"))
+    asks = queries.select(F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("v")).filter("v is not null")
+    held = vectors.select(F.col("ordinal").alias("id"), F.col("vector").cast("array<double>").alias("v")).filter("v is not null")
+    blocks, query_blocks = (max(1, -(-df.count() // size)) for df, size in ((held, block), (asks, query_block)))
+
+    def dealt(df: DataFrame, own: int, others: int, query: bool) -> DataFrame:
+        mine, other = F.pmod(F.xxhash64("id"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        both = df.select("id", "v", mine.alias("mine"), other.alias("other"))
+        return both.select((F.col("mine") * others + F.col("other") if query else F.col("other") * own + F.col("mine")).alias("unit"), "id", "v")
+
+    def nearest(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or x.empty:
+            return pd.DataFrame({"query_id": [], "ordinal": [], "distance": []})
+        a, b = np.stack(q["v"].to_numpy()), np.stack(x["v"].to_numpy())
+        out = []
+        for at in range(0, len(a), 64):
+            d = np.zeros((len(a[at : at + 64]), len(b)))
+            for j in range(a.shape[1]):  # in the order of the components, as an expression adds them
+                d += (b[None, :, j] - a[at : at + 64, None, j]) ** 2
+            bar = np.partition(d, depth - 1, axis=1)[:, depth - 1] if len(b) > depth else np.full(len(d), np.inf)
+            i, k = np.nonzero(d <= bar[:, None] + 2e-6)
+            out.append(pd.DataFrame({"query_id": q["id"].to_numpy()[at + i], "ordinal": x["id"].to_numpy()[k], "distance": d[i, k]}))
+        return pd.concat(out)
+
+    pairs = dealt(asks, query_blocks, blocks, True).groupBy("unit").cogroup(dealt(held, blocks, query_blocks, False).groupBy("unit"))
+    scored = pairs.applyInPandas(nearest, "query_id long, ordinal long, distance double").withColumn("distance", F.round("distance", 6))
     return ranked(scored, depth, F.col("distance"), F.col("ordinal")).filter(F.col("distance") < limit)
 
 
-def prepass_score(q: Column, salient: Column, m: dict[str, Column], score: Column) -> Column:
-    """Cheap lexical score from field overlaps, phrases and support evidence."""
-    asked = F.when(F.size(salient) > 0, F.array_distinct(salient)).otherwise(F.array_distinct(q))
-    fields = [("title", 0.45), ("headings", 0.50), ("urls", 0.35), ("tags", 0.25), ("search_text", 0.20)]
-    total = F.least(F.lit(1.0), score / 25.0)
-    weighted = F.lit(0.0)
-    for name, weight in fields:
-        weighted = weighted + weight * X.overlap(asked, X.tokens(m[name]))
-    whole = F.concat_ws(" ", m["title"], m["headings"], m["urls"], m["keywords"], m["search_text"])
-    phrases = 0.08 * X.phrase_hits(salient, 2, F.lower(whole)) + 0.12 * X.phrase_hits(salient, 3, F.lower(whole))
-    return F.when(F.size(q) > 0, total + weighted + phrases + X.support_score(F.array_distinct(q), X.tokens(whole), whole)).otherwise(F.lit(0.0))
-
-
 def field_columns() -> dict[str, Column]:
     join = lambda *c: F.concat_ws(" ", *(F.nullif(F.col(x), F.lit("")) for x in c))
     return {"title": join("title"), "headings": join("heading", "heading_path"), "urls": join("url", "resolved_url"), "tags": join("keywords", "product", "doc_type"), "keywords": join("keywords"), "search_text": join("search_text")}
 
 
+def document_terms(meta: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents that ``wanted`` names by ordinal, with the token arrays that scoring reads.
+
+    ``w_*`` arrays also have the capability prefixes whose numbered forms the field has.
+    """
+    m = field_columns()
+    rows = meta.join(wanted.select("ordinal").distinct(), "ordinal", "left_semi")
+    arrays = {"titles": X.tokens(m["title"]), "heads": X.tokens(m["headings"]), "urls": X.tokens(m["urls"]), "tags": X.tokens(m["tags"]), "words": X.tokens(m["keywords"]), "body": X.tokens(m["search_text"]), "links": X.split_tokens(m["urls"])}
+    rows = rows.withColumns({n: F.array_distinct(c) for n, c in arrays.items()})
+    rows = rows.withColumn("title_url", F.array_union("titles", "links"))
+    rows = rows.withColumn("pre_text", F.array_union(F.array_union(F.array_union("titles", "heads"), F.array_union("urls", "words")), F.col("body")))
+    rows = rows.withColumn("whole_text", F.array_union(F.array_union("body", "title_url"), F.col("heads")))
+    rows = rows.withColumns({f"w_{n}": F.array_union(n, X.numbered_prefixes(F.col(n))) for n in ("titles", "heads", "urls", "tags", "body", "links", "title_url", "pre_text", "whole_text")})
+    pre = F.concat_ws(" ", m["title"], m["headings"], m["urls"], m["keywords"], m["search_text"])
+    whole = F.concat_ws(" ", m["search_text"], m["title"], m["headings"], m["urls"])
+    return rows.withColumns({"pre_lower": F.lower(pre), "pre_denied": X.denies_support(pre), "denied": X.denies_support(whole), "title_words": F.lower(F.concat_ws(" ", m["title"], m["urls"]))})
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``query_id`` with the arrays and flags that scoring reads of a query."""
+    q = queries.select("query_id", X.tokens(F.col("query")).alias("sequence"))
+    q = q.withColumns({"q": F.array_distinct("sequence"), "salient_terms": X.without(F.col("sequence"), C.STOPWORDS), "direct_terms": X.without(F.col("sequence"), C.DIRECT_STOPWORDS)})
+    q = q.withColumns({"salient": F.array_distinct("salient_terms"), "direct": F.array_distinct("direct_terms"), "capability": F.filter("q", lambda t: t.rlike("^(sme|sve)[0-9]*$"))})
+    q = q.withColumn("asked", F.when(F.size("direct") > 0, F.col("direct")).when(F.size("salient") > 0, F.col("salient")).otherwise(F.col("q")))
+    q = q.withColumn("phrase_terms", F.when(F.size("direct_terms") > 0, F.col("direct_terms")).otherwise(F.sort_array("asked")))
+    grams = {f"{n}{k}": X.ngrams(F.col(c), k) for n, c in (("salient", "salient_terms"), ("phrase", "phrase_terms")) for k in (2, 3)}
+    return q.withColumns({**grams, "pre_asked": F.when(F.size("salient") > 0, F.col("salient")).otherwise(F.col("q")), "few": F.size("asked") <= 3})
+
+
+def support(d: str, widened: str, denied: str) -> Column:
+    """Evidence of support for the asked capability, from arrays."""
+    found = F.size(F.array_intersect("capability", widened))
+    asks = F.arrays_overlap("q", X.words_in(C.SUPPORT)) & (found > 0) & F.arrays_overlap(d, X.words_in(C.SUPPORT))
+    return F.when(asks, X.support_parts(F.col("q"), F.col(d), found, F.col(denied))).otherwise(F.lit(0.0))
+
+
 def lexical_prepass(queries: DataFrame, meta: DataFrame, top: DataFrame, k: int) -> DataFrame:
-    """``query_id, ordinal, prepass, rank``: BM25's best, scored by field, the best ``k``."""
-    joined = top.select("query_id", "ordinal", "score", F.col("rank").alias("bm25_rank")).join(queries.select("query_id", "query"), "query_id").join(meta, "ordinal")
-    q = X.tokens(F.col("query"))
-    p = F.round(prepass_score(q, X.without(q, C.STOPWORDS), field_columns(), F.col("score")), 6)
-    return ranked(joined.select("query_id", "ordinal", "bm25_rank", p.alias("prepass")).filter("prepass > 0"), k, F.desc("prepass"), F.col("bm25_rank")).drop("bm25_rank")
+    """``query_id, ordinal, prepass, bm25, rank``: BM25's best, scored by overlaps of fields, phrases and support evidence, the best ``k``."""
+    best = top.select("query_id", "ordinal", "score", F.col("rank").alias("bm25_rank"))
+    pairs = best.join(document_terms(meta, top), "ordinal").join(query_terms(queries), "query_id")
+    weights = [("titles", 0.45), ("heads", 0.50), ("urls", 0.35), ("tags", 0.25), ("body", 0.20)]
+    overlaps = F.lit(0.0)
+    for name, weight in weights:
+        overlaps = overlaps + weight * X.share(F.col("pre_asked"), F.col(f"w_{name}"))
+    phrases = 0.08 * X.held(F.col("salient2"), F.col("pre_lower")) + 0.12 * X.held(F.col("salient3"), F.col("pre_lower"))
+    score = F.least(F.lit(1.0), F.col("score") / 25.0) + overlaps + phrases + support("pre_text", "w_pre_text", "pre_denied")
+    scored = pairs.filter(F.size("q") > 0).select("query_id", "ordinal", "bm25_rank", F.round(score, 6).alias("prepass"), F.col("score").alias("bm25"))
+    return ranked(scored.filter("prepass > 0"), k, F.desc("prepass"), F.col("bm25_rank")).drop("bm25_rank")
 
 
 def fuse(pre: DataFrame, dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """Reciprocal-rank fusion of up to three lists, with each list's own score kept."""
     null = lambda t: F.lit(None).cast(t)
-    one = pre.select("query_id", "ordinal", F.lit(0).alias("part"), "rank", F.col("prepass"), null("double").alias("distance"), null("double").alias("score"))
+    one = pre.select("query_id", "ordinal", F.lit(0).alias("part"), "rank", "prepass", null("double").alias("distance"), F.col("bm25").alias("score"))
     two = dense.select("query_id", "ordinal", F.lit(1).alias("part"), "rank", null("double").alias("prepass"), "distance", null("double").alias("score"))
     three = sparse.select("query_id", "ordinal", F.lit(2).alias("part"), "rank", null("double").alias("prepass"), null("double").alias("distance"), "score")
     every = one.unionByName(two).unionByName(three)
@@ -120,41 +197,29 @@ def doc_type_bonus(q: Column, title_url: Column, doc_type: Column) -> Column:
 
 def rerank(queries: DataFrame, meta: DataFrame, fused: DataFrame, root_host: str = "", root_depth: int = 3) -> DataFrame:
     """Candidates with ``rerank``: two weightings, for up to three query terms and for more."""
-    tok = F.col("query_tokens")
-    base = fused.join(queries.select("query_id", "query", X.tokens(F.col("query")).alias("sequence")), "query_id").join(meta, "ordinal")
-    base = base.withColumn("query_tokens", F.array_distinct("sequence")).withColumn("salient", F.array_distinct(X.without(F.col("sequence"), C.STOPWORDS)))
-    base = base.withColumn("direct_terms", X.without(F.col("sequence"), C.DIRECT_STOPWORDS)).withColumn("direct", F.array_distinct("direct_terms"))
-    m = field_columns()
-    base = base.withColumn("asked", F.when(F.size("direct") > 0, F.col("direct")).when(F.size("salient") > 0, F.col("salient")).otherwise(tok))
-    base = base.withColumn("body", F.array_distinct(X.tokens(m["search_text"]))).withColumn("titles", X.tokens(m["title"])).withColumn("heads", X.tokens(m["headings"])).withColumn("links", X.split_tokens(m["urls"]))
-    base = base.withColumn("title_url", F.array_union("titles", "links"))
-    asked, direct = F.col("asked"), F.col("direct")
-    o = {n: X.overlap(asked, F.col(n)) for n in ("body", "titles", "heads", "links", "title_url")}
-    entity = X.overlap(F.col("salient"), F.col("title_url"))
-    kind = F.lower(F.trim(F.coalesce("doc_type", F.lit(""))))
+    base = fused.join(document_terms(meta, fused), "ordinal").join(query_terms(queries), "query_id")
+    share = lambda q, d: X.share(F.col(q), F.col(d))
+    base = base.withColumns({f"o_{n}": share("asked", f"w_{n}") for n in ("body", "titles", "heads", "links", "title_url")} | {"entity": share("salient", "w_title_url"), "kind": F.lower(F.trim(F.coalesce("doc_type", F.lit(""))))})
     flag = lambda c, v: F.when(c, v).otherwise(0.0)
-    few = F.size(asked) <= 3
-    terms = F.when(F.size("direct_terms") > 0, F.col("direct_terms")).otherwise(F.sort_array(asked))
-    words = F.lower(F.concat_ws(" ", m["title"], m["urls"]))
-    phrase = X.phrase_bonus(terms, words)
-    guide = F.array_contains(tok, F.lit("guide")) & F.array_contains("title_url", F.lit("guide"))
-    match = 0.35 * o["title_url"] + 0.15 * o["links"] + phrase + flag(o["title_url"] >= 0.75, 0.20) + flag(few & (o["title_url"] >= 0.60), 0.15) + flag(guide, 0.12)
-    shallow = flag((F.size(direct) > 0) & (o["title_url"] == 0) & (o["heads"] < 0.5) & (F.size(F.array_intersect(F.array_except(tok, direct), F.array_union("titles", "heads"))) >= 2), 0.12)
+    phrase = F.least(F.lit(0.40), 0.10 * X.held(F.col("phrase2"), F.col("title_words")) + 0.16 * X.held(F.col("phrase3"), F.col("title_words")))
+    guide = F.array_contains("q", F.lit("guide")) & F.array_contains("title_url", F.lit("guide"))
+    near = F.col("o_title_url")
+    match = 0.35 * near + 0.15 * F.col("o_links") + phrase + flag(near >= 0.75, 0.20) + flag(F.col("few") & (near >= 0.60), 0.15) + flag(guide, 0.12)
+    generic = F.size(F.array_intersect(F.array_except("q", "direct"), F.array_union("titles", "heads")))
+    shallow = flag((F.size("direct") > 0) & (near == 0) & (F.col("o_heads") < 0.5) & (generic >= 2), 0.12)
     dense = F.coalesce(F.greatest(F.lit(0.0), (C.DISTANCE_LIMIT - F.col("distance")) / C.DISTANCE_LIMIT), F.lit(0.0))
     sparse = F.least(F.lit(1.0), F.coalesce(F.col("bm25"), F.lit(0.0)) / 10.0)
     pre = F.least(F.lit(1.0), F.coalesce(F.col("prepass"), F.lit(0.0)) / 2.0) + F.coalesce(1.0 / (C.RRF_K + F.col("prepass_rank")), F.lit(0.0))
-    whole = F.concat_ws(" ", m["search_text"], m["title"], m["headings"], m["urls"])
-    support = X.support_score(tok, F.array_union(F.array_union("body", "title_url"), "heads"), whole)
-    provider = flag(F.arrays_overlap(tok, X.words_in(C.PROVIDER)) & (kind == C.PROVIDER_TYPE), 0.18)
-    root = (F.lower(F.try_parse_url("url", F.lit("HOST"))) == root_host) & (F.size(F.filter(F.split(F.try_parse_url("url", F.lit("PATH")), "/"), lambda x: x != "")) == root_depth)
-    parent = flag(few & F.coalesce(root, F.lit(False)), F.when(o["title_url"] >= 0.60, 0.85).otherwise(0.25))
-    bonus = doc_type_bonus(tok, F.col("title_url"), kind)
-    share = lambda n: F.size(F.array_intersect(tok, F.array_distinct(n))).cast("double") / F.size(tok)
-    short = F.col("rrf") + 0.16 * o["body"] + 0.16 * o["titles"] + 0.08 * o["heads"] + 0.12 * entity + 0.15 * dense + 0.12 * sparse + 0.25 * pre + match + support + provider + parent + bonus - shallow
+    evidence = support("whole_text", "w_whole_text", "denied")
+    provider = flag(F.arrays_overlap("q", X.words_in(C.PROVIDER)) & (F.col("kind") == C.PROVIDER_TYPE), 0.18)
+    root = F.coalesce((U.host(F.col("url")) == root_host) & (F.size(U.path_parts(F.col("url"))) == root_depth), F.lit(False))
+    parent = flag(F.col("few") & root, F.when(near >= 0.60, 0.85).otherwise(0.25))
+    bonus = doc_type_bonus(F.col("q"), F.col("title_url"), F.col("kind"))
+    short = F.col("rrf") + 0.16 * F.col("o_body") + 0.16 * F.col("o_titles") + 0.08 * F.col("o_heads") + 0.12 * F.col("entity") + 0.15 * dense + 0.12 * sparse + 0.25 * pre + match + evidence + provider + parent + bonus - shallow
     exact = flag(F.arrays_overlap("salient", "title_url"), 0.18)
-    long = F.col("rrf") + 0.35 * share("body") + 0.20 * share("titles") + 0.15 * share("heads") + 0.20 * entity + 0.15 * dense + 0.15 * sparse + 0.35 * pre + support + provider + exact + bonus
-    score = F.when(F.size(tok) == 0, F.col("rrf")).when(few, short).otherwise(long)
-    return base.withColumn("rerank", F.round(score, 6)).select("query_id", "ordinal", "ord", "url", "title", "heading", "doc_type", "product", "search_text", "distance", "rrf", "rerank")
+    long = F.col("rrf") + 0.35 * share("q", "body") + 0.20 * share("q", "titles") + 0.15 * share("q", "heads") + 0.20 * F.col("entity") + 0.15 * dense + 0.15 * sparse + 0.35 * pre + evidence + provider + exact + bonus
+    score = F.when(F.size("q") == 0, F.col("rrf")).when(F.col("few"), short).otherwise(long)
+    return base.select("query_id", "ordinal", "ord", "url", "title", "heading", "doc_type", "product", "search_text", "distance", "rrf", F.round(score, 6).alias("rerank"))
 
 
 def dedup_urls(results: DataFrame, each: int = 1) -> DataFrame:
@@ -171,13 +236,21 @@ def depths(k: int | None) -> dict[str, int]:
     return {"k": k, "candidates": candidate, "over_fetch": over, "prepass": max(3 * over, C.PINNED), "lexical": max(candidate, PRE)}
 
 
+def candidates(queries: DataFrame, meta: DataFrame, vectors: DataFrame, lexical: int, prepass: int, depth: int, limit: float = C.DISTANCE_LIMIT) -> DataFrame:
+    """All three lists of a batch, fused; postings and BM25's list are written once and read by every step."""
+    tables = Scratch(meta.sparkSession)
+    posts, stats = tables.keep(postings(meta), "postings"), tables.keep(corpus_stats(meta), "corpus-stats")
+    top = tables.keep(bm25_topk(bm25(queries, posts, idf(posts, stats), stats), lexical), "bm25")
+    pre = lexical_prepass(queries, meta, top, prepass)
+    fused = tables.keep(fuse(pre, dense_topk(queries, vectors, depth, limit), top.filter(F.col("rank") <= depth)), "fused")
+    tables.drop("postings", "corpus-stats", "bm25")
+    return fused
+
+
 def search(queries: DataFrame, meta: DataFrame, vectors: DataFrame, k: int | None = None, root_host: str = "") -> DataFrame:
     """``queries (query_id, query, vector)`` against ``meta`` and ``vectors (ordinal, vector)``: the flagship."""
     d = depths(k)
-    posts, stats = postings(meta), corpus_stats(meta)
-    top = bm25_topk(bm25(queries, posts, idf(posts, stats), stats), d["lexical"])
-    pre = lexical_prepass(queries, meta, top, d["prepass"])
-    fused = fuse(pre, dense_topk(queries.filter("vector is not null"), vectors, d["candidates"]), top.filter(F.col("rank") <= d["candidates"]))
+    fused = candidates(queries, meta, vectors, d["lexical"], d["prepass"], d["candidates"])
     best = ranked(rerank(queries, meta, fused, root_host), d["over_fetch"], F.desc("rerank"), F.col("ord"), name="_r").drop("_r")
     return ranked(dedup_urls(best), d["k"], F.desc("rerank"), F.col("ord"))
 

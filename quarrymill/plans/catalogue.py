@@ -18,6 +18,7 @@ from quarrymill.operators import chunking as K
 from quarrymill.operators import operations as O
 from quarrymill.operators import retrieval as R
 from quarrymill.sources import sections as S
+from quarrymill.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -445,13 +446,13 @@ def phrase_bonus(spark, d, rows=None):
     return given(spark, PHRASES, rows).select("k", F.round(X.phrase_bonus(terms, F.lower("t")), 6).alias("bonus"))
 
 
-EVIDENCE = literal("k long, q string, t string", (1, "which devices support sve2", "sve2 is supported by devices and servers"), (2, "sve support", "It does not support sve2 hardware"), (3, "sve2 support", "sve hardware"), (4, "plain words", "sve2 support"), (5, "sme capability sve", "sme2 sve capability device"))
+EVIDENCE = literal("k long, q string, t string", (1, "which devices support sve2", "sve2 is supported by devices and servers"), (2, "sve support", "It does not support sve2 hardware"), (3, "sve2 support", "sve hardware"), (4, "plain words", "sve2 support"), (5, "sme capability sve", "sme2 sve capability device"), (6, "supporting servers with sve", "sve2 supporting server"))
 
 
 @query(f"""WITH m AS (SELECT k, list_distinct({tok_sql('q')}) AS q, {tok_sql('t')} AS d, t FROM {EVIDENCE[1]}),
     n AS (SELECT *, len(list_filter(q, lambda x: regexp_full_match(x, '(sme|sve)[0-9]*') AND (list_contains(d, x) OR (x IN ('sme', 'sve') AND len(list_filter(d, lambda y: regexp_full_match(y, x || '[0-9]+'))) > 0)))) AS hits FROM m)
-    SELECT k, round(CASE WHEN list_has_any(q, {stop_list(C.SUPPORT)}) AND hits > 0 AND list_has_any(d, {stop_list(C.SUPPORT)}) THEN 0.12::DOUBLE * hits + CASE WHEN list_has_any(d, ['device', 'devices']) THEN 0.20 ELSE 0 END + CASE WHEN list_has_any(d, ['server', 'servers']) THEN 0.10 ELSE 0 END
-        + CASE WHEN list_has_any(d, ['support', 'supported', 'supporting', 'supports']) THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i){'|'.join(C.NEGATIVE_SUPPORT).replace(chr(39), chr(39) * 2)}') THEN 0.25 ELSE 0 END ELSE 0 END, 6) AS score FROM n""")
+    SELECT k, round(CASE WHEN list_has_any(q, {stop_list(C.SUPPORT)}) AND hits > 0 AND list_has_any(d, {stop_list(C.SUPPORT)}) THEN 0.12::DOUBLE * hits + CASE WHEN list_has_any(q, ['device', 'devices']) AND list_has_any(d, ['device', 'devices']) THEN 0.20 ELSE 0 END + CASE WHEN list_has_any(q, ['server', 'servers']) AND list_has_any(d, ['server', 'servers']) THEN 0.10 ELSE 0 END
+        + CASE WHEN list_has_any(d, ['support', 'supported', 'supports', 'capable']) THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i){'|'.join(C.NEGATIVE_SUPPORT).replace(chr(39), chr(39) * 2)}') THEN 0.25 ELSE 0 END ELSE 0 END, 6) AS score FROM n""")
 def support_score(spark, d, rows=None):
     score = X.support_score(F.array_distinct(X.tokens(F.col("q"))), X.tokens(F.col("t")), F.col("t"))
     return given(spark, EVIDENCE, rows).select("k", F.round(score, 6).alias("score"))
@@ -479,36 +480,83 @@ def intent_flags(spark, d, rows=None):
     return given(spark, ASKED, rows).select("k", *(F.arrays_overlap(X.tokens(F.col("q")), X.words_in(w)).alias(n) for n, w in INTENT.items()))
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(str(tuple(R.depths(k).values())) for k in (1, 5, 50))}) AS t(k, candidates, over_fetch, prepass, lexical)")
+@query("SELECT * FROM (VALUES (1, 100, 50, 150, 400), (5, 100, 50, 150, 400), (50, 1000, 400, 1200, 1000), (7, 140, 70, 210, 400)) AS t(k, candidates, over_fetch, prepass, lexical)")
 def depth_policy(spark, d):
-    return spark.createDataFrame([tuple(R.depths(k).values()) for k in (1, 5, 50)], "k int, candidates int, over_fetch int, prepass int, lexical int")
-
-
-def prepass(spark, d):
-    c = corpus(spark, d)
-    return R.lexical_prepass(asked(spark, d), c, R.bm25_topk(scores(spark, d), C.PREPASS_DEPTH), 150)
-
-
-@query()
+    return spark.createDataFrame([tuple(R.depths(k).values()) for k in (1, 5, 50, 7)], "k int, candidates int, over_fetch int, prepass int, lexical int")
+
+
+def hybrid_sql(limit: float) -> str:
+    """The three lists, their fusion and the reranking, step by step."""
+    hits = lambda q, d: f"len(list_intersect({q}, w_{d}))"
+    widened = lambda d: f"{d} || CASE WHEN len(list_filter({d}, lambda y: regexp_full_match(y, 'sme[0-9]+'))) > 0 THEN ['sme'] ELSE [] END || CASE WHEN len(list_filter({d}, lambda y: regexp_full_match(y, 'sve[0-9]+'))) > 0 THEN ['sve'] ELSE [] END AS w_{d}"
+    share = lambda q, d: f"(CASE WHEN len({q}) > 0 THEN {hits(q, d)}::DOUBLE / len({q}) ELSE 0 END)"
+    exact = lambda d: f"(len(list_intersect(q, {d}))::DOUBLE / len(q))"
+    grams = lambda t, n: f"[array_to_string({t}[i:i+{n - 1}], ' ') for i in range(1, len({t}) - {n - 2})]"
+    held = lambda g, t: f"len(list_filter({g}, lambda g: contains({t}, g)))::DOUBLE"
+    any_of = lambda a, words: f"list_has_any({a}, {stop_list(words)})"
+    both = lambda d, words, v: f"CASE WHEN {any_of('q', words)} AND {any_of(d, words)} THEN {v}::DOUBLE ELSE 0 END"
+    denies = f"(?i){'|'.join(C.NEGATIVE_SUPPORT)}".replace("'", "''")
+    evidence = lambda d, text: (
+        f"(CASE WHEN {any_of('q', C.SUPPORT)} AND {hits('cap', d)} > 0 AND {any_of(d, C.SUPPORT)} THEN 0.12::DOUBLE * {hits('cap', d)} + {both(d, ['device', 'devices'], 0.20)} + {both(d, ['server', 'servers'], 0.10)}"
+        f" + CASE WHEN {any_of(d, ['support', 'supported', 'supports', 'capable'])} THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN regexp_matches({text}, '{denies}') THEN 0.25::DOUBLE ELSE 0 END ELSE 0 END)"
+    )
+    split = f"flatten(list_transform({tok_sql('urls')}, lambda t: CASE WHEN regexp_matches(t, '[_\\-+.]') THEN list_concat([t], list_filter(string_split_regex(t, '[_\\-+.]+'), lambda x: x <> '')) ELSE [t] END))"
+    guide = f"({any_of('q', C.COMPILER)} AND list_contains(q, 'guide'))"
+    bonus = f"""(CASE WHEN NOT {any_of('q', C.TUNING)} OR {guide} THEN 0 WHEN kind = 'tuning guide' THEN 0.30 WHEN contains(kind, 'brief') THEN -0.12 ELSE 0 END::DOUBLE
+        + CASE WHEN NOT {guide} THEN 0 WHEN kind = 'tutorial' AND {any_of('tu', C.COMPILER)} AND list_contains(tu, 'guide') THEN 0.35 WHEN kind = 'tuning guide' AND NOT {any_of('tu', C.COMPILER)} THEN -0.12 ELSE 0 END::DOUBLE
+        + CASE WHEN NOT {any_of('q', C.REFERENCE_ARCHITECTURE)} THEN 0 WHEN kind = 'reference architecture' THEN 0.25 WHEN contains(kind, 'brief') THEN -0.05 ELSE 0 END::DOUBLE
+        + CASE WHEN {any_of('q', C.TUTORIAL)} AND kind IN ('tutorial', 'install guide', 'learning path', 'learning paths') THEN 0.10 ELSE 0 END::DOUBLE)"""
+    phrase = f"least(0.40::DOUBLE, 0.10::DOUBLE * {held('p2', 'title_words')} + 0.16::DOUBLE * {held('p3', 'title_words')})"
+    match = f"(0.35::DOUBLE * o_tu + 0.15::DOUBLE * o_li + {phrase} + CASE WHEN o_tu >= 0.75 THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN len(asked) <= 3 AND o_tu >= 0.60 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN list_contains(q, 'guide') AND list_contains(tu, 'guide') THEN 0.12::DOUBLE ELSE 0 END)"
+    shallow = "(CASE WHEN len(direct) > 0 AND o_tu = 0 AND o_he < 0.5 AND len(list_intersect(list_filter(q, lambda x: NOT list_contains(direct, x)), ti || he)) >= 2 THEN 0.12::DOUBLE ELSE 0 END)"
+    dense = "coalesce(greatest(0.0::DOUBLE, (1.1::DOUBLE - distance) / 1.1::DOUBLE), 0)"
+    sparse = "least(1.0::DOUBLE, coalesce(bm25, 0) / 10.0::DOUBLE)"
+    pre = "(least(1.0::DOUBLE, coalesce(prepass, 0) / 2.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + prepass_rank), 0))"
+    provider = f"CASE WHEN {any_of('q', C.PROVIDER)} AND kind = '{C.PROVIDER_TYPE}' THEN 0.18::DOUBLE ELSE 0 END"
+    return f"""{CTE}, {DENSE.replace('1.3', str(limit))},
+    qa AS (SELECT item_id AS query_id, {tok_sql('text')} AS sq, {salient_sql('text')} AS st, {salient_sql('text', C.DIRECT_STOPWORDS)} AS dt FROM benchmark),
+    qb AS (SELECT *, list_distinct(sq) AS q, list_distinct(st) AS salient, list_distinct(dt) AS direct, list_filter(list_distinct(sq), lambda x: regexp_full_match(x, '(sme|sve)[0-9]*')) AS cap FROM qa),
+    qc AS (SELECT *, CASE WHEN len(direct) > 0 THEN direct WHEN len(salient) > 0 THEN salient ELSE q END AS asked, CASE WHEN len(salient) > 0 THEN salient ELSE q END AS pre_asked FROM qb),
+    qd AS (SELECT *, CASE WHEN len(dt) > 0 THEN dt ELSE list_sort(asked) END AS pt FROM qc),
+    qx AS (SELECT *, {grams('st', 2)} AS s2, {grams('st', 3)} AS s3, {grams('pt', 2)} AS p2, {grams('pt', 3)} AS p3 FROM qd),
+    da AS (SELECT doc_id AS ordinal, coalesce(source, '') AS title, coalesce(lang, '') AS heading, 'https://docs.example.org/' || source || '/' || (doc_id % 97) AS url, coalesce(text, '') AS body, ['tutorial', 'tuning guide', 'brief', 'reference architecture'][doc_id % 4 + 1] AS kind FROM documents WHERE doc_id IN (SELECT ordinal FROM tp UNION SELECT ordinal FROM dn)),
+    db AS (SELECT *, concat_ws(' ', nullif(url, ''), nullif(url, '')) AS urls FROM da),
+    dd AS (SELECT *, list_distinct({tok_sql('title')}) AS ti, list_distinct({tok_sql('heading')}) AS he, list_distinct({tok_sql('urls')}) AS ur, list_distinct({tok_sql("concat_ws(' ', nullif(heading, ''), 'Documentation', kind)")}) AS ta, list_distinct({tok_sql('body')}) AS bo, list_distinct({split}) AS li, concat_ws(' ', title, heading, urls, heading, body) AS pre_whole, concat_ws(' ', body, title, heading, urls) AS whole, lower(concat_ws(' ', title, urls)) AS title_words FROM db),
+    de AS (SELECT *, list_distinct(list_concat(ti, li)) AS tu, list_distinct(ti || he || ur || bo) AS pt_all, list_distinct(bo || ti || li || he) AS wt_all, lower(pre_whole) AS pre_lower FROM dd),
+    dx AS (SELECT *, {', '.join(map(widened, ('ti', 'he', 'ur', 'ta', 'bo', 'li', 'tu', 'pt_all', 'wt_all')))} FROM de),
+    pa AS (SELECT tp.query_id, tp.ordinal, tp.score, tp.rank AS br, round(least(1.0::DOUBLE, tp.score / 25.0::DOUBLE) + (0.45::DOUBLE * {share('pre_asked', 'ti')} + 0.50::DOUBLE * {share('pre_asked', 'he')} + 0.35::DOUBLE * {share('pre_asked', 'ur')} + 0.25::DOUBLE * {share('pre_asked', 'ta')} + 0.20::DOUBLE * {share('pre_asked', 'bo')})
+        + (0.08::DOUBLE * {held('s2', 'pre_lower')} + 0.12::DOUBLE * {held('s3', 'pre_lower')}) + {evidence('pt_all', 'pre_whole')}, 6) AS prepass FROM tp JOIN dx USING (ordinal) JOIN qx USING (query_id) WHERE len(q) > 0),
+    pr AS (SELECT query_id, ordinal, prepass, score AS bm25, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY prepass DESC, br) AS INTEGER) AS rank FROM pa WHERE prepass > 0) WHERE rank <= 150),
+    li AS (SELECT query_id, ordinal, 0 AS part, rank, prepass, NULL::DOUBLE AS distance, bm25 FROM pr UNION ALL SELECT query_id, ordinal, 1, rank, NULL, distance, NULL FROM dn UNION ALL SELECT query_id, ordinal, 2, rank, NULL, NULL, score FROM tp WHERE rank <= 100),
+    fu AS (SELECT query_id, ordinal, sum(1.0::DOUBLE / (60 + rank)) AS rrf, max(prepass) AS prepass, min(CASE WHEN part = 0 THEN rank END) AS prepass_rank, max(distance) AS distance, max(bm25) AS bm25, min(part * 100000 + rank) AS ord FROM li GROUP BY ALL),
+    ra AS (SELECT *, {share('asked', 'bo')} AS o_bo, {share('asked', 'ti')} AS o_ti, {share('asked', 'he')} AS o_he, {share('asked', 'li')} AS o_li, {share('asked', 'tu')} AS o_tu, {share('salient', 'tu')} AS entity FROM fu JOIN dx USING (ordinal) JOIN qx USING (query_id)),
+    rr AS (SELECT *, round(CASE WHEN len(q) = 0 THEN rrf WHEN len(asked) <= 3
+        THEN rrf + 0.16::DOUBLE * o_bo + 0.16::DOUBLE * o_ti + 0.08::DOUBLE * o_he + 0.12::DOUBLE * entity + 0.15::DOUBLE * {dense} + 0.12::DOUBLE * {sparse} + 0.25::DOUBLE * {pre} + {match} + {evidence('wt_all', 'whole')} + {provider} + {bonus} - {shallow}
+        ELSE rrf + 0.35::DOUBLE * {exact('bo')} + 0.20::DOUBLE * {exact('ti')} + 0.15::DOUBLE * {exact('he')} + 0.20::DOUBLE * entity + 0.15::DOUBLE * {dense} + 0.15::DOUBLE * {sparse} + 0.35::DOUBLE * {pre} + {evidence('wt_all', 'whole')} + {provider} + CASE WHEN list_has_any(salient, tu) THEN 0.18::DOUBLE ELSE 0 END + {bonus} END, 6) AS rerank FROM ra)"""
+
+
+HYBRID, FLAGSHIP = hybrid_sql(1.3), hybrid_sql(C.DISTANCE_LIMIT)
+
+
+def candidate_lists(spark, d):
+    depth = R.depths(C.K)
+    return R.candidates(asked(spark, d), corpus(spark, d), vectors(spark, d), depth["lexical"], depth["prepass"], depth["candidates"], 1.3)
+
+
+@query(f"WITH {HYBRID} SELECT query_id, ordinal, prepass, rank FROM pr")
 def lexical_prepass(spark, d):
-    return prepass(spark, d)
+    top = R.bm25_topk(scores(spark, d), C.PREPASS_DEPTH)
+    return R.lexical_prepass(asked(spark, d), corpus(spark, d), materialize(top, "bm25"), 150).drop("bm25")
 
 
-@query(f"WITH {CTE}, {DENSE}, un AS (SELECT query_id, ordinal, rank FROM dn UNION ALL SELECT query_id, ordinal, rank FROM tp WHERE rank <= 100) SELECT query_id, ordinal, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM un GROUP BY ALL")
+@query(f"WITH {HYBRID} SELECT query_id, ordinal, round(rrf, 9) AS rrf FROM fu")
 def rrf_fusion(spark, d):
-    sparse, dense = R.bm25_topk(scores(spark, d), 100), dense_topk(spark, d)
-    none = sparse.limit(0).withColumn("prepass", F.lit(0.0))
-    return R.fuse(none, dense, sparse).select("query_id", "ordinal", F.round("rrf", 9).alias("rrf"))
+    return candidate_lists(spark, d).select("query_id", "ordinal", F.round("rrf", 9).alias("rrf"))
 
 
-def fused(spark, d):
-    sparse = R.bm25_topk(scores(spark, d), 100)
-    return R.fuse(prepass(spark, d), R.dense_topk(asked(spark, d).filter("vector is not null"), vectors(spark, d), 100, 1.3), sparse)
-
-
-@query()
+@query(f"WITH {HYBRID} SELECT query_id, ordinal, round(rrf, 9) AS rrf, rerank FROM rr")
 def rerank(spark, d):
-    return R.rerank(asked(spark, d), corpus(spark, d), fused(spark, d)).select("query_id", "ordinal", "rrf", "rerank")
+    return R.rerank(asked(spark, d), corpus(spark, d), candidate_lists(spark, d)).select("query_id", "ordinal", F.round("rrf", 9).alias("rrf"), "rerank")
 
 
 @query(f"WITH {CTE}, u AS (SELECT tp.*, source || '/' || (doc_id % 97) AS url FROM tp JOIN documents ON ordinal = doc_id WHERE rank <= 50) SELECT query_id, ordinal, url FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY score DESC, rank) AS nth FROM u) WHERE nth <= 1")
@@ -519,7 +567,12 @@ def url_dedup(spark, d):
     return R.dedup_urls(rows).select("query_id", "ordinal", "url")
 
 
-@query()
+FOUND = """be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, ord) AS r FROM rr) WHERE r <= 50),
+    un AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rerank DESC, ord) AS nth FROM be WHERE url <> '') WHERE nth = 1),
+    fi AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, ord) AS INTEGER) AS rank FROM un) WHERE rank <= 5)"""
+
+
+@query(f"WITH {FLAGSHIP}, {FOUND} SELECT query_id, rank, url || '?utm_source=kb' AS url, body AS snippet, title, heading, kind AS doc_type, 'Documentation' AS product, distance, rerank AS score, 'Check the source before use.' AS disclaimer FROM fi")
 def search_flagship(spark, d):
     out = R.search(asked(spark, d), corpus(spark, d), vectors(spark, d))
     note = F.when(U.in_domain(F.col("url"), "example.org"), "Check the source before use.")

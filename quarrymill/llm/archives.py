@@ -3,31 +3,37 @@
 Pages are written as ARC files of both versions (the version of a file is in its
 first record). The converter reads the version, takes the header lines' fields in
 that version's order, cuts contents by the declared lengths, and synthesises WARC
-identifiers, timestamps, types and digests. Archives are written with Spark's
-text sink: a record is a value, and the records' separator is the line separator.
+identifiers, timestamps, types and digests. Every record is a gzip member of its
+own. A file is one value of Spark's text sink; the line separator behind it is an
+empty gzip member, so that the file is a sequence of whole members.
+
+Which records are revisits is decided on ``(page_id, digest, size, place)`` alone.
+Contents meet these decisions by file, never by digest: copies of one page, however
+many, stay in the files that hold them.
 
 Defined cases: null html is an empty payload; a null or blank url becomes
 ``urn:x-page:<id>``, blanks and control characters in urls are escaped; a null id
 stays null, and its record is a response; rows that repeat the largest id of a
-payload are all responses. An empty table gives no archives and an empty result.
+payload are all responses, and revisits refer to the last of them by place. An
+empty table gives no archives and an empty result. Files may be compressed or
+plain; one that is cut off or declares a length that is none raises an error that
+names it. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.shared import new_path
+from quarrymill.llm.shared import named
+from quarrymill.storage import Scratch, new_path
 
 # The field names of both ARC versions, in order.
 ARC_FIELDS = {
@@ -35,7 +41,9 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-ARC_SEPARATOR, WARC_SEPARATOR = "\n", "\r\n\r\n"
+#: A gzip member of nothing.
+EMPTY = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
+WARC_INFO = b"software: quarrymill\r\nformat: WARC File Format 1.0\r\n"
 
 
 def plain_url(url: str | None, page_id: int | None) -> str:
@@ -49,55 +57,96 @@ def http_header(page_id: int | None, length: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {length}\r\n\r\n".encode()
 
 
+def member(data: bytes, level: int = 1) -> bytes:
+    pack = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return pack.compress(data) + pack.flush()
+
+
+def inflated(raw: bytes, path: str) -> bytes:
+    """The members of a file, one behind the other; plain files as they are."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out = []
+    try:
+        while raw:
+            unpack = zlib.decompressobj(31)
+            out.append(unpack.decompress(raw) + unpack.flush())
+            if not unpack.eof:
+                raise ValueError(f"{path} is cut off within a compressed record")
+            raw = unpack.unused_data
+    except zlib.error as e:
+        raise ValueError(f"{path} holds broken compressed data: {e}") from e
+    return b"".join(out)
+
+
+def declared(value: str | None, path: str, at: int) -> int:
+    if value is None or not value.isascii() or not value.isdigit():
+        raise ValueError(f"{path}: the record at byte {at} declares {value!r} for its length")
+    return int(value)
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Each row's ``value`` as a file."""
+    rows.select(F.col("value").cast("string")).write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` and ``content`` of all files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
 def arc_file_header(version: int, name: str, date: str) -> bytes:
     body = f"{version} 0 quarrymill\n{ARC_FIELDS[version]}\n".encode()
     tail = f" 200 - - 0 {name}" if version == 2 else ""
-    return f"filedesc://{name} 0.0.0.0 {date} text/plain{tail} {len(body)}\n".encode() + body
+    return f"filedesc://{name} 0.0.0.0 {date} text/plain{tail} {len(body)}\n".encode() + body + b"\n"
 
 
 def arc_record(version: int, url: str, date: str, content: bytes, name: str) -> bytes:
     tail = f" 200 {hashlib.md5(content).hexdigest()} - 0 {name}" if version == 2 else ""
-    return f"{url} 0.0.0.0 {date} text/html{tail} {len(content)}\n".encode() + content
+    return f"{url} 0.0.0.0 {date} text/html{tail} {len(content)}\n".encode() + content + b"\n"
 
 
-def write_arc(pages: DataFrame, path: str, file_bytes: int = 8 << 20, date: str = "20240101000000", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """ARC files of about ``file_bytes``, versions 1 and 2 by turns."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
-    total = rows.agg(F.sum(F.length("html") + 300)).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
+def write_arc(pages: DataFrame, path: str, file_bytes: int = 4 << 20, date: str = "20240101000000", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """ARC files of about ``file_bytes`` of content, versions 1 and 2 by turns, straight from the pages' partitions."""
+    rows = pages.select(named(id_col).cast("long").alias("id"), named(url_col).cast("string").alias("url"), F.coalesce(named(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        version, name, begun = 1 + part % 2, f"pages-{part:06d}.arc", False
+        count, held, size = 0, [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                out = [] if begun else [arc_file_header(version, name, date)]
-                begun = True
-                for page, url, html in zip(*(b.column(i).slice(at, 200).to_pylist() for i in range(3)), strict=True):
-                    out.append(arc_record(version, plain_url(url, page), date, http_header(page, len(html)) + html, name))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    records = rows.repartition(int(files), F.xxhash64("id", "url")).mapInArrow(run, "value binary")
-    records.select(F.col("value").cast("string")).write.option("lineSep", ARC_SEPARATOR).option("compression", "gzip").text(path)
-
-
-def parse_arc(data: bytes) -> Iterator[tuple[dict, bytes]]:
+            for at in range(0, b.num_rows, 100):
+                for page, url, html in zip(*(b.column(i).slice(at, 100).to_pylist() for i in range(3)), strict=True):
+                    version, name = 1 + count % 2, f"pages-{count:06d}.arc"
+                    if not held:
+                        held.append(member(arc_file_header(version, name, date)))
+                    held.append(member(arc_record(version, plain_url(url, page), date, http_header(page, len(html)) + html, name)))
+                    size += len(html) + 300
+                    if size >= file_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+                        count, held, size = count + 1, [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+
+    write_files(rows.mapInArrow(run, "value binary"), path)
+
+
+def parse_arc(data: bytes, path: str = "the file") -> Iterator[tuple[dict, bytes]]:
     """Header fields and content of every record but the file's own."""
     at, fields = 0, ARC_FIELDS[1].split()
     while at < len(data):
         line_end = data.find(b"\n", at)
-        if line_end < 0:
-            return
-        line = data[at:line_end].decode("utf-8", "replace").strip()
-        at = line_end + 1
+        line = data[at : line_end if line_end >= 0 else len(data)].decode("utf-8", "replace").strip()
+        begin, at = at, (line_end + 1 if line_end >= 0 else len(data))
         if not line:
             continue
         values = line.split(" ")
-        length = int(values[-1])
+        length = declared(values[-1], path, begin)
         content, at = data[at : at + length], at + length
+        if len(content) < length:
+            raise ValueError(f"{path}: the record at byte {begin} is cut off")
         if values[0].startswith("filedesc:"):  # tells the version and the order of fields
             head = content.decode("utf-8", "replace").split("\n")
-            fields = head[1].split() if len(head) > 1 and head[1].strip() else ARC_FIELDS[int(head[0].split(" ")[0])].split()
+            version = head[0].split(" ")[0]
+            fields = head[1].split() if len(head) > 1 and head[1].strip() else ARC_FIELDS.get(int(version) if version.isdigit() else 1, ARC_FIELDS[1]).split()
             continue
         if len(values) > len(fields):  # an old url with blanks in it
             values = ["%20".join(values[: len(values) - len(fields) + 1]), *values[len(values) - len(fields) + 1 :]]
@@ -114,75 +163,90 @@ def header_value(head: bytes, name: str) -> str | None:
     return found[1].decode("utf-8", "replace") if found else None
 
 
+def page_of(http: bytes) -> int | None:
+    found = header_value(http, "X-Page-Id")
+    return int(found) if found and found.lstrip("-").isdigit() else None
+
+
+def arc_rows(raw: bytes, path: str) -> Iterator[tuple[int, int | None, str, str, str, bytes, bytes, str]]:
+    """Number, page, url, date, ip, HTTP header, payload and its digest of a file's records."""
+    for n, (fields, content) in enumerate(parse_arc(inflated(raw, path), path)):
+        http, payload = split_http(content)
+        d = fields.get("Archive-date", "").ljust(14, "0")
+        yield n, page_of(http), fields["URL"], f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", fields.get("IP-address", "0.0.0.0"), http, payload, hashlib.sha1(payload).hexdigest()
+
+
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, url, date, ip, http, payload_bytes, payload_digest, body`` (compressed) of ARC records."""
+    """``path, n, page_id, url, date, payload_bytes, payload_digest`` of ARC records."""
+    names = ["path", "n", "page_id", "url", "date", "payload_bytes", "payload_digest"]
+    schema = pa.schema(list(zip(names, [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()], strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for raw in b.column(0):
-                out: list[tuple] = []
-                for fields, content in parse_arc(gzip.decompress(raw.as_py())):
-                    http, payload = split_http(content)
-                    page = header_value(http, "X-Page-Id")
-                    d = fields.get("Archive-date", "").ljust(14, "0")
-                    when = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    out.append((int(page) if page else None, fields["URL"], when, fields.get("IP-address"), http, len(payload), hashlib.sha1(payload).hexdigest(), pack.compress(payload)))
-                for at in range(0, len(out), 500):
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out[at : at + 500]], schema=schema)
-
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("ip", pa.string()), ("http", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("body", pa.binary())])
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, date string, ip string, http binary, payload_bytes long, payload_digest string, body binary")
-
-
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:x-page:{'none' if page_id is None else page_id}:{digest[:16]}>"
-
-
-def warc_record(row: dict, payload: bytes) -> bytes:
-    """A response record, or a revisit record that refers to the response of an equal payload."""
-    digest = base64.b32encode(bytes.fromhex(row["payload_digest"])).decode()
-    original = row["original"]
-    block = row["http"] if original is not None else row["http"] + payload
-    lines = ["WARC/1.0", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {record_id(row['page_id'], row['payload_digest'])}", f"WARC-Date: {row['date']}", f"WARC-Target-URI: {row['url']}", f"WARC-IP-Address: {row['ip']}"]
-    if original is not None:
-        lines += [f"WARC-Refers-To: {record_id(original, row['payload_digest'])}", f"WARC-Profile: {REVISIT_PROFILE}"]
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
-
-
-def convert_to_warc(arcs: DataFrame, path: str, least: int = 1000) -> None:
-    """WARC files of all ARC records; equal payloads of ``least`` bytes and more are kept once."""
-    groups = arcs.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = arcs.join(groups, ["payload_digest", "payload_bytes"], "left").withColumn("original", F.when(F.col("page_id") != F.col("original"), F.col("original")))
+            for at, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                out = [(at, n, page, url, date, len(payload), digest) for n, page, url, date, _, _, payload, digest in arc_rows(raw.as_py(), at)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, schema.types, strict=True)], schema=schema)
+
+    return read_files(spark, path).mapInArrow(run, "path string, n int, page_id long, url string, date string, payload_bytes long, payload_digest string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, begun = zstandard.ZstdDecompressor(), False
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                out = []
-                if not begun:
-                    info = b"software: quarrymill\r\nformat: WARC File Format 1.0\r\n"
-                    out.append(f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x-part:{TaskContext.get().partitionId()}>\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info)
-                    begun = True
-                for row in b.slice(at, 200).to_pylist():
-                    out.append(warc_record(row, unpack.decompress(row["body"])))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    records = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", WARC_SEPARATOR).option("compression", "gzip").text(path)
+def record_id(page_id: int | None, digest: str, place: str, n: int) -> str:
+    """Unique in a conversion: the file's name and the record's number are part of it."""
+    return f"<urn:x-page:{'none' if page_id is None else page_id}:{hashlib.sha1(f'{digest} {place} {n}'.encode()).hexdigest()}>"
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+def place_of(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
+def warc_record(lines: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.0", *lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def convert_to_warc(spark: SparkSession, arc: str, path: str, least: int = 1000) -> None:
+    """A WARC file for each ARC file; equal payloads of ``least`` bytes and more are kept once."""
+    tables = Scratch(spark)
+    records = tables.keep(read_arc(spark, arc), "arc-records")
+    original = F.max(F.struct("page_id", "path", "n", "url", "date")).alias("original")
+    groups = records.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest", "payload_bytes").agg(original, F.min("page_id").alias("first")).filter(F.col("first") != F.col("original.page_id")).drop("first")
+    again = records.join(groups, ["payload_digest", "payload_bytes"]).filter(F.col("page_id") != F.col("original.page_id"))
+    # A file's decisions are as many as its records at most, and files are of bounded size.
+    decided = again.groupBy("path").agg(F.collect_list(F.struct("n", "original")).alias("revisits"))
+    files = read_files(spark, arc).join(decided, "path", "left").select("path", "content", "revisits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                at, raw, revisits = (b.column(c)[i].as_py() for c in range(3))
+                first = {r["n"]: r["original"] for r in revisits or []}
+                info = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:x-file:{place_of(at)}>", "Content-Type: application/warc-fields"]
+                out = [member(warc_record(info, WARC_INFO))]
+                for n, page, url, date, ip, http, payload, digest in arc_rows(raw, at):
+                    code, to = base64.b32encode(bytes.fromhex(digest)).decode(), first.get(n)
+                    block = http + payload if to is None else http
+                    lines = [f"WARC-Type: {'response' if to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest, place_of(at), n)}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}", f"WARC-IP-Address: {ip}"]
+                    if to is not None:
+                        lines += [f"WARC-Refers-To: {record_id(to['page_id'], digest, place_of(to['path']), to['n'])}", f"WARC-Refers-To-Target-URI: {to['url']}", f"WARC-Refers-To-Date: {to['date']}", f"WARC-Profile: {REVISIT_PROFILE}"]
+                    lines += [f"WARC-Payload-Digest: sha1:{code}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}", "Content-Type: application/http; msgtype=response"]
+                    out.append(member(warc_record(lines, block)))
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["value"])
+
+    write_files(files.mapInArrow(run, "value binary"), path)
+    tables.drop("arc-records")
+
+
+def parse_warc(data: bytes, path: str = "the file") -> Iterator[tuple[bytes, bytes]]:
     """Header and block of every record."""
     at = 0
-    while (begin := data.find(b"WARC/1.0\r\n", at)) >= 0:
-        end = data.find(b"\r\n\r\n", begin) + 4
-        head = data[begin:end]
-        length = int(header_value(head, "Content-Length") or 0)
-        yield head, data[end : end + length]
-        at = end + length
+    while (begin := data.find(b"WARC/1.", at)) >= 0:
+        end = data.find(b"\r\n\r\n", begin)
+        head = data[begin : end + 4]
+        length = declared(header_value(head, "Content-Length") if end >= 0 else None, path, begin)
+        block = data[end + 4 : end + 4 + length]
+        if len(block) < length:
+            raise ValueError(f"{path}: the record at byte {begin} is cut off")
+        yield head, block
+        at = end + 4 + length
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -192,21 +256,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in b.column(0):
+            for at, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 out = []
-                for head, block in parse_warc(gzip.decompress(raw.as_py())):
+                for head, block in parse_warc(inflated(raw.as_py(), at), at):
                     kind = header_value(head, "WARC-Type")
                     if kind not in ("response", "revisit"):
                         continue
                     http, payload = split_http(block)
-                    page, digest = header_value(http, "X-Page-Id"), base64.b32decode(header_value(head, "WARC-Payload-Digest").partition(":")[2]).hex()
+                    digest = base64.b32decode((header_value(head, "WARC-Payload-Digest") or "").partition(":")[2]).hex()
                     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"the payload of {header_value(head, 'WARC-Record-ID')} doesn't have its digest")
+                        raise ValueError(f"{at}: the payload of {header_value(head, 'WARC-Record-ID')} doesn't have its digest")
                     refers = header_value(head, "WARC-Refers-To")
-                    out.append((int(page) if page else None, int(header_value(http, "Content-Length")) if kind == "revisit" else len(payload), digest, kind, int(refers.split(":")[2]) if refers else None, header_value(head, "WARC-Target-URI")))
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=schema)
+                    size = declared(header_value(http, "Content-Length"), at, 0) if kind == "revisit" else len(payload)
+                    out.append((page_of(http), size, digest, kind, int(refers.split(":")[2]) if refers else None, header_value(head, "WARC-Target-URI")))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, schema.types, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return read_files(spark, path).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -214,5 +279,5 @@ def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
-    convert_to_warc(read_arc(spark, arc), warc, least)
+    convert_to_warc(spark, arc, warc, least)
     return read_warc(spark, warc).drop("url")

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.bloom import bloom_filter, may_hold
-from quarrymill.llm.shared import by_group, connected_components, list_rows, materialize, whole_groups
+from quarrymill.llm.shared import by_group, connected_components, list_rows, whole_groups
+from quarrymill.storage import materialize
 from quarrymill.llm.texthash import mix, powers, shingles, spans, text_bytes, words
 
 SKETCH = 64

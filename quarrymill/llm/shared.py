@@ -1,45 +1,43 @@
-"""What several operators share: materialising, batches of groups, components."""
+"""What several operators share: private columns, batches of groups, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "spark.checkpoint.dir"
+from quarrymill.storage import Scratch
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new one where none is set (tests)."""
-    if not spark.conf.get(KEY, None):
-        spark.conf.set(KEY, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return spark.conf.get(KEY).rstrip("/")
+def named(column: str) -> Column:
+    """A column by its whole name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarrymill-{name}-{uuid.uuid4().hex}"
+def private(taken: list[str], name: str) -> str:
+    """A name that no column has, in any case."""
+    used = {c.lower() for c in taken}
+    while name in used:
+        name += "_"
+    return name
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: it outlives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def with_text(docs: DataFrame, text_col: str, keep: list[str] | None, mine: list[str], column: Column | None = None, **more: Column) -> tuple[DataFrame, list[str]]:
+    """The kept columns, ``more`` columns, and last the text under a name of its own; and the kept columns' names.
 
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Columns named like those that an operator writes (``mine``) are replaced.
+    """
+    cols = [c for c in (keep or docs.columns) if c.lower() not in {m.lower() for m in mine}]
+    text = named(text_col).cast("string") if column is None else column
+    return docs.select(*map(named, cols), *(c.alias(n) for n, c in more.items()), text.alias(private([*cols, *more, *mine], "_text"))), cols
 
 
 def by_group(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """Rows of a key in one partition, adjacent, for ``whole_groups``."""
-    return df.repartition(partitions(df.sparkSession), key).sortWithinPartitions(key, *order)
+    """Rows of a key in one partition, adjacent, for ``whole_groups``; adaptive execution may join small partitions."""
+    return df.repartition(F.col(key)).sortWithinPartitions(key, *order)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -84,9 +82,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` links to ``(node, component)``: the smallest node that is reachable.
 
     Alternating large-star and small-star rounds. Each round is two joins with
-    minima per node, so a node with very many links is split like any other
-    skewed join; nothing reaches the driver but a count and a checksum.
+    minima per node; a node with very many links is a skewed key of those joins,
+    which adaptive execution splits. Nothing reaches the driver but a count and a
+    checksum; a round's table is deleted once the next is written.
     """
+    tables = Scratch(edges.sparkSession)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -99,11 +99,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
             links = links.unionByName(least.select("a", F.col("m").alias("b")))
         return links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    e = tables.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars0")
     state = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    was = state(e)
+    was, turn = state(e), 0
     while was[0]:
-        e = materialize(star(star(e, True), False), "stars")
+        turn += 1
+        e = tables.keep(star(star(e, True), False), f"stars{turn}")
+        tables.drop(f"stars{turn - 1}")
         if (now := state(e)) == was:
             break
         was = now

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.shared import by_group, connected_components, list_rows, materialize, whole_groups
+from quarrymill.llm.shared import by_group, connected_components, list_rows, whole_groups
+from quarrymill.storage import materialize
 
 
 def usable(vector: str) -> Column:

@@ -57,7 +57,7 @@ def http_header(page_id: int | None, length: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {length}\r\n\r\n".encode()
 
 
-def member(data: bytes, level: int = 1) -> bytes:
+def member(data: bytes, level: int = 4) -> bytes:
     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
     return pack.compress(data) + pack.flush()
 
@@ -212,7 +212,9 @@ def convert_to_warc(spark: SparkSession, arc: str, path: str, least: int = 1000)
     again = records.join(groups, ["payload_digest", "payload_bytes"]).filter(F.col("page_id") != F.col("original.page_id"))
     # A file's decisions are as many as its records at most, and files are of bounded size.
     decided = again.groupBy("path").agg(F.collect_list(F.struct("n", "original")).alias("revisits"))
-    files = read_files(spark, arc).join(decided, "path", "left").select("path", "content", "revisits")
+    # About 64 MB of payloads in a task, however few partitions a session asks for.
+    parts = int((records.agg(F.sum("payload_bytes")).first()[0] or 0) // (64 << 20)) + 1
+    files = read_files(spark, arc).repartition(parts, "path").join(decided.repartition(parts, "path"), "path", "left").select("path", "content", "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.shared import named, private
+
 
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
@@ -18,6 +20,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
     the sample is the same for any order or partitioning of the input. Only the
     chosen ids are broadcast: their number is bounded by ``per_class``.
     """
+    words = private([id_col, "label"], "text")
     one = labels.filter(F.col(id_col).isNotNull() & F.col("label").isNotNull()).groupBy(id_col).agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).cast("double") / float(1 << 30)
@@ -25,6 +28,6 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
     for label, n in sorted(counts.items()):
         keep = keep | ((F.col("label") == F.lit(label)) & (draw < min(1.0, per_class / n)))
     chosen = one.filter(keep)
-    text = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    text = docs.select(named(id_col).alias(id_col), named(text_col).cast("string").alias(words))
     rows = text.join(F.broadcast(chosen), id_col)
-    return rows.select(F.col(id_col).cast("long").alias("id"), "text", "label"), counts
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(words).alias("text"), "label"), counts

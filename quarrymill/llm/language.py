@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.llm.labelled import crc_mod
+from quarrymill.llm.shared import named, with_text
 
 SYMBOLS, DIMS, WIDE = 64, 1024, 0x20000
 TRIGRAMS = SYMBOLS**3
@@ -61,16 +62,23 @@ def vectors(ids: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
 
 
-def prototypes(counts: np.ndarray, seed: int) -> np.ndarray:
-    """Each trigram's cosine with each prototype, from trigram counts by language."""
-    letters = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], dtype=np.float32), (SYMBOLS, DIMS))
-    bundles = np.zeros((len(counts), DIMS))
-    used = np.flatnonzero(counts.any(axis=0))
-    for at in range(0, len(used), 4096):
-        ids = used[at : at + 4096]
-        bundles += counts[:, ids].astype(np.float64) @ vectors(ids, letters)
-    bundles /= np.maximum(1e-12, np.linalg.norm(bundles, axis=1, keepdims=True)) * DIMS**0.5
-    table = np.zeros((TRIGRAMS, len(counts)), dtype=np.float32)
+def letter_vectors(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], dtype=np.float32), (SYMBOLS, DIMS))
+
+
+def bundle(ids: np.ndarray, counts: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The sum of some trigrams' vectors, each as often as it counts."""
+    out = np.zeros(DIMS)
+    for at in range(0, len(ids), 4096):
+        out += counts[at : at + 4096].astype(np.float64) @ vectors(ids[at : at + 4096], letters)
+    return out
+
+
+def cosine_table(bundles: np.ndarray, seed: int) -> np.ndarray:
+    """Each trigram's cosine with each prototype."""
+    letters = letter_vectors(seed)
+    bundles = bundles / (np.maximum(1e-12, np.linalg.norm(bundles, axis=1, keepdims=True)) * DIMS**0.5)
+    table = np.zeros((TRIGRAMS, len(bundles)), dtype=np.float32)
     for at in range(0, TRIGRAMS, 4096):
         table[at : at + 4096] = vectors(np.arange(at, at + 4096), letters) @ bundles.T
     return table
@@ -82,7 +90,7 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, sharp: float = 60.0
     Prototypes bundle every labelled text outside the held-out fold. The number
     of languages is small by definition.
     """
-    text = F.col(text_col).cast("string")
+    text = named(text_col).cast("string")
     learn = docs.filter(F.col(lang_col).isNotNull() & F.coalesce(crc_mod(id_col, folds) != held, F.lit(False))).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,14 +107,25 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, sharp: float = 60.0
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "trigram", "n"])
 
-    found = learn.mapInArrow(count, "lang string, trigram int, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
+    def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, total = letter_vectors(seed), {}
+        for batch in batches:
+            langs, code = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+            for k, name in enumerate(langs.tolist()):
+                ids, n = batch.column(1).to_numpy()[code == k], batch.column(2).to_numpy()[code == k]
+                total[name] = total.get(name, 0.0) + bundle(ids, n, letters)
+        for name, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * DIMS), pa.array(np.arange(DIMS, dtype=np.int32)), pa.array(v)], ["lang", "at", "x"])
+
+    grams = learn.mapInArrow(count, "lang string, trigram int, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
+    # Prototypes are summed in the executors: a language sends DIMS numbers to the driver.
+    found = grams.mapInArrow(bundles, "lang string, at int, x double").groupBy("lang", "at").agg(F.sum("x").alias("x")).toPandas()
     names = sorted(found["lang"].unique().tolist())
-    counts = np.zeros((len(names), TRIGRAMS), dtype=np.int64)
-    counts[found["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64), found["trigram"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    model = docs.sparkSession.sparkContext.broadcast(prototypes(counts, seed) if names else None)
-    mine = ("held_out", "lang_pred", "score")
-    cols = [c for c in (keep or docs.columns) if c not in mine]
-    base = docs.select(*cols, F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)).alias("held_out"), text.alias("_text"))
+    prototypes = np.zeros((len(names), DIMS))
+    prototypes[found["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64), found["at"].to_numpy(np.int64)] = found["x"].to_numpy()
+    model = docs.sparkSession.sparkContext.broadcast(cosine_table(prototypes, seed) if names else None)
+    mine = ["held_out", "lang_pred", "score"]
+    base, cols = with_text(docs, text_col, keep, mine, held_out=F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, table = symbol_table(), model.value
@@ -125,5 +144,5 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, sharp: float = 60.0
                     score = np.where(letters, p.max(axis=1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols) + 1)), pa.array(langs, pa.string()), pa.array(score)], [*cols, *mine])
 
-    fields = [*base.drop("_text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [*base.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return base.mapInArrow(predict, T.StructType(fields))

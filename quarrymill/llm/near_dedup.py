@@ -12,7 +12,9 @@ confirmed on the full sets, and components of the links give the groups.
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing (``component_id`` is their own id). A null id takes no part
 (``component_id`` is null, ``kept`` is true). Repeated rows are copies: each row
-is returned. An empty table gives an empty result. Other columns are ignored.
+is returned. Rows that share an id but not a text are documents of their own:
+classes are keyed by the digest of their set, never by an id. An empty table
+gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,17 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.bloom import bloom_filter, may_hold
-from quarrymill.llm.shared import by_group, connected_components, list_rows, whole_groups
-from quarrymill.storage import materialize
+from quarrymill.llm.shared import by_group, connected_components, list_rows, named, private, whole_groups
 from quarrymill.llm.texthash import mix, powers, shingles, spans, text_bytes, words
+from quarrymill.storage import Scratch
 
 SKETCH = 64
 #: Children of a node: it branches by this many minwise tokens.
 BRANCHES = 2
 
 
+def digest_of(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
 def sketch_sets(k: int, seed: int):
-    """Batches of (id, text) to (id, n_shingles, digest, sketch)."""
+    """Batches of (id, text, text_hash) to (id, text_hash, n_shingles, digest, sketch)."""
     multipliers = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) + np.uint64(seed * 1000)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +55,7 @@ def sketch_sets(k: int, seed: int):
                 sizes, digests, rows = [], [], []
                 for x in shingles(h, bounds, k):
                     sizes.append(len(x))
-                    digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+                    digests.append(digest_of(x) if len(x) else None)
                     if len(x):
                         least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
                         for at in range(0, len(x), 512):
@@ -59,13 +65,13 @@ def sketch_sets(k: int, seed: int):
                         rows.append(np.zeros(SKETCH, np.int32))
                 flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCH), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), sketch], ["id", "n_shingles", "digest", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), sketch], ["id", "text_hash", "n_shingles", "digest", "sketch"])
 
     return run
 
 
 def full_sets(k: int, filled: Broadcast):
-    """Batches of (id, text) to (id, set): the sorted shingle hashes as bytes.
+    """Batches of (id, text) to (digest, set): the sorted shingle hashes as bytes.
 
     Only ids that the Bloom filter lets through; the join that follows is exact.
     """
@@ -77,8 +83,8 @@ def full_sets(k: int, filled: Broadcast):
             data, offsets = text_bytes(batch.column(1))
             for a, b in spans(offsets):
                 h, bounds = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tables)
-                sets = [x.tobytes() for x in shingles(h, bounds, k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["rep", "set"])
+                sets = [x for x in shingles(h, bounds, k) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "set"])
 
     return run
 
@@ -179,23 +185,35 @@ def near_dedup(
     max_depth: int = 12,
     seed: int = 1,
 ) -> DataFrame:
-    """One row per document: ``id_col, n_shingles, component_id, kept``.
-
-    ``trees`` times two minwise tokens start the branching: a pair at exactly
-    0.8 is missed by all root nodes with probability 0.2^8. ``least_equal`` of
-    64 sketch tokens make a candidate (38 lies four deviations below 0.8).
+    """One row per document: ``id_col, n_shingles, component_id, kept, text_hash, group``.
+
+    ``text_hash`` is the text's MD5; ``group`` numbers the groups, also where two hold rows of one id.
+
+    ``trees`` times two minwise tokens start the branching: a pair at exactly 0.8
+    shares none of them with probability 0.2^8 = 2.6e-6. ``least_equal`` of 64
+    sketch tokens make a candidate: 38 lies four deviations below 0.8, and a pair
+    at exactly 0.8 falls below it with probability 4.3e-5. Each further level keeps
+    such a pair together with probability 0.96, so a pair whose common nodes all
+    branch d times is missed with (1 - 0.96^d)^8: 0.001 for d = 8 (the only loss
+    that nodes beyond ``node_size`` that are not alike can bring). Nodes that
+    branching does not part, and those ``max_depth`` levels down, are compared
+    exhaustively in blocks.
     """
     roots = trees * BRANCHES
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = materialize(text.mapInArrow(sketch_sets(shingle_words, seed), "id long, n_shingles long, digest binary, sketch array<int>"), "sketches")
+    tables = Scratch(docs.sparkSession)
+    value = named(text_col).cast("string")
+    text = docs.select(named(id_col).cast("long").alias("id"), value.alias("text"))
+    hashed = text.select("id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_hash"))
+    sketches = tables.keep(hashed.mapInArrow(sketch_sets(shingle_words, seed), "id long, text_hash string, n_shingles long, digest binary, sketch array<int>"), "sketches")
     some = sketches.filter("digest is not null and id is not null")
-    classes = materialize(some.groupBy("digest").agg(F.min(F.struct("id", "sketch")).alias("x")).select("digest", F.col("x.id").alias("rep"), F.col("x.sketch").alias("sketch")), "classes")
+    # The number of a class is fixed once its table is written.
+    classes = tables.keep(some.groupBy("digest").agg(F.min(F.struct("id", "sketch")).alias("x")).select("digest", F.col("x.id").alias("first"), F.col("x.sketch").alias("sketch"), F.monotonically_increasing_id().alias("rep")), "classes")
 
     # Root level: a node is (token number, token).
     tokens = F.transform(F.slice("sketch", 1, roots), lambda v, i: F.xxhash64(F.lit(seed), i, v))
     flat = classes.select("rep", F.posexplode(tokens).alias("root", "node"))
     counted = flat.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(flat.join(counted, "node"), "roots")
+    members = tables.keep(flat.join(counted, "node"), "roots")
     sketched = classes.select("rep", "sketch")
 
     def branch(nodes: DataFrame) -> DataFrame:
@@ -206,7 +224,7 @@ def near_dedup(
 
     def child_sizes(nodes: DataFrame, level: int) -> DataFrame:
         n = branch(nodes).groupBy("node").agg(F.count("*").alias("n"), F.first("parent").alias("parent"), F.first("parent_n").alias("parent_n"))
-        return materialize(n.filter("n > 1"), f"sizes{level}")
+        return tables.keep(n.filter("n > 1"), f"sizes{level}")
 
     def alike(n: DataFrame) -> DataFrame:
         """Nodes of which a child keeps half or more: branching would not part their members."""
@@ -216,12 +234,12 @@ def near_dedup(
     members = members.join(alike(n), "node", "left").withColumn("whole", F.col("dense").isNotNull() | (F.col("n") <= node_size))
     packed = members.groupBy("rep").agg(F.collect_list(F.struct("root", "node", "n", "whole", "dense")).alias("nodes"))
     mask = F.aggregate("nodes", F.lit(0).cast("long"), lambda m, x: F.when(x.whole, m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.root))).otherwise(m))
-    rows = materialize(packed.join(sketched, "rep").select("rep", "sketch", mask.alias("mask"), F.explode("nodes").alias("x")).select("rep", "sketch", "mask", "x.*"), "members")
+    rows = tables.keep(packed.join(sketched, "rep").select("rep", "sketch", mask.alias("mask"), F.explode("nodes").alias("x")).select("rep", "sketch", "mask", "x.*"), "members")
     compared, frontier = [rows.filter("whole")], rows.filter("not whole")
     for level in range(1, max_depth + 1):
         if frontier.isEmpty():
             break
-        rows = materialize(branch(frontier).join(n.select("node", "n"), "node").withColumn("root", F.lit(roots)), f"level{level}")
+        rows = tables.keep(branch(frontier).join(n.select("node", "n"), "node").withColumn("root", F.lit(roots)), f"level{level}")
         n = child_sizes(rows.filter(f"n > {node_size}"), level)
         rows = rows.join(alike(n), "node", "left")
         small = F.col("n") <= node_size
@@ -241,14 +259,35 @@ def near_dedup(
     low, high = F.least("block", "other"), F.greatest("block", "other")
     units = units.select(F.xxhash64("node", low, high, F.lit("unit")).alias("unit"), "rep", "root", "mask", "block", (F.col("block") != F.col("other")).alias("across"), "sketch")
     # A unit of two blocks has rows of both; one row's own mark is the same for all.
-    paired = materialize(by_group(units, "unit").mapInArrow(candidates(least_equal, roots), "unit long, rep long, partners array<long>"), "paired")
+    paired = tables.keep(by_group(units, "unit").mapInArrow(candidates(least_equal, roots), "unit long, rep long, partners array<long>"), "paired")
 
-    filled = docs.sparkSession.sparkContext.broadcast(bloom_filter(paired, "rep"))
-    sets = text.filter("id is not null").mapInArrow(full_sets(shingle_words, filled), "rep long, set binary").dropDuplicates(["rep"])
+    tables.drop(*(n for n in list(tables.paths) if n not in ("sketches", "classes", "paired")))
+    wanted = paired.select("rep").distinct().join(classes.select("rep", "digest", "first"), "rep")
+    filled = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted, "first"))
+    sets = text.filter("id is not null").mapInArrow(full_sets(shingle_words, filled), "digest binary, set binary").join(wanted.select("digest", "rep"), "digest").dropDuplicates(["rep"]).select("rep", "set")
     links = by_group(paired.join(sets, "rep").select("unit", "rep", "partners", "set"), "unit").mapInArrow(confirm(percent), "a long, b long")
     labels = connected_components(links)
+    tables.drop("paired")
 
-    named = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "n_shingles", "digest").join(named, "digest", "left")
+    placed = classes.select("digest", "first", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", "first", F.coalesce("component", "rep").alias("group"))
+    least = placed.groupBy("group").agg(F.min("first").alias("component"))
+    out = sketches.select("id", "text_hash", "n_shingles", "digest").join(placed.join(least, "group").select("digest", "component", "group"), "digest", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), "text_hash", "group")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one of smallest id, then hash, then columns.
+
+    Rows without an id or without words all stay.
+    """
+    found = near_dedup(docs, id_col, text_col, **options)
+    heads = found.filter(F.col("n_shingles") > 0).filter(named(id_col).isNotNull()).groupBy("group").agg(F.min(F.struct(named(id_col).alias("id"), "text_hash")).alias("head")).select(F.col("head.id").alias("id"), F.col("head.text_hash").alias("hash"))
+    wordless = found.filter((F.col("n_shingles") == 0) & named(id_col).isNotNull()).select(named(id_col).alias("id"), F.col("text_hash").alias("hash")).distinct()
+    key, mark = private(docs.columns, "_id"), private(docs.columns, "_hash")
+    rows = docs.withColumns({key: named(id_col).cast("long"), mark: F.md5(F.coalesce(named(text_col).cast("string"), F.lit("")).cast("binary"))})
+    sides = [x.select(F.col("id").alias(private(docs.columns, "_i")), F.col("hash").alias(private(docs.columns, "_h"))) for x in (heads, wordless)]
+    meets = (F.col(key) == F.col(private(docs.columns, "_i"))) & (F.col(mark) == F.col(private(docs.columns, "_h")))
+    whole = F.min(F.struct(*map(named, docs.columns))).alias("row")
+    one = rows.join(sides[0], meets, "left_semi").groupBy(key, mark).agg(whole).select("row.*")
+    return one.unionByName(rows.join(sides[1], meets, "left_semi").select(*map(named, docs.columns))).unionByName(docs.filter(named(id_col).isNull()))

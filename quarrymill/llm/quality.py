@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.llm.labelled import crc_mod, sample_labelled
+from quarrymill.llm.shared import with_text
 from quarrymill.llm.subword import fit, posteriors
 from quarrymill.llm.texthash import powers
 
@@ -32,16 +33,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, fol
     table, names = fit(sample, counts)
     model = docs.sparkSession.sparkContext.broadcast(table)
     good = names.index(1) if 1 in names else None
-    cols = [c for c in (keep or docs.columns) if c not in ("held_out", "score", "predicted")]
-    base = docs.select(*cols, F.col(text_col).cast("string").alias("_text"), F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)).alias("held_out"))
+    base, cols = with_text(docs, text_col, keep, ["held_out", "score", "predicted"], held_out=F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = powers()
         for batch in batches:
-            text = batch.column(batch.num_columns - 2)
+            text = batch.column(batch.num_columns - 1)
             score = posteriors(text, model.value, tables)[:, good] if good is not None else np.full(len(text), 0.0 if names else 1.0)
-            columns = [batch.column(i) for i in range(len(cols))] + [batch.column(batch.num_columns - 1)]
+            columns = [batch.column(i) for i in range(len(cols))] + [batch.column(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*cols, "held_out", "score", "predicted"])
 
-    schema = T.StructType([*base.drop("_text").schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*base.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return base.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+    return near_dedup(table(spark, sf_dir, "documents"), shingle_words=4, percent=80).drop("text_hash", "group")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,9 @@ def words(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.nd
             cut = np.flatnonzero(blank(data[at:to]))
             to = at + int(cut[-1]) + 1 if len(cut) else to
         part, _ = words(data[at:to], np.array([0, to - at]), tables)
-        if carry is not None and not blank(data[at : at + 1])[0] and len(part):
+        if carry is not None and blank(data[at : at + 1])[0]:  # the word ended with its segment
+            out.append(np.array([carry], dtype=U))
+        elif carry is not None:
             with np.errstate(over="ignore"):
                 part[0] = mix(carry * U(0xA0761D6478BD642F) + part[0])
         carry = part[-1] if to < n and len(part) and not blank(data[to - 1 : to])[0] else None

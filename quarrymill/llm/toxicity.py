@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.llm.labelled import crc_mod, sample_labelled
+from quarrymill.llm.shared import with_text
 
 PAD, LEVEL, CACHE = b" " * 12, 12, 400_000
 #: Length differences, in bytes, at which windows are counted.
@@ -51,11 +52,22 @@ def contexts(texts: list[str]) -> tuple[Counter, int]:
     return Counter(b for _, b in seen), max(1, len(seen))
 
 
+def last(words: list[bytes], more: int, most: int) -> list[bytes]:
+    """The last words that fit into ``most`` bytes, with ``more`` for each."""
+    size, at = 0, len(words)
+    while at and size + len(words[at - 1]) + more <= most:
+        at -= 1
+        size += len(words[at]) + more
+    return words[at:]
+
+
 def dictionaries(toxic: list[str], ordinary: list[str], surprise: float = 16.0, ratio: float = 6.0, most: int = 65536) -> tuple[bytes, bytes]:
     """Content of the ordinary and the toxic dictionary.
 
     The toxic one has the words that toxic texts use in far more contexts than
     chance allows (a likelihood-ratio test), behind all that the ordinary one has.
+    ``most`` bounds each part, as a dictionary's size is bounded: whole words, the
+    most telling (ordinary: the most frequent) ones.
     """
     a, n = contexts(toxic)
     b, m = contexts(ordinary)
@@ -80,8 +92,8 @@ def dictionaries(toxic: list[str], ordinary: list[str], surprise: float = 16.0,
         strength.update({w: sure[w[:size]] for w in a if w[:size] in sure and not b[w] and w not in strength})
     marks = [w for w, _ in sorted(strength.items(), key=lambda x: (x[1], x[0]))]
     usual = [w for w, _ in sorted(b.items(), key=lambda x: (x[1], x[0]))]
-    base = b" ".join(usual)[-most:] + PAD
-    return base, base + b"".join(b" " + w + PAD for w in marks)[-most:]  # padded as the windows are: a mark is one match
+    base = b" ".join(last(usual, 1, most)) + PAD
+    return base, base + b"".join(b" " + w + PAD for w in last(marks, 1 + len(PAD), most))  # padded as the windows are: a mark is one match
 
 
 class Differ:
@@ -103,7 +115,8 @@ class Differ:
         words = [split(t) for t in texts]
         if len(self.known) > CACHE:
             self.known = {}
-        new = list({w for ws in words for w in ws} - self.known.keys())
+        known = self.known
+        new = list({w for ws in words for w in ws if w not in known})
         if new:
             windows = [b" " + w + PAD for w in new]
             self.known.update(zip(new, (self.lengths(0, windows) - self.lengths(1, windows)).tolist(), strict=True))
@@ -169,20 +182,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, fo
     learn = labels.filter(crc_mod(id_col, folds) != held).select(F.col(id_col), F.col("toxic").cast("int").alias("label"))
     sample, counts = sample_labelled(docs, learn, per_class, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(sample, counts))
-    cols = [c for c in (keep or docs.columns) if c not in ("held_out", "score", "predicted")]
-    base = docs.select(*cols, F.col(text_col).cast("string").alias("_text"), F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)).alias("held_out"))
+    base, cols = with_text(docs, text_col, keep, ["held_out", "score", "predicted"], held_out=F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         differ = Differ(m["base"], m["marked"]) if m else None
         for batch in batches:
-            texts = batch.column(batch.num_columns - 2)
+            texts = batch.column(batch.num_columns - 1)
             score = np.zeros(len(texts))
             for at in range(0, len(texts) if m else 0, 128):
                 for i, d in enumerate(differ(texts.slice(at, 128).to_pylist()), at):
                     score[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(inputs(d), m["w"]))))))
-            columns = [batch.column(i) for i in range(len(cols))] + [batch.column(batch.num_columns - 1)]
+            columns = [batch.column(i) for i in range(len(cols))] + [batch.column(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*cols, "held_out", "score", "predicted"])
 
-    schema = T.StructType([*base.drop("_text").schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*base.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return base.mapInArrow(run, schema)

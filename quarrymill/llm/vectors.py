@@ -9,12 +9,12 @@ Cosine products compare each two blocks once, so all links are found whatever
 the cells are; they only decide how much is compared. Where vectors have no
 groups, as in noise, all blocks meet. Components of the links give the groups.
 
-**Exact search.** Components are quantised to integers. Queries and vectors are
-dealt into blocks; each pair of blocks has an impact-ordered index: the postings
-(components) in segments by descending quantised impact. A segment is added to
-the scores of all queries of the block at a time. After each, bounds on every
-vector's score tell which may still be among the best; only when few are left is
-the walk over, and those are scored exactly.
+**Exact search.** Components are quantised to integers. Vectors are dealt into
+blocks, and each block's impact-ordered index is built and written once: posting
+lists of places by component and quantised impact, the power of two that a
+component reaches. A block of queries walks a block's segments score at a time, by
+descending impact; bounds on what is unseen prove when few vectors can still be
+among the best, and those are scored exactly.
 
 Defined cases: a vector that is null, holds a null or non-finite component, or
 (near duplicates) has no length takes no part: it is linked with nothing, and
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.shared import by_group, connected_components, list_rows, whole_groups
+from quarrymill.llm.shared import by_group, connected_components, list_rows, named, whole_groups
 from quarrymill.storage import materialize
 
 
@@ -157,10 +157,10 @@ def near_vectors(table: DataFrame, least: float = 0.95, probes: int = 4, cell_si
     block's rows change what is compared, not the result.
     """
     spark = table.sparkSession
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    keyed = rows.withColumn("key", F.when(usable("v") & F.exists("v", lambda x: x != 0), F.struct(F.xxhash64("v").alias("x"), F.hash("v").alias("y"))))
+    rows = table.select(named(id_col).cast("long").alias("id"), named(vector_col).cast("array<double>").alias("v"))
+    keyed = rows.withColumn("key", F.when(usable("v") & F.exists("v", lambda x: x != 0), F.transform("v", lambda x: x + F.lit(0.0))))
     some = keyed.filter("key is not null and id is not null")
-    found = some.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    found = some.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")).select("key", F.col("key").alias("v"), "first", "copies", F.monotonically_increasing_id().alias("rep"))
     classes = materialize(found, "classes")
     n, width = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
@@ -256,93 +256,125 @@ def near_vectors(table: DataFrame, least: float = 0.95, probes: int = 4, cell_si
     links = materialize(by_group(pairs, "unit").mapInArrow(compare, "a long, b long, n long"), "links")
     degrees = links.groupBy("a").agg(F.sum("n").alias("n"))
     labels = connected_components(links)
-    named = classes.select("key", "rep", "copies").join(degrees, F.col("rep") == F.col("a"), "left").join(labels, F.col("rep") == F.col("node"), "left")
-    named = named.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = keyed.select("id", "key").join(named, "key", "left")
+    placed = classes.select("key", "rep", "first", "copies").join(degrees, F.col("rep") == F.col("a"), "left").join(labels, F.col("rep") == F.col("node"), "left")
+    placed = placed.select("key", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group"))
+    least = placed.groupBy("group").agg(F.min("first").alias("component"))
+    out = keyed.select("id", "key").join(placed.join(least, "group"), "key", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce(F.when(F.col("id").isNotNull(), F.col("n_links")), F.lit(0)).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def impact_segments(x: np.ndarray, share: float = 0.3) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Posting segments of a block by descending quantised impact, and the length that each vector has left after each.
+def postings(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """A block's index: rows of component, quantised impact (a power of two), places and components.
 
-    A component's impact is quantised to its power of two. Segments in front of
-    the first that leaves most vectors less than ``share`` of their length can
-    prove nothing yet, so they are taken together.
+    The row of component -1 has the vectors' ids and squared lengths.
     """
-    size, length, segments, above = np.abs(x), np.linalg.norm(x, axis=1), [], np.inf
-    bar = float(size.max(initial=0.0))
-    while True:
-        bar /= 2
-        left = np.linalg.norm(np.where(size <= bar, x, 0.0), axis=1)
-        if bar < 1 or np.mean(left <= share * length) >= 0.5:
-            segments.append((np.where((size > bar) & (size <= above), x, 0.0), left))
-            above = bar
-        if bar < 1:  # whole numbers: nothing is left
-            return segments
-
-
-def impact_search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, few: int = 32, together: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Query ids, ids and scores of the ``k`` best of ``x`` for each query, ties to smaller ids.
-
-    ``own`` holds the queries' ids, which are left out of their answers. What is
-    unseen of a vector adds at most its length times the query's. The walk ends
-    once few vectors may still be among the best, or with the last segment.
+    yield -1, 0, ids, (x * x).sum(axis=1)
+    size = np.frexp(np.abs(x))[1]  # 2^(e-1) <= |component| < 2^e
+    for j in range(x.shape[1]):
+        some = np.flatnonzero(x[:, j])
+        some = some[np.argsort(-size[some, j], kind="stable")]
+        cuts = np.flatnonzero(np.diff(size[some, j])) + 1
+        for part in np.split(some, cuts):
+            if len(part):
+                yield j, int(size[part[0], j]), part, x[part, j]
+
+
+def impact_search(lists: list[tuple[int, int, np.ndarray, np.ndarray]], ids: np.ndarray, squares: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, few: int = 32, share: float = 0.3) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query ids, ids and scores of the ``k`` best of a block for each query, ties to smaller ids.
+
+    Segments of postings are added by descending impact, each to the scores of the
+    queries that have its component. What is unseen of a vector adds at most the
+    length that it has left times the query's. The walk ends once that proves that
+    few vectors can still be among the best, which are then scored whole, or with
+    the last segment. ``own`` holds the queries' ids, left out of their answers.
     """
-    segments = impact_segments(x)
-    for at in range(0, len(q), together):
-        ask, mine = q[at : at + together], own[at : at + together]
-        length = np.linalg.norm(ask, axis=1)[:, None] * (1 + 1e-9)
-        score = np.where(ids[None, :] == mine[:, None], -np.inf, 0.0)
-        for segment, left in segments:
-            score += ask @ segment.T
-            slack = length * left
-            bound = np.partition(score - slack, -k, axis=1)[:, -k] if len(x) > k else np.full(len(ask), -np.inf)
-            may = (score + slack >= bound[:, None]) & (score > -np.inf)
-            if may.sum() <= max(few, k) * len(ask):
-                break
-        i, j = np.nonzero(may)
-        exact = np.einsum("ij,ij->i", ask[i], x[j]) if left.any() else score[i, j]
-        order = np.lexsort((ids[j], -exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        best = np.arange(len(i)) - np.searchsorted(i, np.arange(len(ask)))[i] < k
-        yield mine[i[best]], ids[j[best]], exact[best]
-
-
-def exact_topk(table: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, block: int = 4096, query_block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    n, width = len(ids), q.shape[1]
+    peak = max((float(np.abs(v).max()) for _, _, _, v in lists), default=0.0)
+    if width * peak * float(np.abs(q).max(initial=0.0)) >= 2.0**53:
+        raise ValueError("scores of 2^53 and more are not exact: scale the vectors down")
+    length, score, left = np.linalg.norm(q, axis=1), np.zeros((n, len(q))), squares.astype(np.float64)
+    score[ids[:, None] == own[None, :]] = -np.inf
+    levels = sorted({e for _, e, _, _ in lists}, reverse=True)
+    by_level = {e: [x for x in lists if x[1] == e] for e in levels}
+    may, seen = score > -np.inf, 0
+    for e in levels:
+        seen += 1
+        for j, _, places, values in by_level[e]:
+            asks = np.flatnonzero(q[:, j])
+            if len(asks) == len(q):
+                score[places] += values[:, None] * q[None, :, j]
+            elif len(asks):
+                score[np.ix_(places, asks)] += values[:, None] * q[None, asks, j]
+            left[places] -= values * values
+        rest = np.sqrt(np.maximum(left, 0.0))
+        if seen < len(levels) and np.mean(rest <= share * np.sqrt(squares)) < 0.5:
+            continue  # nothing can be proven yet
+        slack = rest[:, None] * (length * (1 + 1e-9))[None, :]
+        bar = np.partition(score - slack, -k, axis=0)[-k] if n > k else np.full(len(q), -np.inf)
+        may = (score + slack >= bar[None, :]) & (score > -np.inf)
+        if may.sum() <= max(few, k) * len(q):
+            break
+    i, j = np.nonzero(may)
+    exact = score[i, j]
+    if seen < len(levels):
+        x = np.zeros((n, width))
+        for c, _, places, values in lists:
+            x[places, c] = values
+        exact = np.einsum("ij,ij->i", x[i], q[j])
+    order = np.lexsort((ids[i], -exact, j))
+    i, j, exact = i[order], j[order], exact[order]
+    best = np.arange(len(j)) - np.searchsorted(j, np.arange(len(q)))[j] < k
+    yield own[j[best]], ids[i[best]], exact[best]
+
+
+def exact_topk(table: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, block: int = 4096, query_block: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` highest integer inner products for each query: ``query_id, rank, vec_id, score``.
 
     Queries are the rows whose id is divisible by ``every``; all other rows
-    answer. Scaled components have to lie below 2^20 for scores to be exact.
+    answer. Of several rows with a query's id the least vector asks. The index of
+    a block of vectors is built once; its posting lists then go to each block of
+    queries.
     """
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null").filter(usable("v"))
+    rows = table.select(named(id_col).cast("long").alias("id"), named(vector_col).cast("array<double>").alias("v")).filter("id is not null").filter(usable("v"))
     whole = rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     n, width, asked = whole.agg(F.count("*"), F.max(F.size("v")), F.count_if(F.pmod("id", F.lit(every)) == 0)).first()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-asked // query_block))
     whole = whole.select("id", padded("v", width or 0).alias("v"))
+    spot = lambda count: F.pmod(F.xxhash64("id", "v"), F.lit(count))
 
-    def dealt(df: DataFrame, own: int, others: int, query: bool) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id", F.lit(query)), F.lit(own)).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        pair = df.withColumn("mine", mine).withColumn("other", other)
-        return pair.select(F.xxhash64(*(("other", "mine") if query else ("mine", "other"))).alias("unit"), F.lit(query).alias("query"), "id", "v")
-
-    questions = whole.filter(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id"])
-    both = dealt(whole, blocks, query_blocks, False).unionByName(dealt(questions, query_blocks, blocks, True))
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in whole_groups(batches, "block"):
+            of, ids, v = t.column("block").to_numpy(), t.column("id").to_numpy(), rows_of(t.column("v"))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                lists = list(postings(ids[a:b], v[a:b]))
+                offsets = np.concatenate([[0], np.cumsum([len(x[2]) for x in lists])]).astype(np.int32)
+                columns = [pa.array([int(of[a])] * len(lists)), pa.array([x[0] for x in lists], pa.int32()), pa.array([x[1] for x in lists], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x[c] for x in lists]).astype(kind))) for c, kind in ((2, np.int64), (3, np.float64)))], ["block", "component", "impact", "places", "parts"])
+
+    index = materialize(by_group(whole.select(spot(blocks).alias("block"), "id", "v"), "block").mapInArrow(build, "block long, component int, impact int, places array<long>, parts array<double>"), "impact-index")
+    questions = whole.filter(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v")).select(spot(query_blocks).alias("mine"), "id", "v")
+    unit = lambda q, b: (q * F.lit(blocks) + b).alias("unit")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    lists = index.withColumn("other", each(query_blocks)).select(unit(F.col("other"), F.col("block")), "component", "impact", "places", "parts")
+    asks = questions.withColumn("other", each(blocks)).select(unit(F.col("mine"), F.col("other")), F.lit(-2).alias("component"), F.lit(0).alias("impact"), F.array("id").alias("places"), F.col("v").alias("parts"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in whole_groups(batches, "unit"):
-            query, ids, v = t.column("query").to_numpy(), t.column("id").to_numpy(), rows_of(t.column("v"))
+            kind, impact = t.column("component").to_numpy(), t.column("impact").to_numpy()
+            (places, at), (parts, to) = list_rows(t.column("places")), list_rows(t.column("parts"))
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                asks = query[a:b]
-                x, xi, q, qi = v[a:b][~asks], ids[a:b][~asks], v[a:b][asks], ids[a:b][asks]
-                if len(x) and len(q):
-                    out += impact_search(x, xi, q, qi, k)
+                asking, head = a + np.flatnonzero(kind[a:b] == -2), a + np.flatnonzero(kind[a:b] == -1)
+                if not len(asking) or not len(head):
+                    continue
+                h, held = int(head[0]), [(int(kind[i]), int(impact[i]), places[at[i] : at[i + 1]], parts[to[i] : to[i + 1]]) for i in range(a, b) if kind[i] >= 0]
+                q, own = np.stack([parts[to[i] : to[i + 1]] for i in asking]), np.array([places[at[i]] for i in asking])
+                out += impact_search(held, places[at[h] : at[h + 1]], parts[to[h] : to[h + 1]], q, own, k)
             if out:
                 columns = [np.concatenate([o[c] for o in out]).astype(np.int64) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
-    best = by_group(both, "unit").mapInArrow(search, "query_id long, vec_id long, score long")
+    best = by_group(lists.unionByName(asks), "unit").mapInArrow(search, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,11 @@
 
 Each stage takes the documents that its predecessor kept and returns those it
 keeps, with the columns of ``documents``; the last returns the encoded rows.
+
+In every stage null and empty texts are rows like others (scored, never linked,
+without tokens), repeated rows are judged alike, an empty table gives an empty
+one, and further columns stay, whatever their names. Near duplicates take five
+words here, as the task's stages do; ``op1`` takes the four of its contract.
 """
 
 from __future__ import annotations
@@ -11,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.mixing import apply_rates, fit_rates
-from quarrymill.llm.near_dedup import near_dedup
+from quarrymill.llm.near_dedup import keep_one
 from quarrymill.llm.pieces import encode_pieces
 from quarrymill.llm.quality import score_quality
-from quarrymill.storage import materialize
+from quarrymill.storage import Scratch
 from quarrymill.llm.toxicity import score_toxicity
 
 #: Token shares of the languages after mixing.
@@ -36,10 +41,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; rows without an id stay."""
-    gone = near_dedup(docs).filter("not kept").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near duplicates (five-word shingles, 0.8); rows without an id or words stay."""
+    return keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +61,12 @@ STAGES = [("quality", quality), ("toxicity", toxicity), ("near_dedup", dedup), (
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables, before = Scratch(spark), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = tables.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            tables.drop(before)
+        before = f"stage-{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

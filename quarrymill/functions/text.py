@@ -17,6 +17,12 @@ def tokens(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?i){C.TOKEN}"), F.lit(0)), F.lower)
 
 
+def inner_tokens(c: Column) -> Column:
+    """Tokens that every text containing this one has: all but those at its two ends, which may be parts of longer ones."""
+    found = tokens(c)
+    return F.when(F.size(found) > 2, F.slice(found, 2, F.size(found) - 2)).otherwise(F.array().cast("array<string>"))
+
+
 def split_tokens(c: Column) -> Column:
     """Each token, and behind it its parts if it is a compound."""
     part = lambda t: F.when(t.rlike(r"[_\-+.]"), F.concat(F.array(t), F.filter(F.split(t, r"[_\-+.]+"), lambda x: x != ""))).otherwise(F.array(t))
@@ -67,9 +73,10 @@ def is_boilerplate(c: Column) -> Column:
 
 
 def shouted_heading(c: Column) -> Column:
-    """The upper-case branch of the heading rule: short, no sentence end, all capitals."""
+    """The heading rule: short, no sentence end, all capitals or every word with a capital and small letters."""
     short = (F.length(c) <= 120) & (F.size(F.filter(F.split(c, r"\s+"), lambda x: x != "")) <= 12)
-    return short & ~c.rlike(r"[.!?:]$") & c.rlike("[A-Za-z]") & (F.upper(c) == c)
+    titled = ~c.rlike(r"(?:^|[^\p{L}])\p{Ll}") & ~c.rlike(r"\p{L}\p{Lu}")
+    return short & ~c.rlike(r"[.!?:]$") & ((F.upper(c) == c) | titled)
 
 
 def version_of(c: Column) -> Column:

@@ -84,3 +84,18 @@ def product_of(title: Column, u: Column, doc_type: Column, keywords: Column, rul
             met = met | one
         out = F.when(met, product).otherwise(out)
     return out
+
+
+def service_url(u: Column, service: str) -> Column:
+    """The same address at the service's host."""
+    return F.regexp_replace(normalize(u), r"^https?://[^/?#]*", f"https://{service}")
+
+
+def shown_url(u: Column, source: Column, host_name: str) -> Column:
+    """A service's address as readers see it: the source's version in a documentation path, no revision parameter."""
+    parts, own = path_parts(u), path_parts(normalize(source))
+    version = F.when(F.size(own) >= 3, F.get(own, F.lit(2))).otherwise(F.get(parts, F.lit(2)))
+    known = (F.size(parts) >= 3) & (F.get(parts, F.lit(0)) == "documentation")
+    path = F.when(known, F.concat(F.slice(parts, 1, 2), F.array(version), F.slice(parts, 4, F.greatest(F.size(parts), F.lit(1))))).otherwise(parts)
+    query = F.array_join(F.filter(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike("^rev(=|$)")), "&")
+    return F.concat(F.lit(f"https://{host_name}/"), F.array_join(path, "/"), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.regexp_extract(u, r"(#.*)$", 1))

@@ -20,7 +20,7 @@ def code_hotspots(drill: DataFrame, symbols: DataFrame, measures: DataFrame, sam
 
 def cpu_metrics(drill: DataFrame, measures: DataFrame, node: int = 0) -> DataFrame:
     j = drill.filter(F.col("call_tree_id") == node).join(measures, "measurement_id")
-    return j.select(F.col("name").alias("metric"), "units", F.col("measurement_value").alias("value"))
+    return j.select(F.col("name").alias("metric"), "units", F.col("measurement_value").alias("value")).orderBy(F.desc("value"))
 
 
 def register_sources(existing: DataFrame, arrivals: DataFrame) -> DataFrame:

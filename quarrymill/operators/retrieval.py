@@ -261,6 +261,20 @@ def decorate(results: DataFrame, source: str, domain: str, note: str, disclaimer
     return results.withColumns({"url": U.tag_utm(F.col("url"), source), "url_note": F.when(has, note), "disclaimer": F.when(U.in_domain(F.col("url"), domain), disclaimer)})
 
 
+def documents_with(corpus: DataFrame, asked: DataFrame) -> DataFrame:
+    """``query_id, ordinal`` of documents whose text holds a question ``(query_id, q)`` as it stands.
+
+    Only documents that have a question's rarest token are searched for it.
+    """
+    tokens = corpus.select("ordinal", F.explode(F.array_distinct(X.tokens(F.col("search_text")))).alias("term"))
+    terms = asked.select("query_id", F.explode(F.array_distinct(X.inner_tokens(F.col("q")))).alias("term"))
+    held = tokens.join(F.broadcast(terms.select("term").distinct()) if few(terms) else terms.select("term").distinct(), "term")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    rare = terms.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    pairs = held.join(rare, "term").select("query_id", "ordinal").unionByName(asked.join(terms.select("query_id").distinct(), "query_id", "left_anti").select("query_id").join(corpus.select("ordinal")))
+    return pairs.join(asked.select("query_id", "q"), "query_id").join(corpus.select("ordinal", "search_text"), "ordinal").filter(F.col("search_text").contains(F.col("q"))).select("query_id", "ordinal")
+
+
 def eval_cases(results: DataFrame, expected: DataFrame) -> DataFrame:
     """Each question's first rank at which an expected document stands, or null."""
     hit = results.join(expected, ["query_id", "ordinal"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))

@@ -707,7 +707,7 @@ def format_dispatch(spark, d):
 
 def parsed(spark, d):
     p = table(spark, d, "pages")
-    return S.sections(p.select(F.col("page_id").alias("id"), S.format_of(F.col("html"), F.col("url")).alias("format"), F.col("html").alias("content")))
+    return S.sections(p.select(F.col("page_id").alias("id"), S.format_of(F.col("html"), F.col("url")).alias("format"), F.col("html").alias("content"), "url"))
 
 
 @query()
@@ -730,13 +730,13 @@ def paged_sections(spark, d):
 
 @query()
 def document_chunks(spark, d):
-    """Sections cut and packed with overlap: one row per chunk, with its place, text and a lasting id."""
-    p = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
-    path = K.heading_path(F.col("title"), F.split("heading_path", " > "))
-    s = parsed(spark, d).select("id", "n", "heading_path", F.posexplode(K.chunks(F.col("text"))).alias("chunk", "body")).join(p, "id")
-    s = s.withColumn("path", path).withColumn("content", K.chunk_text(F.col("title"), F.col("path"), F.col("body")))
+    """Sections cut and packed with overlap: one record per chunk, with its place, kind, text and a lasting id."""
+    s = parsed(spark, d).select("id", "n", "title", "url", "anchor", "heading_path", F.posexplode(K.chunks(F.col("text"))).alias("chunk", "body"))
+    s = s.withColumn("path", K.heading_path(F.col("title"), F.split("heading_path", " > "))).withColumn("content", K.chunk_text(F.col("title"), F.col("path"), F.col("body")))
+    kind, none = F.lit("Documentation"), F.lit("")
+    heading = F.when(F.size("path") > 0, F.element_at("path", F.greatest(F.size("path"), F.lit(1)))).otherwise(F.col("title"))
     uuid = F.sha2(F.concat_ws("|", "url", "n", "chunk", "content"), 256)
-    return s.select("id", "n", "chunk", uuid.alias("uuid"), "title", "url", F.array_join("path", " > ").alias("heading_path"), X.version_of(F.concat_ws(" ", "title", "url")).alias("version"), "content", X.estimate_tokens(F.col("body")).alias("n_tokens"))
+    return s.select("id", "n", "chunk", uuid.alias("uuid"), "title", U.with_fragment(F.col("url"), F.col("anchor")).alias("url"), F.col("url").alias("resolved_url"), heading.alias("heading"), F.array_join("path", " > ").alias("heading_path"), kind.alias("doc_type"), U.product_of(F.col("title"), F.col("url"), kind, none, PRODUCTS).alias("product"), X.version_of(F.concat_ws(" ", "title", "url")).alias("version"), F.lit("html").alias("content_type"), "content", X.estimate_tokens(F.col("body")).alias("n_tokens"))
 
 
 @query()

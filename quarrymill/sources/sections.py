@@ -11,13 +11,20 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill import config as C
 from quarrymill.sources.slides import page_sections, slide_sections
 
+#: Title, and ``(heading path, text, anchor)`` of each section.
+Parsed = tuple[str, list[tuple[list[str], str, str | None]]]
+BOILERPLATE = re.compile("|".join([r"©\s*\d{4}", r"\d+\s*/\s*\d+$", r"\d+$", *C.BOILERPLATE]), re.IGNORECASE)
+
+# Names of HTML elements.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 DROPPED = set("script style noscript template svg nav header footer aside form".split())
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
@@ -32,8 +39,39 @@ def format_of(content: Column, url: Column) -> Column:
     return F.when(u.endswith(".pdf"), "pdf").when(u.endswith(".pptx"), "pptx").when(u.endswith(".ipynb"), "notebook").when(u.rlike(r"\.(md|markdown)$"), "markdown").when(F.lower(content).contains("<html"), "html").otherwise("markdown")
 
 
+def clean(text: str) -> str:
+    """Line ends, runs of blanks and of empty lines put in order."""
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", re.sub(r"\r\n?", "\n", text or ""))).strip()
+
+
+def resolve(base: str, href: str | None) -> str | None:
+    """A link's address (RFC 3986); mail, telephone and script links have none."""
+    href = (href or "").strip()
+    if not href or href.lower().startswith(("mailto:", "tel:", "javascript:")):
+        return None
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
+def with_links(text: str, links: list[tuple[str, str | None]]) -> str:
+    """A block's text, and behind it what it links to."""
+    said = " ".join(f"{clean(t)} {u}" for t, u in links if clean(t) and u)
+    return clean(f"{text}\n\nLinked references: {said}") if said else text
+
+
+def under(path: list[tuple[str, str | None]], level: int, text: str, anchor: str | None) -> list[tuple[str, str | None]]:
+    """The headings above a section: a heading of level n replaces all from the n-th on."""
+    return [*path[: level - 1], (text, anchor or None)]
+
+
+def section(path: list[tuple[str, str | None]], blocks: list[str]) -> tuple[list[str], str, str | None]:
+    return [t for t, _ in path], "\n\n".join(blocks), next((a for _, a in reversed(path) if a), None)
+
+
 class Blocks(HTMLParser):
-    """Outermost blocks of a page, in order, with the tag of each; dropped parts are skipped.
+    """Outermost blocks of a page, in order, with tag, id and links of each; dropped parts are skipped.
 
     The root is the first main part, article or content; it holds a run of the blocks.
     """
@@ -41,37 +79,46 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__()
         self.stack: list[str] = []
-        self.found: list[tuple[str, list[str], str | None]] = []
+        self.found: list[tuple[str, list[str], str | None, list[tuple[str, list[str]]]]] = []
         self.open: int | None = None
+        self.link: list[str] | None = None
         self.title: list[str] = []
+        self.named = ""
         self.loose: list[str] = []
         self.roots: dict[int, list] = {}  # by preference: depth, first block, end
 
-    def blocks(self) -> list[tuple[str, list[str], str | None]]:
+    def blocks(self) -> list:
         _, at, to = self.roots[min(self.roots)] if self.roots else (0, 0, None)
         return self.found[at:to]
 
     def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if tag == "meta" and attrs.get("property") == "og:title":
+            self.named = self.named or clean(attrs.get("content") or "")
         if tag in VOID:
             return
         self.stack.append(tag)
-        attrs = dict(attrs)
         classes = (attrs.get("class") or "").split()
         for rank, met in enumerate((tag == "main", tag == "article", attrs.get("role") == "main", "article" in classes, "content" in classes, tag == "body")):
             if met and not self.dropped():
                 self.roots.setdefault(rank, [len(self.stack), len(self.found), None])
         if tag in BLOCKS and self.open is None and not self.dropped():
             self.open = len(self.stack)
-            self.found.append((tag, [], attrs.get("id")))
+            self.found.append((tag, [], attrs.get("id"), []))
         elif tag in ("tr", "td", "th") and self.open is not None and self.found[-1][0] == "table" and not self.dropped():
             self.found[-1][1].append(ROW if tag == "tr" else CELL)
+        if tag == "a" and attrs.get("href") is not None and self.open is not None and not self.dropped():
+            self.link = []
+            self.found[-1][3].append((attrs["href"], self.link))
 
     def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = None
         if tag in self.stack:
             while self.stack.pop() != tag:
                 pass
             if self.open is not None and len(self.stack) < self.open:
-                self.open = None
+                self.open = self.link = None
             for root in self.roots.values():
                 if root[2] is None and len(self.stack) < root[0]:
                     root[2] = len(self.found)
@@ -85,13 +132,15 @@ class Blocks(HTMLParser):
         elif data.strip() and not self.dropped():
             words = self.loose if self.open is None else self.found[-1][1]
             words.append(data.strip("\n") if self.open is not None and self.found[-1][0] == "pre" else data.strip())
+            if self.link is not None:
+                self.link.append(data.strip())
 
 
 def block_text(tag: str, words: list[str]) -> str:
     """Code in a fence, tables a line for each row, all else in one line."""
     one = lambda t: re.sub(r"\s+", " ", t).strip()
-    if tag == "pre":
-        body = "\n".join(words).strip("\n")
+    if tag in ("pre", "code"):
+        body = "\n".join(words).strip("\n") if tag == "pre" else one(" ".join(words))
         return f"```\n{body}\n```" if body.strip() else ""
     if tag == "table":
         rows = [" | ".join(filter(None, map(one, r.split(CELL)))) for r in " ".join(words).split(ROW)]
@@ -99,43 +148,97 @@ def block_text(tag: str, words: list[str]) -> str:
     return one(" ".join(words))
 
 
-def html_sections(text: str) -> list[tuple[list[str], str]]:
-    """``(heading path, text)`` of the sections of a page."""
+def parse_html(text: str, url: str = "", title: str = "") -> Parsed:
+    """Sections of a page under its headings, without boilerplate, with link evidence.
+
+    The title is the first heading of level 1, else the page's social or own title.
+    """
     p = Blocks()
     p.feed(text or "")
     p.close()
-    path: list[tuple[int, str]] = []
-    out: list[tuple[list[str], list[str]]] = [([], [])]
-    for tag, words, _ in p.blocks():
+    title = p.named or clean(re.sub(r"\s+", " ", " ".join(p.title))) or title
+    path, out, first = [], [([], [])], True
+    for tag, words, anchor, links in p.blocks():
         body = block_text(tag, words)
-        if not body:
+        if not body or BOILERPLATE.match(clean(" ".join(words))):
             continue
         if tag in HEADINGS:
-            path = [h for h in path if h[0] < HEADINGS[tag]] + [(HEADINGS[tag], body)]
-            out.append(([h for _, h in path], []))
+            path = under(path, HEADINGS[tag], body, clean(anchor or ""))
+            out.append((path, []))
+            if HEADINGS[tag] == 1 and first:
+                title, first = body, False
         else:
-            out[-1][1].append(f"- {body}" if tag == "li" else body)
-    found = [(h, "\n\n".join(b)) for h, b in out if b]
-    return found or ([([], re.sub(r"\s+", " ", " ".join(p.loose)))] if p.loose else [])
+            shown = [(" ".join(t), resolve(url, to)) for to, t in links]
+            out[-1][1].append(body if tag in ("pre", "code") else with_links(f"- {body}" if tag == "li" else body, shown))
+    found = [section(h, b) for h, b in out if b]
+    return title, found or ([([], re.sub(r"\s+", " ", " ".join(p.loose)), None)] if p.loose else [])
 
 
-def markdown_sections(text: str) -> list[tuple[list[str], str]]:
-    """``(heading path, text)`` of the sections of a Markdown document; fences hide headings."""
-    path: list[tuple[int, str]] = []
-    out: list[tuple[list[str], list[str]]] = [([], [])]
-    fence = None
-    for line in (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        mark = re.match(r"^(```|~~~)", line.strip())
-        if mark:
-            fence = None if fence == mark[1] else fence or mark[1]
-        head = None if fence else re.match(r"^(#{1,6})\s+(.*)$", line.strip())
-        if head:
-            name = re.sub(r"\s*\{#[A-Za-z0-9_-]+\}\s*$", "", head[2]).strip()
-            path = [h for h in path if h[0] < len(head[1])] + [(len(head[1]), name)]
-            out.append(([h for _, h in path], []))
+def html_sections(text: str) -> list[tuple[list[str], str]]:
+    """``(heading path, text)`` of the sections of a page."""
+    return [(h, t) for h, t, _ in parse_html(text)[1]]
+
+
+def without_frontmatter(text: str) -> str:
+    text = text.removeprefix("\ufeff")
+    end = text.find("\n---", 3) if text.startswith("---") else -1
+    return text[end + 4 :].lstrip() if end >= 0 else text
+
+
+def parse_markdown(text: str, url: str = "", title: str = "") -> Parsed:
+    """Sections of a Markdown document: no front matter, no boilerplate, anchors off headings, links behind their paragraph; fences hide headings."""
+    text = without_frontmatter(text or "")
+    path, out, lines, code, own = [], [([], [])], [], [], title
+
+    def flush() -> None:
+        body = clean("\n".join(lines))
+        lines.clear()
+        if body and not BOILERPLATE.match(body):
+            out[-1][1].append(with_links(body, [(t, resolve(url, u)) for t, u in re.findall(r"(?<!!)\[([^\]]+)\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)", body)]))
+
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        if re.match(r"```|~~~", line.strip()):
+            if code:
+                out[-1][1].append("\n".join([*code, line]).strip())
+                code = []
+            else:
+                flush()
+                code = [line]
+        elif code:
+            code.append(line)
+        elif head := re.match(r"(#{1,6})\s+(.*)$", line.strip()):
+            flush()
+            name = clean(head[2])
+            anchor = re.match(r"(.*?)\s*\{#([A-Za-z0-9_-]+)\}\s*$", name)
+            if anchor:
+                name = clean(anchor[1])
+            if len(head[1]) == 1 and own == title:
+                own = name
+            path = under(path, len(head[1]), name, anchor and anchor[2])
+            out.append((path, []))
+        elif line.strip():
+            lines.append(line)
         else:
-            out[-1][1].append(line)
-    return [(h, body) for h, b in out if (body := re.sub(r"\n{3,}", "\n\n", "\n".join(b)).strip())]
+            flush()
+    flush()
+    if code:
+        out[-1][1].append("\n".join(code).strip())
+    found = [section(h, b) for h, b in out if b]
+    return own, found or ([([], clean(text), None)] if clean(text) else [])
+
+
+def markdown_sections(text: str) -> list[tuple[list[str], str]]:
+    """``(heading path, text)`` of the sections of a Markdown document."""
+    return [(h, t) for h, t, _ in parse_markdown(text)[1]]
+
+
+def output_text(o: dict) -> str:
+    """What a notebook cell put out: its stream, its error, or its data in the fittest form."""
+    whole = lambda x: "".join(map(str, x)) if isinstance(x, list) else str(x or "")
+    if o.get("output_type") == "error":
+        return whole(o.get("traceback")) or clean(f"{o.get('ename') or ''} {o.get('evalue') or ''}")
+    data = o.get("data") if isinstance(o.get("data"), dict) else {}
+    return whole(o.get("text") or data.get("text/markdown") or data.get("text/plain") or data.get("text/html"))
 
 
 def notebook_markdown(text: str) -> str:
@@ -154,17 +257,19 @@ def notebook_markdown(text: str) -> str:
         source = whole(c.get("source", c.get("input")))
         if c.get("cell_type") == "code":
             out.append(f"```{language}\n{source}\n```")
-            for o in c.get("outputs", []):
-                data = o.get("data", {})
-                body = whole(o.get("text") or data.get("text/markdown") or data.get("text/plain") or data.get("text/html"))
-                if body.strip():
-                    out.append(f"```\n{body.strip()}\n```")
+            out.extend(f"```\n{body.strip()}\n```" for o in c.get("outputs", []) if isinstance(o, dict) and (body := output_text(o)).strip())
         elif source.strip():
             out.append(source)
     return "\n\n".join(out)
 
 
-PARSERS = {"html": html_sections, "markdown": markdown_sections, "notebook": lambda t: markdown_sections(notebook_markdown(t)), "pdf": page_sections, "pptx": slide_sections}
+def titled(found: list[tuple[list[str], str]], title: str, first: bool = False) -> Parsed:
+    """Sections without anchors; a short first line may be the title."""
+    line = next((t for _, body in found for t in body.split("\n") if t.strip()), "") if first else ""
+    return line if line and len(line.split()) <= 12 else title, [(h, t, None) for h, t in found]
+
+
+PARSERS = {"html": parse_html, "markdown": parse_markdown, "notebook": lambda t, u, n: parse_markdown(notebook_markdown(t), u, n), "pdf": lambda t, u, n: titled(page_sections(t), n), "pptx": lambda t, u, n: titled(slide_sections(t), n, True)}
 
 
 def readable(form: str, content: str | bytes | None) -> str | bytes | None:
@@ -176,12 +281,21 @@ def readable(form: str, content: str | bytes | None) -> str | bytes | None:
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """``(id, format, content)`` to ``id, n, heading_path, text``; other formats and empty documents give no rows."""
+    """``(id, format, content)``, and ``url`` and ``title`` where known, to ``id, n, heading_path, text, title, anchor, url``.
+
+    Other formats and empty documents give no rows.
+    """
+    has = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c) if c in docs.columns else F.lit("").alias(c)
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("heading_path", pa.string()), ("text", pa.string()), ("title", pa.string()), ("anchor", pa.string()), ("url", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                rows = [(i, n, " > ".join(h), t) for i, f, c in zip(*(b.column(k).slice(at, 200).to_pylist() for k in range(3)), strict=True) if f in PARSERS for n, (h, t) in enumerate(PARSERS[f](readable(f, c)))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], ["id", "n", "heading_path", "text"])
-
-    return docs.select("id", "format", "content").mapInArrow(run, "id long, n int, heading_path string, text string")
+                rows = []
+                for i, form, content, url, title in zip(*(b.column(k).slice(at, 200).to_pylist() for k in range(5)), strict=True):
+                    if form in PARSERS:
+                        named, found = PARSERS[form](readable(form, content), url, title)
+                        rows += [(i, n, " > ".join(h), t, named, anchor, url) for n, (h, t, anchor) in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
+
+    return docs.select("id", "format", "content", has("url"), has("title")).mapInArrow(run, "id long, n int, heading_path string, text string, title string, anchor string, url string")

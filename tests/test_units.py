@@ -90,3 +90,48 @@ def test_stream_equals_batch(spark):
     q.stop()
     key = lambda df: {tuple(r) for r in df.select(F.col("window_start").cast("string"), "event_type", "n").collect()}
     assert key(spark.table("traffic")) == key(O.traffic(batch))
+
+
+def test_parsed_page():
+    page = '<html><head><title>Own</title></head><body><main><h1 id="top">T</h1><p>see <a href="../x?a=1#f">the <b>x</b></a> and <a href="mailto:a@b">mail</a></p><p>Copy</p><h2 id="s">U</h2><h4>deep</h4><ul><li><a href="/y">why</a></li></ul><code>x = 1</code></main></body></html>'
+    title, found = S.parse_html(page, "https://h.example.org/a/b/c", "given")
+    assert title == "T"
+    assert found == [
+        (["T"], "see the x and mail\n\nLinked references: the x https://h.example.org/a/x?a=1#f", "top"),
+        (["T", "U", "deep"], "- why\n\nLinked references: why https://h.example.org/y\n\n```\nx = 1\n```", "s"),
+    ]
+    assert S.parse_html('<meta property="og:title" content="Social"><title>Own</title><p>x</p>', "", "given")[0] == "Social"
+
+
+def test_parsed_markdown():
+    text = "---\ntitle: no\n---\n# T {#t}\nsee [one](/p) ![image](/q)\n\nCopy\n### A\na\n### B {#b}\nb\n~~~\n# code\n```\nc"
+    title, found = S.parse_markdown(text, "https://h.example.org/a/", "given")
+    assert title == "T"
+    assert found == [
+        (["T"], "see [one](/p) ![image](/q)\n\nLinked references: one https://h.example.org/p", "t"),
+        (["T", "A"], "a", "t"),
+        (["T", "A", "B"], "b\n\n~~~\n# code\n```\n\nc", "b"),
+    ]
+    assert S.parse_markdown("", "", "given") == ("given", [])
+
+
+def test_notebook_errors_and_deck_title():
+    book = '{"cells": [{"cell_type": "code", "source": "x", "outputs": [{"output_type": "error", "ename": "E", "evalue": "v"}, {"output_type": "error", "traceback": ["t1", "t2"]}, {"output_type": "stream", "text": "s"}]}]}'
+    assert S.notebook_markdown(book) == "```python\nx\n```\n\n```\nE v\n```\n\n```\nt1t2\n```\n\n```\ns\n```"
+    assert S.PARSERS["pptx"](deck(True), "", "given")[0] == "Second"
+
+
+def test_stream_pairs(spark):
+    """Each call with the result of its id that comes in time."""
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sql("SELECT id, timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS ts FROM range(6)").write.parquet(f"{folder}/c")
+    spark.sql("SELECT id, timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, id + CASE WHEN id = 3 THEN 90 ELSE 1 END) AS ts, 'r' || id AS result FROM range(4)").write.parquet(f"{folder}/r")
+    calls, results = spark.readStream.schema("id long, ts timestamp").parquet(f"{folder}/c"), spark.readStream.schema("id long, ts timestamp, result string").parquet(f"{folder}/r")
+    joined = traffic.pairs(calls, results).select("c.id", "r.result")
+    q = joined.writeStream.format("memory").queryName("pairs").option("checkpointLocation", f"{folder}/k").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {tuple(r) for r in spark.table("pairs").collect() if r["result"]}
+    assert got == {(0, "r0"), (1, "r1"), (2, "r2")}

@@ -126,7 +126,10 @@ def document_terms(meta: DataFrame, wanted: DataFrame) -> DataFrame:
     ``w_*`` arrays also have the capability prefixes whose numbered forms the field has.
     """
     m = field_columns()
-    rows = meta.join(wanted.select("ordinal").distinct(), "ordinal", "left_semi")
+    spark = meta.sparkSession
+    # Few bytes but much work: adaptive execution would put the candidates into one task.
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = meta.join(wanted.select("ordinal").distinct(), "ordinal", "left_semi").repartition(spread, "ordinal")
     arrays = {"titles": X.tokens(m["title"]), "heads": X.tokens(m["headings"]), "urls": X.tokens(m["urls"]), "tags": X.tokens(m["tags"]), "words": X.tokens(m["keywords"]), "body": X.tokens(m["search_text"]), "links": X.split_tokens(m["urls"])}
     rows = rows.withColumns({n: F.array_distinct(c) for n, c in arrays.items()})
     rows = rows.withColumn("title_url", F.array_union("titles", "links"))

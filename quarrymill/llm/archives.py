@@ -203,7 +203,7 @@ def warc_record(lines: list[str], block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.0", *lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def convert_to_warc(spark: SparkSession, arc: str, path: str, least: int = 1000) -> None:
+def convert_to_warc(spark: SparkSession, arc: str, path: str, least: int = 1000, task_bytes: int = 32 << 20) -> None:
     """A WARC file for each ARC file; equal payloads of ``least`` bytes and more are kept once."""
     tables = Scratch(spark)
     records = tables.keep(read_arc(spark, arc), "arc-records")
@@ -212,9 +212,12 @@ def convert_to_warc(spark: SparkSession, arc: str, path: str, least: int = 1000)
     again = records.join(groups, ["payload_digest", "payload_bytes"]).filter(F.col("page_id") != F.col("original.page_id"))
     # A file's decisions are as many as its records at most, and files are of bounded size.
     decided = again.groupBy("path").agg(F.collect_list(F.struct("n", "original")).alias("revisits"))
-    # About 64 MB of payloads in a task, however few partitions a session asks for.
-    parts = int((records.agg(F.sum("payload_bytes")).first()[0] or 0) // (64 << 20)) + 1
-    files = read_files(spark, arc).repartition(parts, "path").join(decided.repartition(parts, "path"), "path", "left").select("path", "content", "revisits")
+    # Partitions of about ``task_bytes`` of payloads, so that tasks don't grow with the archives. A
+    # file meets its decisions in one shuffle: a join would shuffle once more wherever the session
+    # asks for more partitions than these.
+    parts = int((records.agg(F.sum("payload_bytes")).first()[0] or 0) // task_bytes) + 1
+    both = read_files(spark, arc).unionByName(decided, allowMissingColumns=True).repartition(parts, "path")
+    files = both.groupBy("path").agg(F.first("content", ignorenulls=True).alias("content"), F.first("revisits", ignorenulls=True).alias("revisits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.archives import archive_pages
 from quarrymill.llm.language import identify
+from quarrymill.llm.line_dedup import dedup_lines
 from quarrymill.llm.mixing import fit_rates
 from quarrymill.llm.near_dedup import near_dedup
 from quarrymill.llm.pieces import encode_pieces
@@ -65,7 +66,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_rates(docs, docs.select("doc_id", F.col("lang").alias("label")), TARGETS, keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_exact_topk, op4_toxicity, op5_sentencepiece, op6_language_id, op7_embedding_near_dedup, op8_warc, op9_quality, op10_mixing)}
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = dedup_lines(table(spark, sf_dir, "documents"), least=10, keep=["doc_id"])
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_exact_topk, op4_toxicity, op5_sentencepiece, op6_language_id, op7_embedding_near_dedup, op8_warc, op9_quality, op10_mixing, op13_line_dedup)}
 
 ORACLES = {
     "op3_exact_topk": """
@@ -83,4 +89,13 @@ ORACLES = {
                CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to
         FROM g""",
+    "op13_line_dedup": r"""
+        WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM s),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        r AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+        j AS (SELECT k.*, first IS NOT NULL AND doc_id <> first AS gone FROM k LEFT JOIN r USING (key))
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM j GROUP BY doc_id""",
 }

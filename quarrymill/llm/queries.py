@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.llm.alignment import align_tokenizers
 from quarrymill.llm.archives import archive_pages
+from quarrymill.llm.hard_negatives import mine
 from quarrymill.llm.language import identify
 from quarrymill.llm.line_dedup import dedup_lines
 from quarrymill.llm.mixing import fit_rates
@@ -66,12 +68,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_rates(docs, docs.select("doc_id", F.col("lang").alias("label")), TARGETS, keep=["doc_id"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the rows whose id is divisible by 7 the label is moved on, as the contract asks."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(vectors.select("vec_id", "embedding", moved.alias("label")), every=50, positives=5, negatives=3, window=(50, 95))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = dedup_lines(table(spark, sf_dir, "documents"), least=10, keep=["doc_id"])
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_exact_topk, op4_toxicity, op5_sentencepiece, op6_language_id, op7_embedding_near_dedup, op8_warc, op9_quality, op10_mixing, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_exact_topk, op4_toxicity, op5_sentencepiece, op6_language_id, op7_embedding_near_dedup, op8_warc, op9_quality, op10_mixing, op11_hard_negatives, op12_alignment, op13_line_dedup)}
 
 ORACLES = {
     "op3_exact_topk": """
@@ -89,6 +102,18 @@ ORACLES = {
                CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to
         FROM g""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS e
+                   FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS anchor_id, x.vec_id, q.label = x.label AS same, CAST(list_dot_product(q.e, x.e) AS BIGINT) AS score
+              FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT p.*, vec_id AS negative_id, score AS negative_score,
+                     CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+              FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     "op13_line_dedup": r"""
         WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
         l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM s),

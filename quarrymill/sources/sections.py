@@ -7,6 +7,7 @@ another.
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrymill import config as C
 from quarrymill.sources.slides import page_sections, slide_sections
@@ -25,18 +27,20 @@ Parsed = tuple[str, list[tuple[list[str], str, str | None]]]
 BOILERPLATE = re.compile("|".join([r"©\s*\d{4}", r"\d+\s*/\s*\d+$", r"\d+$", *C.BOILERPLATE]), re.IGNORECASE)
 
 # Names of HTML elements.
-VOID = set("area base br col embed hr img input link meta source track wbr".split())
-DROPPED = set("script style noscript template svg nav header footer aside form".split())
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+DROPPED = {"script", "style", "noscript", "template", "svg", "nav", "header", "footer", "aside", "form"}
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 BLOCKS = set(HEADINGS) | {"p", "li", "pre", "code", "table"}
 #: Marks among a table's words: here a row begins, here a cell.
 ROW, CELL = "\0", "\1"
 
 
-def format_of(content: Column, url: Column) -> Column:
-    """The parser that a document goes to."""
+def format_of(content: Column, url: Column, kind: Column | None = None) -> Column:
+    """The parser that a document goes to, by its content type where one is known, its address and its content."""
     u = F.lower(F.regexp_replace(url, r"[?#].*$", ""))
-    return F.when(u.endswith(".pdf"), "pdf").when(u.endswith(".pptx"), "pptx").when(u.endswith(".ipynb"), "notebook").when(u.rlike(r"\.(md|markdown)$"), "markdown").when(F.lower(content).contains("<html"), "html").otherwise("markdown")
+    said = F.lower(F.coalesce(F.lit("") if kind is None else kind, F.lit("")))
+    out = F.when(said.contains("pdf") | u.endswith(".pdf"), "pdf").when(said.contains("presentationml") | u.endswith(".pptx"), "pptx").when(said.contains("ipynb") | u.endswith(".ipynb"), "notebook")
+    return out.when(said.contains("markdown") | u.rlike(r"\.(md|markdown)$"), "markdown").when(said.contains("html") | F.lower(content).contains("<html"), "html").otherwise("markdown")
 
 
 def clean(text: str) -> str:
@@ -269,7 +273,23 @@ def titled(found: list[tuple[list[str], str]], title: str, first: bool = False)
     return line if line and len(line.split()) <= 12 else title, [(h, t, None) for h, t in found]
 
 
-PARSERS = {"html": parse_html, "markdown": parse_markdown, "notebook": lambda t, u, n: parse_markdown(notebook_markdown(t), u, n), "pdf": lambda t, u, n: titled(page_sections(t), n), "pptx": lambda t, u, n: titled(slide_sections(t), n, True)}
+def parse_topic(text: str, url: str = "", title: str = "") -> Parsed:
+    """A documentation service's JSON: a page in base64, under ``topic`` or at the top; what isn't that has no sections."""
+    try:
+        data = json.loads(text or "")
+        topic = data.get("topic", data)
+        page = base64.b64decode(topic.get("content") or "").decode("utf-8", "ignore")
+    except (ValueError, AttributeError, TypeError):
+        return title, []
+    return parse_html(page, url, data.get("title") or title) if page else (title, [])
+
+
+def parse_pages(text: str, url: str = "", title: str = "") -> Parsed:
+    named, found = page_sections(text, title)
+    return named, [(h, t, None) for h, t in found]
+
+
+PARSERS = {"topic": parse_topic, "html": parse_html, "markdown": parse_markdown, "notebook": lambda t, u, n: parse_markdown(notebook_markdown(t), u, n), "pdf": parse_pages, "pptx": lambda t, u, n: titled(slide_sections(t), n, True)}
 
 
 def readable(form: str, content: str | bytes | None) -> str | bytes | None:
@@ -280,22 +300,29 @@ def readable(form: str, content: str | bytes | None) -> str | bytes | None:
     return "" if text.startswith("%PDF-") else text
 
 
-def sections(docs: DataFrame) -> DataFrame:
+def sections(docs: DataFrame, keep: list[str] | None = None, empty: bool = False) -> DataFrame:
     """``(id, format, content)``, and ``url`` and ``title`` where known, to ``id, n, heading_path, text, title, anchor, url``.
 
-    Other formats and empty documents give no rows.
+    The columns of ``keep`` follow. Other formats and empty documents give no rows, or one without
+    a number if ``empty`` asks for it.
     """
     has = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c) if c in docs.columns else F.lit("").alias(c)
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("heading_path", pa.string()), ("text", pa.string()), ("title", pa.string()), ("anchor", pa.string()), ("url", pa.string())])
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
+    names, keep = ["id", "n", "heading_path", "text", "title", "anchor", "url"], keep or []
+    base = docs.select("id", "format", "content", has("url"), has("title"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                rows = []
-                for i, form, content, url, title in zip(*(b.column(k).slice(at, 200).to_pylist() for k in range(5)), strict=True):
-                    if form in PARSERS:
-                        named, found = PARSERS[form](readable(form, content), url, title)
-                        rows += [(i, n, " > ".join(h), t, named, anchor, url) for n, (h, t, anchor) in enumerate(found)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
-
-    return docs.select("id", "format", "content", has("url"), has("title")).mapInArrow(run, "id long, n int, heading_path string, text string, title string, anchor string, url string")
+                rows, of = [], []
+                for k, (i, form, content, url, title) in enumerate(zip(*(b.column(k).slice(at, 200).to_pylist() for k in range(5)), strict=True)):
+                    named, found = PARSERS[form](readable(form, content), url, title) if form in PARSERS else (title, [])
+                    mine = [(i, n, " > ".join(h), t, named, anchor, url) for n, (h, t, anchor) in enumerate(found)] or [(i, None, None, None, named, None, url)] * empty
+                    rows += mine
+                    of += [at + k] * len(mine)
+                own = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*own, *(c.take(pa.array(of, pa.int64())) for c in b.columns[5:])], [*names, *(f"k{i}" for i in range(len(keep)))])
+
+    fields = [T.StructField(n, t) for n, t in zip(names, [T.LongType(), T.IntegerType(), *[T.StringType()] * 5], strict=True)]
+    out = base.mapInArrow(run, T.StructType(fields + base.schema.fields[5:]))
+    return out.select(*names, *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))

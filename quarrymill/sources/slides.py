@@ -69,22 +69,29 @@ def slide_sections(data: bytes | None) -> list[tuple[list[str], str]]:
 
 
 def heading(text: str) -> bool:
-    """Short, no sentence end, and capitals or capitalised words."""
-    return len(text) <= 120 and len(text.split()) <= 12 and text[-1] not in ".!?:" and text in (text.title(), text.upper()) and text.lower() != text
+    """Short, no sentence end, and capitals or capitalised words; a number is one too."""
+    return len(text) <= 120 and len(text.split()) <= 12 and text[-1] not in ".!?:" and text in (text.title(), text.upper())
 
 
-def page_sections(text: str | None) -> list[tuple[list[str], str]]:
-    """Extracted text with a form feed between pages: a section for each page, under its last heading.
+def page_sections(text: str | None, title: str = "") -> tuple[str, list[tuple[list[str], str]]]:
+    """Title and sections of extracted text with a form feed between pages: a section for each page, under its number and its last heading.
 
-    A first paragraph of at most 12 words on page 1 is the title and heads all paths.
+    The first paragraph of page 1 with at most 12 words that differs from ``title`` is the title. A text without
+    sections has one, the title.
     """
-    out, title = [], []
+    out, named = [], title
     for n, page in enumerate((text or "").split("\f"), 1):
-        blocks = [b for p in re.split(r"\n\s*\n", page) if (b := re.sub(r"[ \t]+", " ", p).strip()) and not NOISE.match(b)]
-        if n == 1 and blocks and len(blocks[0].split()) <= 12:
-            title = [blocks.pop(0)]
-        heads = [b for b in blocks if heading(b)]
-        body = [b for b in blocks if not heading(b)]
+        path, body = [f"Page {n}"], []
+        for p in re.split(r"\n\s*\n", page):
+            block = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", re.sub(r"\r\n?", "\n", p))).strip()
+            if not block:
+                continue
+            if n == 1 and named == title and len(block.split()) <= 12:
+                named = block
+            elif heading(block):
+                path = [f"Page {n}", block]
+            elif not NOISE.match(block):
+                body.append(block)
         if body:
-            out.append(([*title, heads[-1] if heads else f"Page {n}"], "\n\n".join(body)))
-    return out
+            out.append((path, "\n\n".join(body)))
+    return named, out or ([([], title)] if title else [])

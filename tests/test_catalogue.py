@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from quarrymill.operators import retrieval as R
-from quarrymill.plans import more  # noqa: F401
+from quarrymill.plans import building, more  # noqa: F401
 from quarrymill.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -52,8 +52,9 @@ def test_slides(spark):
 
 
 def test_pages():
-    assert slides.page_sections("My title\n\nOVERVIEW\n\nSome text is here.\fmore text follows\n\n12") == [(["My title", "OVERVIEW"], "Some text is here."), (["My title", "Page 2"], "more text follows")]
-    assert slides.page_sections("") == slides.page_sections(None) == []
+    assert slides.page_sections("A long first paragraph of far more than twelve words does not name the text.\n\nMy title\n\nOVERVIEW\n\nSome text is here.\fmore text follows\n\n12") == ("My title", [(["Page 1", "OVERVIEW"], "A long first paragraph of far more than twelve words does not name the text.\n\nSome text is here."), (["Page 2", "12"], "more text follows")])
+    assert slides.page_sections("") == slides.page_sections(None) == ("", [])
+    assert slides.page_sections("\f", "Named") == ("Named", [([], "Named")])
 
 
 def test_markdown_sections():

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as X
-from quarrymill.operators import router
+from quarrymill.operators import operations as O
+from quarrymill.operators import order, router
 from quarrymill.plans.catalogue import PRODUCTS, query, table
 from quarrymill.plans.more import dashboard_entries
 from quarrymill.sources import crawl as W
@@ -106,3 +107,27 @@ def routed_chunks(spark, d):
 def routed_rejects(spark, d):
     """What gave no chunks, and why."""
     return routed(spark, d)[1]
+
+
+# ---- global order
+
+SITE_SQL = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
+
+
+@query(f"""WITH p AS (SELECT page_id AS pos, url, {SITE_SQL} AS site FROM pages), ex AS (SELECT * FROM p WHERE pos % 3 = 0),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos) AS nth FROM p WHERE pos % 3 <> 0) WHERE nth = 1 AND url NOT IN (SELECT url FROM ex)),
+    l AS (SELECT site, max(pos) AS after FROM ex GROUP BY site),
+    a AS (SELECT url, site, pos AS major, 0 AS minor FROM ex UNION ALL SELECT f.url, f.site, coalesce(after, 1099511627776), pos + 1 FROM f LEFT JOIN l USING (site))
+    SELECT url, site, row_number() OVER (ORDER BY major, minor, url) - 1 AS position FROM a""")
+def registry_positions(spark, d):
+    """The registry with new sources in their places: behind the last of their site, as positions from 0."""
+    p = table(spark, d, "pages").select(F.col("page_id").alias("pos"), "url", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("site"))
+    placed = O.register_sources(p.filter("pos % 3 = 0"), p.filter("pos % 3 <> 0"))
+    return order.positions(placed, "major", "minor", "url").select("url", "site", "position")
+
+
+@query(r"""SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, doc_id AS id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n_words FROM documents""")
+def source_chunks(spark, d):
+    """Each source's chunk ids in order, a row each: the ordered list of the statistics, whatever its length."""
+    c = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), F.size(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))).cast("long").alias("n_words"))
+    return order.positions_within(c, "source", "id").select("source", "position", "id", "n_words")

@@ -7,6 +7,7 @@ from urllib.parse import urldefrag, urljoin
 
 from pyspark.sql import functions as F
 
+from quarrymill.operators import order as O
 from quarrymill.operators import router
 from quarrymill.sources import crawl as W
 
@@ -89,3 +90,21 @@ def test_router_covers_every_source(spark):
     assert got[9, 0]["content"] == "Works" and got[9, 0]["version"] == "3.1" and got[13, 0]["title"] == "Title" and got[13, 0]["content_type"] == "pdf"
     out = {r["id"]: r for r in router.outcomes(s, routes, chunks, rejects).collect()}
     assert sorted(out) == list(range(1, 15)) and all(r["n_chunks"] + r["n_rejects"] > 0 for r in out.values())
+
+
+def test_positions_equal_a_sort(spark):
+    """A group of a third of the rows over many partitions, ties broken by id, nulls, an empty table."""
+    rows = [(i, None if i % 17 == 0 else R.randrange(0, 9), "hot" if i % 3 == 0 else R.choice(["a", "b", None])) for i in range(1000)]
+    R.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, k int, g string").repartition(7)
+    first = lambda x: (x is not None, x)
+    for parts in (None, 13):
+        got = O.positions(df, "k", "id", parts=parts).collect()
+        assert [r["id"] for r in sorted(got, key=lambda r: r["position"])] == [r[0] for r in sorted(rows, key=lambda r: (first(r[1]), r[0]))]
+        assert sorted(r["position"] for r in got) == list(range(1000))
+        within = O.positions_within(df, "g", "k", "id", parts=parts).collect()
+        for g in ("hot", "a", "b", None):
+            mine = sorted((r for r in within if r["g"] == g), key=lambda r: r["position"])
+            assert [r["position"] for r in mine] == list(range(len(mine)))
+            assert [r["id"] for r in mine] == [r[0] for r in sorted((r for r in rows if r[2] == g), key=lambda r: (first(r[1]), r[0]))]
+    assert O.positions(df.limit(0), "id").count() == O.positions_within(df.limit(0), "g", "id").count() == 0

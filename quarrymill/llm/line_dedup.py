@@ -32,7 +32,9 @@ MINE = ["n_lines", "n_dropped", "kept"]
 
 def line_key(line: Column) -> Column:
     """Blanks of ASCII stripped at both ends, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\f\r")), string.ascii_uppercase, string.ascii_lowercase)
+    bare = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+    ascii_only = F.octet_length(line) == F.length(line)  # then ``lower``, which is cheaper, does the same
+    return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, heavy: int = 10_000, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -44,7 +46,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, heavy: int = 10_000, id_col: s
     # Of rows with one id, equal texts have equal positions.
     base = base.withColumn("row", F.xxhash64("text", "id"))
     line = base.select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
-    lines = line.filter(F.length("key") >= least).select("id", "row", "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"))
+    lines = materialize(line.filter(F.length("key") >= least).select("id", "row", "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash")), "lines")
 
     counted = lines.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
     repeated = materialize(counted.filter("first < last").select("hash", "first", "n"), "repeated-lines")

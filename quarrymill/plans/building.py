@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import text as X
 from quarrymill.operators import operations as O
-from quarrymill.operators import order, router
-from quarrymill.plans.catalogue import PRODUCTS, query, table
+from quarrymill.operators import order, router, search_index
+from quarrymill.plans.catalogue import ORACLES, PRODUCTS, asked, corpus, query, table
 from quarrymill.plans.more import dashboard_entries
 from quarrymill.sources import crawl as W
+from quarrymill.storage import new_path
 
 # ---- the crawl
 
@@ -131,3 +132,33 @@ def source_chunks(spark, d):
     """Each source's chunk ids in order, a row each: the ordered list of the statistics, whatever its length."""
     c = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), F.size(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))).cast("long").alias("n_words"))
     return order.positions_within(c, "source", "id").select("source", "position", "id", "n_words")
+
+
+# ---- index artefacts
+
+
+def stored_index(spark, d):
+    path = new_path(spark, "index")
+    search_index.write_index(corpus(spark, d), path)
+    return search_index.read_index(spark, path)
+
+
+@query(ORACLES["bm25_topk"])
+def index_topk(spark, d):
+    """BM25's first five from the persisted index, by bounds of blocks and optional terms."""
+    return search_index.topk(stored_index(spark, d), asked(spark, d), 5)[0]
+
+
+@query()
+def index_reads(spark, d):
+    """How many postings the queries' terms have, and how many were read for their first five."""
+    return search_index.topk(stored_index(spark, d), asked(spark, d), 5)[1]
+
+
+@query("SELECT doc_id AS ordinal, source AS title, lang AS heading, ['tutorial', 'tuning guide', 'brief', 'reference architecture'][doc_id % 4 + 1] AS doc_type, '' AS version, CASE WHEN doc_id % 3 = 0 THEN 'https://r.example.org/' || doc_id ELSE 'https://docs.example.org/' || source || '/' || (doc_id % 97) END AS resolved_url FROM documents")
+def index_metadata(spark, d):
+    """Metadata read back from the artefacts, with defaults for what documents lack."""
+    c = corpus(spark, d).withColumn("resolved_url", F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("https://r.example.org/"), "ordinal")).otherwise(F.when(F.col("ordinal") % 3 == 1, F.lit(""))))
+    path = new_path(spark, "metadata")
+    search_index.with_defaults(c).write.parquet(path)
+    return spark.read.parquet(path).select("ordinal", "title", "heading", "doc_type", "version", "resolved_url")

@@ -254,8 +254,28 @@ def parse_warc(data: bytes, path: str = "the file") -> Iterator[tuple[bytes, byt
         at = end + 4 + length
 
 
+def sha1_of(value: str | None) -> str | None:
+    """The hex digest of a header's SHA-1, in base 32 or hex; null for what is absent or another kind."""
+    kind, _, code = (value or "").partition(":")
+    try:
+        found = bytes.fromhex(code) if len(code) == 40 else base64.b32decode(code.upper())
+    except ValueError:
+        return None
+    return found.hex() if kind.lower() == "sha1" and len(found) == 20 else None
+
+
+def referred_page(name: str | None) -> int | None:
+    """The page number in a name that this module gave."""
+    found = re.match(r"<urn:x-page:(-?\d+):", name or "")
+    return int(found[1]) if found else None
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page record: sizes and digests of full payloads, types and what revisits refer to."""
+    """One row per page record: sizes and digests of full payloads, types and what revisits refer to.
+
+    Of other writers' files: a response without a SHA-1 digest gets that of its payload, a revisit without one or without
+    a length has null there, and ``refers_to`` is null where a record's name has no page number.
+    """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()], strict=True)))
 
@@ -268,12 +288,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if kind not in ("response", "revisit"):
                         continue
                     http, payload = split_http(block)
-                    digest = base64.b32decode((header_value(head, "WARC-Payload-Digest") or "").partition(":")[2]).hex()
-                    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
+                    digest, real = sha1_of(header_value(head, "WARC-Payload-Digest")), hashlib.sha1(payload).hexdigest()
+                    if kind == "response" and (digest or real) != real:
                         raise ValueError(f"{at}: the payload of {header_value(head, 'WARC-Record-ID')} doesn't have its digest")
-                    refers = header_value(head, "WARC-Refers-To")
-                    size = declared(header_value(http, "Content-Length"), at, 0) if kind == "revisit" else len(payload)
-                    out.append((page_of(http), size, digest, kind, int(refers.split(":")[2]) if refers else None, header_value(head, "WARC-Target-URI")))
+                    told = header_value(http, "Content-Length")
+                    size = len(payload) if kind == "response" else declared(told, at, 0) if told else None
+                    out.append((page_of(http), size, real if kind == "response" else digest, kind, referred_page(header_value(head, "WARC-Refers-To")), header_value(head, "WARC-Target-URI")))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, schema.types, strict=True)], schema=schema)
 
     return read_files(spark, path).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")

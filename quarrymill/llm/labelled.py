@@ -10,7 +10,7 @@ from quarrymill.llm.shared import named, private
 
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+    return F.crc32(named(id_col).cast("string").cast("binary")) % n
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:

@@ -125,7 +125,7 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, sharp: float = 60.0
     prototypes[found["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64), found["at"].to_numpy(np.int64)] = found["x"].to_numpy()
     model = docs.sparkSession.sparkContext.broadcast(cosine_table(prototypes, seed) if names else None)
     mine = ["held_out", "lang_pred", "score"]
-    base, cols = with_text(docs, text_col, keep, mine, held_out=F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)))
+    base, cols, back = with_text(docs, text_col, keep, mine, held_out=F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, table = symbol_table(), model.value
@@ -145,4 +145,4 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, sharp: float = 60.0
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols) + 1)), pa.array(langs, pa.string()), pa.array(score)], [*cols, *mine])
 
     fields = [*base.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return base.mapInArrow(predict, T.StructType(fields))
+    return back(base.mapInArrow(predict, T.StructType(fields)))

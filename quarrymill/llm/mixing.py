@@ -115,7 +115,7 @@ def fit_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], pe
     k = max(1, len(names))
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(table)
-    base, cols = with_text(docs, text_col, keep, ["n_tokens", "posterior", "rate", "residual"])
+    base, cols, back = with_text(docs, text_col, keep, ["n_tokens", "posterior", "rate", "residual"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = powers()
@@ -136,7 +136,7 @@ def fit_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], pe
             r = rates(matrix(batch.column(batch.num_columns - 1), k), move)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(np.full(len(r), left))], [*batch.schema.names, "rate", "residual"])
 
-    return scored.mapInArrow(rate, T.StructType([*fields, T.StructField("rate", T.DoubleType()), T.StructField("residual", T.DoubleType())]))
+    return back(scored.mapInArrow(rate, T.StructType([*fields, T.StructField("rate", T.DoubleType()), T.StructField("residual", T.DoubleType())])))
 
 
 def apply_rates(rated: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:

@@ -288,6 +288,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     rows = docs.withColumns({key: named(id_col).cast("long"), mark: F.md5(F.coalesce(named(text_col).cast("string"), F.lit("")).cast("binary"))})
     sides = [x.select(F.col("id").alias(private(docs.columns, "_i")), F.col("hash").alias(private(docs.columns, "_h"))) for x in (heads, wordless)]
     meets = (F.col(key) == F.col(private(docs.columns, "_i"))) & (F.col(mark) == F.col(private(docs.columns, "_h")))
-    whole = F.min(F.struct(*map(named, docs.columns))).alias("row")
+    # Maps and variants have no order, so rows are told apart by a digest of what they hold.
+    whole = F.min_by(F.struct(*map(named, docs.columns)), F.sha2(F.to_json(F.struct(*map(named, docs.columns)), {"ignoreNullFields": "false"}), 256)).alias("row")
     one = rows.join(sides[0], meets, "left_semi").groupBy(key, mark).agg(whole).select("row.*")
     return one.unionByName(rows.join(sides[1], meets, "left_semi").select(*map(named, docs.columns))).unionByName(docs.filter(named(id_col).isNull()))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrymill.llm.shared import with_text
+from quarrymill.llm.shared import named, with_text
 
 MARK, CACHE, PAIRS = "▁", 300_000, 1 << 20
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -279,7 +279,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", keep
     """
     model = docs.sparkSession.sparkContext.broadcast(compile_model(read_model(model_path)))
     mine = ["n_tokens", "ids_sha1", "round_trip", "ids"]
-    base, cols = with_text(docs, text_col, keep, mine)
+    base, cols, back = with_text(docs, text_col, keep, mine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = Transducer(model.value)
@@ -296,18 +296,18 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", keep
                 yield pa.RecordBatch.from_arrays(columns, [*cols, *mine[: 4 if with_ids else 3]])
 
     fields = [*base.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha1", T.StringType()), T.StructField("round_trip", T.BooleanType())]
-    return base.mapInArrow(run, T.StructType(fields + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])))
+    return back(base.mapInArrow(run, T.StructType(fields + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []))))
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with the text of its piece numbers; null for null."""
     model = encoded.sparkSession.sparkContext.broadcast(compile_model(read_model(model_path)))
-    base, cols = with_text(encoded, ids_col, None, [text_col], F.col(ids_col))
+    base, cols, back = with_text(encoded, ids_col, None, [text_col], named(ids_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = Transducer(model.value)
         for batch in batches:
             texts = [None if x is None else fst.decode(np.array(x, dtype="<i4").tobytes()).decode("utf-8", "replace") for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), pa.array(texts, pa.string())], [*cols, text_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), pa.array(texts, pa.string())], [*cols, "_decoded"])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields[:-1], T.StructField(text_col, T.StringType())]))
+    return back(base.mapInArrow(run, T.StructType([*base.schema.fields[:-1], T.StructField("_decoded", T.StringType())]))).withColumnRenamed("_decoded", text_col)

@@ -33,7 +33,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, fol
     table, names = fit(sample, counts)
     model = docs.sparkSession.sparkContext.broadcast(table)
     good = names.index(1) if 1 in names else None
-    base, cols = with_text(docs, text_col, keep, ["held_out", "score", "predicted"], held_out=F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)))
+    base, cols, back = with_text(docs, text_col, keep, ["held_out", "score", "predicted"], held_out=F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = powers()
@@ -44,4 +44,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, fol
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*cols, "held_out", "score", "predicted"])
 
     schema = T.StructType([*base.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return base.mapInArrow(run, schema)
+    return back(base.mapInArrow(run, schema))

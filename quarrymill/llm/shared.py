@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,21 @@ def private(taken: list[str], name: str) -> str:
     return name
 
 
-def with_text(docs: DataFrame, text_col: str, keep: list[str] | None, mine: list[str], column: Column | None = None, **more: Column) -> tuple[DataFrame, list[str]]:
-    """The kept columns, ``more`` columns, and last the text under a name of its own; and the kept columns' names.
+def with_text(docs: DataFrame, text_col: str, keep: list[str] | None, mine: list[str], column: Column | None = None, **more: Column) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """The kept columns under private names, ``more`` columns, and last the text; the private names; and what gives the columns their names back.
 
-    Columns named like those that an operator writes (``mine``) are replaced.
+    Columns named like those that an operator writes (``mine``) are replaced. Batches and schemas
+    see private names alone, so signs in names mean nothing.
     """
     cols = [c for c in (keep or docs.columns) if c.lower() not in {m.lower() for m in mine}]
+    hidden = [f"_c{i}" for i in range(len(cols))]
     text = named(text_col).cast("string") if column is None else column
-    return docs.select(*map(named, cols), *(c.alias(n) for n, c in more.items()), text.alias(private([*cols, *more, *mine], "_text"))), cols
+    base = docs.select(*(named(c).alias(h) for c, h in zip(cols, hidden, strict=True)), *(c.alias(n) for n, c in more.items()), text.alias("_text"))
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(h).alias(c) for c, h in zip(cols, hidden, strict=True)), *(c for c in df.columns if c not in hidden))
+
+    return base, hidden, back
 
 
 def by_group(df: DataFrame, key: str, *order: str) -> DataFrame:

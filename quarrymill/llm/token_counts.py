@@ -160,7 +160,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 2048, huge: int
     with open(model_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     mine = ["n_bytes", "n_tokens", "over_limit"]
-    base, cols = with_text(docs, text_col, keep, mine)
+    base, cols, back = with_text(docs, text_col, keep, mine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(model.value, chunk, overlap, huge)
@@ -173,4 +173,4 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 2048, huge: int
                 yield pa.RecordBatch.from_arrays(columns, [*cols, *mine])
 
     fields = [*base.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return base.mapInArrow(run, T.StructType(fields))
+    return back(base.mapInArrow(run, T.StructType(fields)))

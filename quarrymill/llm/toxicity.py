@@ -182,7 +182,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, fo
     learn = labels.filter(crc_mod(id_col, folds) != held).select(F.col(id_col), F.col("toxic").cast("int").alias("label"))
     sample, counts = sample_labelled(docs, learn, per_class, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(sample, counts))
-    base, cols = with_text(docs, text_col, keep, ["held_out", "score", "predicted"], held_out=F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)))
+    base, cols, back = with_text(docs, text_col, keep, ["held_out", "score", "predicted"], held_out=F.coalesce(crc_mod(id_col, folds) == held, F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -197,4 +197,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, fo
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*cols, "held_out", "score", "predicted"])
 
     schema = T.StructType([*base.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return base.mapInArrow(run, schema)
+    return back(base.mapInArrow(run, schema))

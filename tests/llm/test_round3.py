@@ -184,3 +184,54 @@ def test_negatives_odd_tables(spark):
     assert hard_negatives.mine(spark.createDataFrame([(50, "a", [1.0], 1, 2), (1, "b", [1.0], 1, 2)], schema)).count() == 0
     rows = [(50, "a", [1.0], 1, 2), (1, "a", [1.0], 1, 2), (2, "b", [0.75], 1, 2)]
     assert [tuple(r) for r in hard_negatives.mine(spark.createDataFrame(rows, schema)).collect()] == [(50, 1, 1, 2, 65536, 49152)]
+
+
+# ---- odd columns and foreign files
+
+
+def test_columns_of_any_name_and_kind(spark):
+    """Dots, blanks and backticks in names, names that operators write, maps and variants, in every operator over texts and the pipeline's stages."""
+    import corpus_pipeline
+    from quarrymill.llm import language, mixing, near_dedup, pieces, quality, token_counts, toxicity
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    odd = docs.selectExpr("*", "doc_id AS `a.b`", "source AS `c d`", "lang AS `e``f`", "map('k', doc_id) AS m", "parse_json('[1]') AS v", "1 AS _text", "2 AS _c0", "3 AS rate", "4 AS score")
+    want = {r["doc_id"]: (r["doc_id"], r["source"], r["lang"], 1, 2) for r in docs.collect()}
+    word, piece = public_tokenizers.path("word_bpe_49k.json"), B
+    for out in (
+        token_counts.count_tokens(odd.drop("m", "v"), word), pieces.decode_pieces(pieces.encode_pieces(odd.drop("m", "v", "text"), piece, text_col="c d"), piece), toxicity.score_toxicity(odd.drop("m", "v"), labels), language.identify(odd.drop("m", "v")),
+        quality.score_quality(odd.drop("m", "v"), labels), mixing.fit_rates(odd.drop("m", "v"), docs.selectExpr("doc_id", "lang AS label"), corpus_pipeline.TARGETS), line_dedup.dedup_lines(odd), near_dedup.keep_one(odd),
+    ):
+        rows = out.select("doc_id", "`a.b`", "`c d`", "`e``f`", "_text", "_c0").collect()
+        assert rows and all(tuple(r)[1:] == want[r["doc_id"]] for r in rows)
+
+
+def test_one_row_of_equal_rows_with_maps(spark):
+    from quarrymill.llm import near_dedup
+
+    rows = spark.sql("SELECT * FROM VALUES (1L, 'a b c d e f g', map('x', 1)), (1L, 'a b c d e f g', map('x', 2)), (2L, 'a b c d e f g', map()), (3L, '', map()), (NULL, 'a b c d e f g', NULL) AS t(doc_id, text, m)")
+    assert sorted(str(r["doc_id"]) for r in near_dedup.keep_one(rows).collect()) == ["1", "3", "None"]
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    """Records named by uuid, digests in hex, absent or of another kind, revisits without a length."""
+    import base64
+
+    from quarrymill.llm import archives
+
+    body = b"<p>hello"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    record = lambda kind, block, *more: ("WARC/1.0\r\n" + "\r\n".join([f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>", "WARC-Target-URI: https://e.org/", *more, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+    sha = hashlib.sha1(body)
+    path = tmp_path / "warc"
+    path.mkdir()
+    (path / "a.warc").write_bytes(
+        record("warcinfo", b"x: y\r\n") + record("response", http + body) + record("response", http + body, f"WARC-Payload-Digest: sha1:{sha.hexdigest()}") + record("response", http + body, "WARC-Payload-Digest: sha256:abc")
+        + record("revisit", http, "WARC-Refers-To: <urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha.digest()).decode()}") + record("revisit", http) + record("metadata", b"m")
+    )
+    got = [tuple(r)[1:5] for r in archives.read_warc(spark, str(path)).collect()]
+    assert got == [(len(body), sha.hexdigest(), "response", None)] * 3 + [(None, sha.hexdigest(), "revisit", None), (None, None, "revisit", None)]
+    (path / "b.warc").write_bytes(record("response", http + body, "WARC-Payload-Digest: sha1:" + "0" * 40))
+    with pytest.raises(Exception, match="doesn't have its digest"):
+        archives.read_warc(spark, str(path)).collect()

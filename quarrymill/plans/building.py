@@ -11,6 +11,7 @@ from quarrymill.plans.catalogue import ORACLES, PRODUCTS, asked, corpus, query,
 from quarrymill.plans.more import dashboard_entries
 from quarrymill.sources import crawl as W
 from quarrymill.storage import new_path
+from quarrymill.streaming import toollog
 
 # ---- the crawl
 
@@ -162,3 +163,34 @@ def index_metadata(spark, d):
     path = new_path(spark, "metadata")
     search_index.with_defaults(c).write.parquet(path)
     return spark.read.parquet(path).select("ordinal", "title", "heading", "doc_type", "version", "resolved_url")
+
+
+# ---- the tool log as a stream
+
+
+def tool_log(spark, d):
+    """Conversations as a log of calls and results, with lines that were cut off."""
+    c = table(spark, d, "conversations")
+    call = F.col("role") == "user"
+    turn = F.when(call, F.col("turn")).otherwise(F.col("turn") - 1)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn"))
+    rows = c.filter("role IN ('user', 'assistant')").select(F.concat_ws("-", F.col("conv_id"), turn).alias("id"), F.when(call, toollog.CALL).otherwise(toollog.RESULT).alias("kind"), at.alias("ts"), "conv_id", turn.alias("turn"), "text")
+    log, out = new_path(spark, "log"), new_path(spark, "pairs")
+    toollog.append(rows, log)
+    cut = rows.filter("kind = 'call' AND conv_id % 5 = 3").select(F.substring(F.to_json(F.struct("id", "kind")), 1, 20).alias("value"))
+    cut.write.mode("append").text(log)
+    toollog.run(spark, log, out)
+    toollog.close(spark, log, out, "2033-01-01 00:00:00")
+    return out
+
+
+@query(ORACLES["call_result_pairs"])
+def call_result_stream(spark, d):
+    """Calls and their results from the running log, over two runs: what came, then what the closing mark gives up."""
+    return toollog.read(spark, tool_log(spark, d), "pairs").drop("id")
+
+
+@query("""SELECT substr('{"id":"' || conv_id || '-' || turn || '","kind":"call"}', 1, 20) AS broken FROM conversations WHERE role = 'user' AND conv_id % 5 = 3""")
+def log_errors(spark, d):
+    """Lines of the log that are no records, apart from those that are."""
+    return toollog.read(spark, tool_log(spark, d), "errors")

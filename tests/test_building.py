@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import order as O
 from quarrymill.operators import router
 from quarrymill.sources import crawl as W
+from quarrymill.streaming import toollog as T
 
 R = random.Random(5)
 
@@ -108,3 +109,27 @@ def test_positions_equal_a_sort(spark):
             assert [r["position"] for r in mine] == list(range(len(mine)))
             assert [r["id"] for r in mine] == [r[0] for r in sorted((r for r in rows if r[2] == g), key=lambda r: (first(r[1]), r[0]))]
     assert O.positions(df.limit(0), "id").count() == O.positions_within(df.limit(0), "g", "id").count() == 0
+
+
+def test_log_goes_on_after_a_restart(spark, tmp_path):
+    """Calls before and results after a restart meet; broken lines stay apart; a batch played again changes nothing; what never comes is given up."""
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    line = lambda n, kind, second, text: (f"c-{n}", kind, second, n, 0, text)
+    frame = lambda rows: spark.createDataFrame(rows, "id string, kind string, s long, conv_id long, turn long, text string").withColumn("ts", F.timestamp_seconds("s"))
+    T.append(frame([line(n, "call", 1000 + n, "ask") for n in range(6)] + [line(0, "result", 1001, "done!")]), log)
+    spark.createDataFrame([("not json",), ('{"id":"c-9"',), ("{}",)], "value string").write.mode("append").text(log)
+    T.run(spark, log, out, files=2)
+    T.append(frame([line(n, "result", 1010 + n, "done") for n in (1, 2, 7)] + [line(3, "result", 1003 + 7200, "too late")]), log)
+    T.run(spark, log, out)
+    T.run(spark, log, out)  # nothing new
+    pairs = lambda: sorted(((r["conv_id"], r["call_chars"], r["result_chars"]) for r in T.read(spark, out, "pairs").collect()), key=str)
+    assert pairs() == [(0, 3, 5), (1, 3, 4), (2, 3, 4)]
+    assert sorted(r["broken"] for r in T.read(spark, out, "errors").collect()) == ["not json", '{"id":"c-9"', "{}"]
+    T.close(spark, log, out, "2001-01-01 00:00:00")
+    known = lambda x: (x[0], x[2] is None)
+    assert sorted(map(known, pairs())) == [(n, n > 2) for n in range(6)]
+    assert sorted(pairs(), key=known) == [(0, 3, 5), (1, 3, 4), (2, 3, 4), (3, 3, None), (4, 3, None), (5, 3, None)]
+    rows = spark.createDataFrame([(1,), (2,)], "x int")
+    for _ in range(2):
+        T.by_batch(str(tmp_path / "sink"))(rows, 4)
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == 2

@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from quarrymill.llm.shared import by_group, list_rows, named
 from quarrymill.storage import materialize
 
-MARK, CACHE, LONG = "▁", 150_000, 200
+MARK, CACHE, LONG = "▁", 240_000, 100
 #: A blank between two signs that no notion of white space takes for blanks.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 MINE = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"]
@@ -86,77 +86,110 @@ class Pair:
             and not normal.precompiled_charsmap and not normal.remove_extra_whitespaces and normal.add_dummy_prefix and normal.escape_whitespaces
             and not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type in (1, 4))
         )
-        self.known: dict[str, int] = {}
-        self.entries: list[tuple[str, int, int, int, list[int]] | None] = []
+        lengths = lambda tokens: np.array([len(t) for t in tokens])
+        self.a_size, self.b_size = lengths(self.a_bytes), lengths(self.b_bytes)
+        written = lambda n, end: np.array([f"{i}{end}" for i in range(n)], dtype=object)
+        n = max(len(self.a_bytes), len(self.b_bytes))
+        self.inside, self.turn, self.close = written(n, ","), written(n, "|"), written(n, ";")
+        self.digits = lengths(self.inside)
+        self.forget()
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode()
 
-    def align(self, text: str, a: list[int], b: list[int]) -> tuple[str, int, int, int, list[int]] | None:
-        """Groups as text, tokens of both sides, groups, and the linked pair of each group; None if the bytes differ."""
-        a_bytes, b_bytes, whole, width = self.a_bytes, self.b_bytes, (" " + text).encode(), len(self.a_bytes)
-        if b"".join(map(a_bytes.__getitem__, a)) != whole or b"".join(map(b_bytes.__getitem__, b)) != whole:
-            return None
-        groups, codes, i, j, begun_a, begun_b, ahead = [], [], 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):  # ahead: by how many bytes A is in front of B
-            if ahead <= 0:
-                ahead += len(a_bytes[a[i]])
-                i += 1
-            else:
-                ahead -= len(b_bytes[b[j]])
-                j += 1
-            if ahead == 0:
-                groups.append(",".join(map(str, a[begun_a:i])) + "|" + ",".join(map(str, b[begun_b:j])))
-                codes.append(b[j - 1] * width + a[i - 1])
-                begun_a, begun_b = i, j
-        return ";".join(groups), len(a), len(b), len(groups), codes
+    def forget(self) -> None:
+        """Keep the parts that were met again, up to half of the memory."""
+        known, text, stats, codes, used = getattr(self, "known", {}), getattr(self, "text", []), *getattr(self, "arrays", (np.zeros((4, 0), np.int64), np.zeros(0, np.int64))), getattr(self, "used", np.zeros(0, np.int64))
+        bar = max(2, int(np.sort(used)[-CACHE // 2])) if len(used) > CACHE // 2 else 2
+        stay = [(t, i) for t, i in known.items() if used[i] > bar or (bar == 2 and used[i] == 2)]
+        stay = [(t, i) for t, i in stay if len(t) <= LONG]
+        at = np.array([i for _, i in stay], np.int64)
+        n = np.maximum(stats[2, at], 0)
+        starts = np.cumsum(n) - n
+        flat = np.arange(n.sum()) - np.repeat(starts, n) + np.repeat(stats[3, at], n)
+        self.known, self.text = {t: k for k, (t, _) in enumerate(stay)}, [text[i] for i in at.tolist()]
+        self.arrays, self.used = (np.concatenate([stats[:3, at], starts[None]]), codes[flat]), used[at] // 2
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
 
     def learn(self, texts: list[str]) -> None:
-        """Align texts that aren't known yet."""
-        new = list({t for t in texts if t not in self.known})
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
+        """Align texts that aren't known yet, many at once."""
+        new = list(set(texts).difference(self.known))
+        for at in range(0, len(new), 4000):
+            part = new[at : at + 4000]
             a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in part], add_special_tokens=False)]
-            for t, x, y in zip(part, a, self.b.encode(part, num_threads=1), strict=True):
-                self.known[t] = len(self.entries)
-                self.entries.append(self.align(t, x, y))
-
-    def __call__(self, texts: list[str | None]) -> list[list[int]]:
-        """The entries of each text's parts; none for a text without tokens."""
+            stats, codes, said = self.align(part, a, self.b.encode(part, num_threads=1))
+            begun = len(self.text)
+            self.known.update(zip(part, range(begun, begun + len(part)), strict=True))
+            self.text += said
+            self.new.append((stats, codes))
+        if self.new:
+            base = len(self.arrays[1])
+            for stats, codes in self.new:
+                stats[3] += base
+                base += len(codes)
+            self.arrays = np.concatenate([self.arrays[0], *(x for x, _ in self.new)], axis=1), np.concatenate([self.arrays[1], *(x for _, x in self.new)])
+            self.used, self.new = np.append(self.used, np.zeros(len(self.text) - len(self.used), np.int64)), []
+
+    def align(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """For each text: tokens of both sides, groups (-1 if the bytes differ) and where its pairs begin; all pairs; all groups as text."""
+        whole = [(" " + t).encode() for t in texts]
+        count = np.array([[len(x) for x in a], [len(x) for x in b]])
+        flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
+        sums = [np.diff(np.append(0, np.cumsum(size[x]))[np.append(0, np.cumsum(n))]) for size, x, n in zip((self.a_size, self.b_size), flat, count, strict=True)]
+        size = np.array([len(w) for w in whole])
+        good = (sums[0] == size) & (sums[1] == size)
+
+        def kept() -> list[np.ndarray]:
+            return [x[np.repeat(good, n)] for x, n in zip(flat, count, strict=True)]
+
+        spelt = lambda tokens, ids: b"".join(map(tokens.__getitem__, ids))
+        x, y = kept()
+        want = b"".join(w for w, ok in zip(whole, good.tolist(), strict=True) if ok)
+        if spelt(self.a_bytes, x.tolist()) != want or spelt(self.b_bytes, y.tolist()) != want:
+            good &= np.array([spelt(self.a_bytes, i) == w == spelt(self.b_bytes, j) for i, j, w in zip(a, b, whole, strict=True)])
+            x, y = kept()
+        # Ends over all good texts together: each text ends with tokens of both sides.
+        end_x, end_y = np.cumsum(self.a_size[x]), np.cumsum(self.b_size[y])
+        cut_x, cut_y = np.isin(end_x, end_y, assume_unique=True), np.isin(end_y, end_x, assume_unique=True)
+        codes = y[cut_y] * len(self.a_bytes) + x[cut_x]
+        upto_x, upto_y = np.append(0, np.flatnonzero(cut_x) + 1), np.append(0, np.flatnonzero(cut_y) + 1)  # tokens in the first groups
+        of_x, of_y = np.cumsum(cut_x) - cut_x, np.cumsum(cut_y) - cut_y
+        at_x, at_y = np.arange(len(x)) + upto_y[of_x], np.arange(len(y)) + upto_x[of_y + 1] if len(y) else np.empty(0, np.int64)
+        words, digits = np.empty(len(x) + len(y), object), np.empty(len(x) + len(y), np.int64)
+        words[at_x], words[at_y] = np.where(cut_x, self.turn[x], self.inside[x]), np.where(cut_y, self.close[y], self.inside[y])
+        digits[at_x], digits[at_y] = self.digits[x], self.digits[y]
+        line, n = "".join(words.tolist()), np.where(good, count, 0)
+        upto = np.append(0, np.cumsum(digits))[np.append(0, np.cumsum(n.sum(axis=0)))].tolist()
+        said = [line[i : j - 1] if j > i else "" for i, j in zip(upto[:-1], upto[1:], strict=True)]
+        groups = np.diff(np.append(0, np.cumsum(cut_x))[np.append(0, np.cumsum(n[0]))])
+        return np.stack([*count, np.where(good, groups, -1), np.cumsum(groups) - groups]), codes, said
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, tuple[np.ndarray, ...]]:
+        """Groups of each text; tokens of both sides and groups; and the distinct pairs of each text, texts in order: text, pair, times."""
         if len(self.known) > CACHE:
-            self.known, self.entries = {}, []
+            self.forget()
         cut = [(CUT.split(t) if self.parts else [t]) if t else [] for t in texts]
         self.learn(list(chain.from_iterable(cut)))
         found = [list(map(self.known.__getitem__, parts)) for parts in cut]
-        odd = [i for i, f in enumerate(found) if any(self.entries[e] is None for e in f)]
+        odd = [i for i, f in enumerate(found) if (self.arrays[0][2, f] < 0).any()]
         if odd:
             self.learn([texts[i] for i in odd])
             for i in odd:
                 e = self.known[texts[i]]
-                found[i] = [] if self.entries[e] is None else [e]
-        return found
-
-    def forget(self) -> None:
-        """Long parts are hardly met again."""
-        for t in [t for t in self.known if len(t) > LONG]:
-            self.entries[self.known.pop(t)] = None
-
-    def pairs(self, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of each text, texts in order: text, pair, times."""
-        flat = np.fromiter(chain.from_iterable(found), np.int64)
-        if not len(flat):
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        of = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        entries, back = np.unique(flat, return_inverse=True)
-        codes = [self.entries[e][4] for e in entries.tolist()]
-        length = np.array([len(c) for c in codes])
-        start, values = np.cumsum(length) - length, np.fromiter(chain.from_iterable(codes), np.int64)
-        n = length[back]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[back], n)
+                found[i] = [] if self.arrays[0][2, e] < 0 else [e]
+        stats, codes = self.arrays
+        length = np.array([len(f) for f in found])
+        flat = np.fromiter(chain.from_iterable(found), np.int64, length.sum())
+        np.add.at(self.used, flat, 1)
+        groups = [";".join(map(self.text.__getitem__, f)) for f in found]
+        bounds = np.append(0, np.cumsum(length))
+        totals = np.diff(np.concatenate([np.zeros((3, 1), np.int64), np.cumsum(stats[:3, flat], axis=1)], axis=1)[:, bounds], axis=1)
+        n = stats[2, flat]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(stats[3, flat], n)
         size = len(self.a_bytes) * len(self.b_bytes)
-        key, times = np.unique(np.repeat(of, n) * size + values[at], return_counts=True)
-        return key // size, key % size, times
+        key, times = np.unique(np.repeat(np.repeat(np.arange(len(found)), length), n) * size + codes[at], return_counts=True)
+        return groups, totals, (key // size, key % size, times)
 
 
 def runs(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -239,16 +272,12 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, stripe: int = 64
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = batch.slice(at, 200)
-                found = pair(rows.column(len(cols)).to_pylist())
-                e = pair.entries
-                groups = [";".join([e[i][0] for i in f]) for f in found]
-                of, code, times = pair.pairs(found)
-                offsets = pa.array(np.searchsorted(of, np.arange(len(found) + 1)).astype(np.int32))
-                counts = [pa.array([sum(e[i][k] for i in f) for f in found], pa.int64()) for k in (1, 2, 3)]
+                groups, totals, (of, code, times) = pair(rows.column(len(cols)).to_pylist())
+                offsets = pa.array(np.searchsorted(of, np.arange(len(groups) + 1)).astype(np.int32))
+                counts = [pa.array(x, pa.int64()) for x in totals]
                 digest = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (code, times)]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *counts, digest, *([pa.array(groups, pa.string())] if with_groups else []), *lists], [*names, *mine])
-                pair.forget()
 
     kinds = {"n_a": T.LongType(), "n_b": T.LongType(), "n_groups": T.LongType(), "groups_sha256": T.StringType(), "groups": T.StringType(), "codes": T.ArrayType(T.LongType()), "times": T.ArrayType(T.LongType())}
     fields = [*base.schema.fields[:-1], *(T.StructField(n, kinds[n]) for n in mine)]

@@ -40,6 +40,12 @@ def corpus_stats(corpus: DataFrame, text: str = "search_text") -> DataFrame:
     return corpus.select(F.size(X.tokens(F.col(text))).cast("long").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def stats_of(corpus: DataFrame, posts: DataFrame) -> DataFrame:
+    """``corpus_stats`` from postings that are written already: no text is read again."""
+    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return corpus.agg(F.count("*").alias("n_docs")).crossJoin(total).select("n_docs", F.try_divide(F.col("total").cast("double"), F.col("n_docs")).alias("avgdl"))  # one row each
+
+
 def idf(posts: DataFrame, stats: DataFrame) -> DataFrame:
     """``term, df, idf``: where a term is in most documents, a share of the mean idf instead."""
     df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
@@ -52,19 +58,33 @@ def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """``query_id, term, times, salient, direct`` of a batch; the last two tell whether the term is no stop word of either list."""
+    found = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return found.withColumns({"salient": (~F.col("term").isin(C.STOPWORDS)).cast("int"), "direct": (~F.col("term").isin(C.DIRECT_STOPWORDS)).cast("int")})
+
+
+def matched() -> list[Column]:
+    """How many of a query's distinct terms a text has: all, and those that are no stop words of either list."""
+    return [F.count("*").alias("n_q"), F.sum("salient").alias("n_salient"), F.sum("direct").alias("n_direct")]
+
+
+COUNTS = ["n_q", "n_salient", "n_direct"]
+
+
 def bm25(queries: DataFrame, posts: DataFrame, weights: DataFrame, stats: DataFrame) -> DataFrame:
-    """``query_id, ordinal, score`` of all documents that share a term; repeated query terms count again.
+    """``query_id, ordinal, score`` and the matched terms' numbers of all documents that share a term; repeated query terms count again.
 
     With a batch's terms broadcast, a document's parts are summed in the task that
     holds its postings. A batch of more terms joins by term instead (adaptive
     execution splits a frequent one).
     """
-    asked = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = asked_terms(queries)
     side = F.broadcast if few(asked) else lambda df: df
     weighted = weights.select("term", "idf").join(side(asked), "term")
     hit = posts.join(side(weighted), "term").crossJoin(F.broadcast(stats.select("avgdl")))  # stats is one row
     part = F.col("times") * F.col("idf") * F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "ordinal").agg(F.round(F.sum(part), 6).alias("score"))
+    return hit.groupBy("query_id", "ordinal").agg(F.round(F.sum(part), 6).alias("score"), *matched())
 
 
 def ranked(df: DataFrame, depth: int, *order: Column, by: str = "query_id", name: str = "rank") -> DataFrame:
@@ -120,8 +140,29 @@ def field_columns() -> dict[str, Column]:
     return {"title": join("title"), "headings": join("heading", "heading_path"), "urls": join("url", "resolved_url"), "tags": join("keywords", "product", "doc_type"), "keywords": join("keywords"), "search_text": join("search_text")}
 
 
+CAPABILITY = "^(" + "|".join(C.CAPABILITY_PREFIXES) + ")[0-9]*$"
+MARKS = [*C.SUPPORT, *C.SUPPORT_WORDS, *C.DEVICES, *C.SERVERS]
+
+
+def with_body(pairs: DataFrame, queries: DataFrame, meta: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """``pairs`` with what scoring reads of a document's text: the matched terms' numbers, and its marks (words of support, capabilities).
+
+    Both come from the postings, so that no pair carries a text or its tokens. What ``pairs`` has already stays.
+    """
+    few_ = lambda df: F.broadcast(df) if few(df) else df
+    if posts is None:
+        posts = postings(meta.join(pairs.select("ordinal").distinct(), "ordinal", "left_semi"))
+    if not set(COUNTS) <= set(pairs.columns):
+        hit = posts.select("ordinal", "term").join(few_(asked_terms(queries)), "term").join(few_(pairs.select("query_id", "ordinal")), ["query_id", "ordinal"])
+        pairs = pairs.join(hit.groupBy("query_id", "ordinal").agg(*matched()), ["query_id", "ordinal"], "left").fillna(0, COUNTS)
+    if "marks" not in pairs.columns:
+        marks = posts.filter(F.col("term").isin(MARKS) | F.col("term").rlike(CAPABILITY)).groupBy("ordinal").agg(F.collect_set("term").alias("marks"))  # a fixed set of words, and numbered capabilities
+        pairs = pairs.join(marks, "ordinal", "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<string>")))
+    return pairs
+
+
 def document_terms(meta: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The documents that ``wanted`` names by ordinal, with the token arrays that scoring reads.
+    """The documents that ``wanted`` names by ordinal, with the token arrays of their short fields and flags of their texts.
 
     ``w_*`` arrays also have the capability prefixes whose numbered forms the field has.
     """
@@ -130,17 +171,23 @@ def document_terms(meta: DataFrame, wanted: DataFrame) -> DataFrame:
     # Few bytes but much work: adaptive execution would put the candidates into one task.
     spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = meta.join(wanted.select("ordinal").distinct(), "ordinal", "left_semi").repartition(spread, "ordinal")
-    arrays = {"titles": X.tokens(m["title"]), "heads": X.tokens(m["headings"]), "urls": X.tokens(m["urls"]), "tags": X.tokens(m["tags"]), "words": X.tokens(m["keywords"]), "body": X.tokens(m["search_text"]), "links": X.split_tokens(m["urls"])}
+    arrays = {"titles": X.tokens(m["title"]), "heads": X.tokens(m["headings"]), "urls": X.tokens(m["urls"]), "tags": X.tokens(m["tags"]), "words": X.tokens(m["keywords"]), "links": X.split_tokens(m["urls"])}
     rows = rows.withColumns({n: F.array_distinct(c) for n, c in arrays.items()})
     rows = rows.withColumn("title_url", F.array_union("titles", "links"))
-    rows = rows.withColumn("pre_text", F.array_union(F.array_union(F.array_union("titles", "heads"), F.array_union("urls", "words")), F.col("body")))
-    rows = rows.withColumn("whole_text", F.array_union(F.array_union("body", "title_url"), F.col("heads")))
-    rows = rows.withColumns({f"w_{n}": F.array_union(n, X.numbered_prefixes(F.col(n))) for n in ("titles", "heads", "urls", "tags", "body", "links", "title_url", "pre_text", "whole_text")})
+    rows = rows.withColumn("pre_short", F.array_union(F.array_union("titles", "heads"), F.array_union("urls", "words")))
+    rows = rows.withColumn("whole_short", F.array_union("title_url", "heads"))
+    rows = rows.withColumns({f"w_{n}": F.array_union(n, X.numbered_prefixes(F.col(n))) for n in ("titles", "heads", "urls", "tags", "links", "title_url")})
     pre = F.concat_ws(" ", m["title"], m["headings"], m["urls"], m["keywords"], m["search_text"])
     whole = F.concat_ws(" ", m["search_text"], m["title"], m["headings"], m["urls"])
     return rows.withColumns({"pre_lower": F.lower(pre), "pre_denied": X.denies_support(pre), "denied": X.denies_support(whole), "title_words": F.lower(F.concat_ws(" ", m["title"], m["urls"]))})
 
 
+def body_share(asked: str, count: Column) -> Column:
+    """The share of a query's terms that a text has: those matched, and capability prefixes that only its numbered marks have."""
+    more = F.size(F.array_except(F.array_intersect(F.col(asked), X.numbered_prefixes(F.col("marks"))), "marks"))
+    return F.when(F.size(asked) > 0, (count + more).cast("double") / F.size(asked)).otherwise(F.lit(0.0))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id`` with the arrays and flags that scoring reads of a query."""
     q = queries.select("query_id", X.tokens(F.col("query")).alias("sequence"))
@@ -152,23 +199,32 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return q.withColumns({**grams, "pre_asked": F.when(F.size("salient") > 0, F.col("salient")).otherwise(F.col("q")), "few": F.size("asked") <= 3})
 
 
-def support(d: str, widened: str, denied: str) -> Column:
-    """Evidence of support for the asked capability, from arrays."""
-    found = F.size(F.array_intersect("capability", widened))
-    asks = F.arrays_overlap("q", X.words_in(C.SUPPORT)) & (found > 0) & F.arrays_overlap(d, X.words_in(C.SUPPORT))
-    return F.when(asks, X.support_parts(F.col("q"), F.col(d), found, F.col(denied))).otherwise(F.lit(0.0))
+def body_counts() -> tuple[Column, Column]:
+    """The matched terms' numbers for ``asked`` and ``pre_asked``."""
+    pre = F.when(F.size("salient") > 0, F.col("n_salient")).otherwise(F.col("n_q"))
+    return F.when(F.size("direct") > 0, F.col("n_direct")).otherwise(pre), pre
+
+
+def support(short: str, denied: str) -> Column:
+    """Evidence of support for the asked capability, from a document's short fields and its text's marks."""
+    d = F.array_union(short, "marks")
+    found = F.size(F.array_intersect("capability", F.array_union(d, X.numbered_prefixes(d))))
+    asks = F.arrays_overlap("q", X.words_in(C.SUPPORT)) & (F.size("capability") > 0) & (found > 0) & F.arrays_overlap(d, X.words_in(C.SUPPORT))
+    return F.when(asks, X.support_parts(F.col("q"), d, found, F.col(denied))).otherwise(F.lit(0.0))
 
 
-def lexical_prepass(queries: DataFrame, meta: DataFrame, top: DataFrame, k: int) -> DataFrame:
+def lexical_prepass(queries: DataFrame, meta: DataFrame, top: DataFrame, k: int, posts: DataFrame | None = None) -> DataFrame:
     """``query_id, ordinal, prepass, bm25, rank``: BM25's best, scored by overlaps of fields, phrases and support evidence, the best ``k``."""
-    best = top.select("query_id", "ordinal", "score", F.col("rank").alias("bm25_rank"))
-    pairs = best.join(document_terms(meta, top), "ordinal").join(query_terms(queries), "query_id")
-    weights = [("titles", 0.45), ("heads", 0.50), ("urls", 0.35), ("tags", 0.25), ("body", 0.20)]
+    best = with_body(top.withColumnRenamed("rank", "bm25_rank"), queries, meta, posts).select("query_id", "ordinal", "score", "bm25_rank", "marks", *COUNTS)
+    read = ["ordinal", "w_titles", "w_heads", "w_urls", "w_tags", "pre_short", "pre_lower", "pre_denied"]
+    pairs = best.join(document_terms(meta, top).select(*read), "ordinal").join(query_terms(queries), "query_id")
+    weights = [("titles", 0.45), ("heads", 0.50), ("urls", 0.35), ("tags", 0.25)]
     overlaps = F.lit(0.0)
     for name, weight in weights:
         overlaps = overlaps + weight * X.share(F.col("pre_asked"), F.col(f"w_{name}"))
+    overlaps = overlaps + 0.20 * body_share("pre_asked", body_counts()[1])
     phrases = 0.08 * X.held(F.col("salient2"), F.col("pre_lower")) + 0.12 * X.held(F.col("salient3"), F.col("pre_lower"))
-    score = F.least(F.lit(1.0), F.col("score") / 25.0) + overlaps + phrases + support("pre_text", "w_pre_text", "pre_denied")
+    score = F.least(F.lit(1.0), F.col("score") / 25.0) + overlaps + phrases + support("pre_short", "pre_denied")
     scored = pairs.filter(F.size("q") > 0).select("query_id", "ordinal", "bm25_rank", F.round(score, 6).alias("prepass"), F.col("score").alias("bm25"))
     return ranked(scored.filter("prepass > 0"), k, F.desc("prepass"), F.col("bm25_rank")).drop("bm25_rank")
 
@@ -200,9 +256,10 @@ def doc_type_bonus(q: Column, title_url: Column, doc_type: Column) -> Column:
 
 def rerank(queries: DataFrame, meta: DataFrame, fused: DataFrame, root_host: str = "", root_depth: int = 3) -> DataFrame:
     """Candidates with ``rerank``: two weightings, for up to three query terms and for more."""
-    base = fused.join(document_terms(meta, fused), "ordinal").join(query_terms(queries), "query_id")
+    read = ["ordinal", "url", "title", "heading", "doc_type", "product", "titles", "heads", "w_titles", "w_heads", "w_links", "w_title_url", "title_url", "whole_short", "title_words", "denied"]
+    base = with_body(fused, queries, meta).join(document_terms(meta, fused).select(*read), "ordinal").join(query_terms(queries), "query_id")
     share = lambda q, d: X.share(F.col(q), F.col(d))
-    base = base.withColumns({f"o_{n}": share("asked", f"w_{n}") for n in ("body", "titles", "heads", "links", "title_url")} | {"entity": share("salient", "w_title_url"), "kind": F.lower(F.trim(F.coalesce("doc_type", F.lit(""))))})
+    base = base.withColumns({f"o_{n}": share("asked", f"w_{n}") for n in ("titles", "heads", "links", "title_url")} | {"o_body": body_share("asked", body_counts()[0]), "entity": share("salient", "w_title_url"), "kind": F.lower(F.trim(F.coalesce("doc_type", F.lit(""))))})
     flag = lambda c, v: F.when(c, v).otherwise(0.0)
     phrase = F.least(F.lit(0.40), 0.10 * X.held(F.col("phrase2"), F.col("title_words")) + 0.16 * X.held(F.col("phrase3"), F.col("title_words")))
     guide = F.array_contains("q", F.lit("guide")) & F.array_contains("title_url", F.lit("guide"))
@@ -213,16 +270,16 @@ def rerank(queries: DataFrame, meta: DataFrame, fused: DataFrame, root_host: str
     dense = F.coalesce(F.greatest(F.lit(0.0), (C.DISTANCE_LIMIT - F.col("distance")) / C.DISTANCE_LIMIT), F.lit(0.0))
     sparse = F.least(F.lit(1.0), F.coalesce(F.col("bm25"), F.lit(0.0)) / 10.0)
     pre = F.least(F.lit(1.0), F.coalesce(F.col("prepass"), F.lit(0.0)) / 2.0) + F.coalesce(1.0 / (C.RRF_K + F.col("prepass_rank")), F.lit(0.0))
-    evidence = support("whole_text", "w_whole_text", "denied")
+    evidence = support("whole_short", "denied")
     provider = flag(F.arrays_overlap("q", X.words_in(C.PROVIDER)) & (F.col("kind") == C.PROVIDER_TYPE), 0.18)
     root = F.coalesce((U.host(F.col("url")) == root_host) & (F.size(U.path_parts(F.col("url"))) == root_depth), F.lit(False))
     parent = flag(F.col("few") & root, F.when(near >= 0.60, 0.85).otherwise(0.25))
     bonus = doc_type_bonus(F.col("q"), F.col("title_url"), F.col("kind"))
     short = F.col("rrf") + 0.16 * F.col("o_body") + 0.16 * F.col("o_titles") + 0.08 * F.col("o_heads") + 0.12 * F.col("entity") + 0.15 * dense + 0.12 * sparse + 0.25 * pre + match + evidence + provider + parent + bonus - shallow
     exact = flag(F.arrays_overlap("salient", "title_url"), 0.18)
-    long = F.col("rrf") + 0.35 * share("q", "body") + 0.20 * share("q", "titles") + 0.15 * share("q", "heads") + 0.20 * F.col("entity") + 0.15 * dense + 0.15 * sparse + 0.35 * pre + evidence + provider + exact + bonus
+    long = F.col("rrf") + 0.35 * F.when(F.size("q") > 0, F.col("n_q").cast("double") / F.size("q")).otherwise(0.0) + 0.20 * share("q", "titles") + 0.15 * share("q", "heads") + 0.20 * F.col("entity") + 0.15 * dense + 0.15 * sparse + 0.35 * pre + evidence + provider + exact + bonus
     score = F.when(F.size("q") == 0, F.col("rrf")).when(F.col("few"), short).otherwise(long)
-    return base.select("query_id", "ordinal", "ord", "url", "title", "heading", "doc_type", "product", "search_text", "distance", "rrf", F.round(score, 6).alias("rerank"))
+    return base.select("query_id", "ordinal", "ord", "url", "title", "heading", "doc_type", "product", "distance", "rrf", F.round(score, 6).alias("rerank"))
 
 
 def dedup_urls(results: DataFrame, each: int = 1) -> DataFrame:
@@ -242,11 +299,13 @@ def depths(k: int | None) -> dict[str, int]:
 def candidates(queries: DataFrame, meta: DataFrame, vectors: DataFrame, lexical: int, prepass: int, depth: int, limit: float = C.DISTANCE_LIMIT) -> DataFrame:
     """All three lists of a batch, fused; postings and BM25's list are written once and read by every step."""
     tables = Scratch(meta.sparkSession)
-    posts, stats = tables.keep(postings(meta), "postings"), tables.keep(corpus_stats(meta), "corpus-stats")
+    posts = tables.keep(postings(meta), "postings")
+    stats = tables.keep(stats_of(meta, posts), "corpus-stats")
     top = tables.keep(bm25_topk(bm25(queries, posts, idf(posts, stats), stats), lexical), "bm25")
-    pre = lexical_prepass(queries, meta, top, prepass)
-    fused = tables.keep(fuse(pre, dense_topk(queries, vectors, depth, limit), top.filter(F.col("rank") <= depth)), "fused")
-    tables.drop("postings", "corpus-stats", "bm25")
+    pre = lexical_prepass(queries, meta, top, prepass, posts)
+    lists = tables.keep(fuse(pre, dense_topk(queries, vectors, depth, limit), top.filter(F.col("rank") <= depth)), "lists")
+    fused = tables.keep(with_body(lists, queries, meta, posts), "fused")
+    tables.drop("postings", "corpus-stats", "bm25", "lists")
     return fused
 
 
@@ -255,7 +314,7 @@ def search(queries: DataFrame, meta: DataFrame, vectors: DataFrame, k: int | Non
     d = depths(k)
     fused = candidates(queries, meta, vectors, d["lexical"], d["prepass"], d["candidates"])
     best = ranked(rerank(queries, meta, fused, root_host), d["over_fetch"], F.desc("rerank"), F.col("ord"), name="_r").drop("_r")
-    return ranked(dedup_urls(best), d["k"], F.desc("rerank"), F.col("ord"))
+    return ranked(dedup_urls(best), d["k"], F.desc("rerank"), F.col("ord")).join(meta.select("ordinal", "search_text"), "ordinal")  # ``k`` texts a query
 
 
 def decorate(results: DataFrame, source: str, domain: str, note: str, disclaimer: str) -> DataFrame:
@@ -274,8 +333,18 @@ def documents_with(corpus: DataFrame, asked: DataFrame) -> DataFrame:
     held = tokens.join(F.broadcast(terms.select("term").distinct()) if few(terms) else terms.select("term").distinct(), "term")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     rare = terms.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    pairs = held.join(rare, "term").select("query_id", "ordinal").unionByName(asked.join(terms.select("query_id").distinct(), "query_id", "left_anti").select("query_id").join(corpus.select("ordinal")))
-    return pairs.join(asked.select("query_id", "q"), "query_id").join(corpus.select("ordinal", "search_text"), "ordinal").filter(F.col("search_text").contains(F.col("q"))).select("query_id", "ordinal")
+    pairs = held.join(rare, "term").select("query_id", "ordinal")
+    # A question without inner tokens: a text that holds it has a token around its longest one, found by that one's first three letters.
+    short = asked.join(terms.select("query_id").distinct(), "query_id", "left_anti")
+    own = F.array_max(F.transform(X.tokens(F.col("q")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
+    short = short.withColumn("own", F.when(own.n >= 3, own.t))
+    grams = tokens.select("term").distinct().filter(F.length("term") >= 3).select("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.substr("term", i, F.lit(3))))).alias("gram"))
+    around = short.filter("own IS NOT NULL").select("query_id", "own", F.substring("own", 1, 3).alias("gram")).join(grams, "gram").filter(F.col("term").contains(F.col("own"))).select("query_id", "term")
+    pairs = pairs.unionByName(tokens.join(around, "term").select("query_id", "ordinal").distinct())
+    found = pairs.join(asked.select("query_id", "q"), "query_id").join(corpus.select("ordinal", "search_text"), "ordinal")
+    # What has no token of three letters can be anywhere: a set of questions against all rows.
+    found = found.unionByName(short.filter("own IS NULL").select("query_id", "q").join(corpus.select("ordinal", "search_text")).select(*found.columns))
+    return found.filter(F.col("search_text").contains(F.col("q"))).select("query_id", "ordinal")
 
 
 def eval_cases(results: DataFrame, expected: DataFrame) -> DataFrame:

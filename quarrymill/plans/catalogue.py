@@ -386,7 +386,8 @@ def idf(spark, d):
 
 def scores(spark, d):
     c = corpus(spark, d)
-    posts, stats = R.postings(c), R.corpus_stats(c)
+    posts = materialize(R.postings(c), "postings")
+    stats = R.stats_of(c, posts)
     return R.bm25(asked(spark, d), posts, R.idf(posts, stats), stats)
 
 

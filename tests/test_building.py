@@ -8,6 +8,7 @@ from urllib.parse import urldefrag, urljoin
 from pyspark.sql import functions as F
 
 from quarrymill.operators import order as O
+from quarrymill.operators import retrieval as R_
 from quarrymill.operators import router
 from quarrymill.sources import crawl as W
 from quarrymill.streaming import toollog as T
@@ -133,3 +134,12 @@ def test_log_goes_on_after_a_restart(spark, tmp_path):
     for _ in range(2):
         T.by_batch(str(tmp_path / "sink"))(rows, 4)
     assert spark.read.parquet(str(tmp_path / "sink")).count() == 2
+
+
+def test_documents_with_short_and_long_questions(spark):
+    """Whole texts as they stand: inner tokens, tokens that are parts of longer ones, signs alone, a question that nothing holds."""
+    texts = [(1, "the blue-green deployment of caches"), (2, "recache it; blue"), (3, "deploy? yes!"), (4, ""), (5, None), (6, "a cache of blue green things")]
+    asked = [(1, "cache"), (2, "blue"), (3, "?"), (4, "of caches"), (5, "cache of blue green"), (6, "zebra"), (7, "it; blu"), (8, "a c"), (9, "yes!")]
+    corpus = spark.createDataFrame(texts, "ordinal long, search_text string")
+    got = sorted(tuple(r) for r in R_.documents_with(corpus, spark.createDataFrame(asked, "query_id long, q string")).collect())
+    assert got == sorted((i, o) for i, q in asked for o, t in texts if t and q in t)

@@ -8,8 +8,11 @@ arrays once per document, below the joins; above them only arrays meet.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,17 +216,53 @@ def support(short: str, denied: str) -> Column:
     return F.when(asks, X.support_parts(F.col("q"), d, found, F.col(denied))).otherwise(F.lit(0.0))
 
 
+def phrases_held(queries: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """``query_id, ordinal, held2, held3``: how many of a query's pairs and triples of salient terms each text ``(ordinal, pre_lower)`` holds.
+
+    A batch's phrases make one automaton, so a text is read once, whatever the number of queries. None where the
+    phrases are too many to be sent.
+    """
+    numbered = lambda k: lambda p: F.struct(p.alias("phrase"), F.lit(k).alias("k"))
+    both = F.concat(*(F.transform(f"salient{k}", numbered(k)) for k in (2, 3)))
+    each = query_terms(queries).select("query_id", F.explode(both).alias("p")).select("query_id", "p.phrase", "p.k")
+    asked = each.groupBy("query_id", "phrase").agg(F.count_if(F.col("k") == 2).alias("n2"), F.count_if(F.col("k") == 3).alias("n3"))
+    if not few(asked):
+        return None
+    sent = queries.sparkSession.sparkContext.broadcast([r["phrase"] for r in asked.select("phrase").distinct().collect()])  # checked above
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for phrase in sent.value:
+            known.add_word(phrase, phrase)
+        known.make_automaton()
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                found = [(i, x) for i, text in zip(b.column(0).slice(at, 200).to_pylist(), b.column(1).slice(at, 200).to_pylist(), strict=True) for x in ({x for _, x in known.iter(text)} if text and sent.value else ())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.string()))], ["ordinal", "phrase"])
+
+    hits = texts.select(F.col("ordinal").cast("long"), "pre_lower").mapInArrow(find, "ordinal long, phrase string")
+    return hits.join(F.broadcast(asked), "phrase").groupBy("query_id", "ordinal").agg(F.sum("n2").alias("held2"), F.sum("n3").alias("held3"))
+
+
 def lexical_prepass(queries: DataFrame, meta: DataFrame, top: DataFrame, k: int, posts: DataFrame | None = None) -> DataFrame:
     """``query_id, ordinal, prepass, bm25, rank``: BM25's best, scored by overlaps of fields, phrases and support evidence, the best ``k``."""
     best = with_body(top.withColumnRenamed("rank", "bm25_rank"), queries, meta, posts).select("query_id", "ordinal", "score", "bm25_rank", "marks", *COUNTS)
-    read = ["ordinal", "w_titles", "w_heads", "w_urls", "w_tags", "pre_short", "pre_lower", "pre_denied"]
-    pairs = best.join(document_terms(meta, top).select(*read), "ordinal").join(query_terms(queries), "query_id")
+    texts = document_terms(meta, top)
+    phrases = phrases_held(queries, texts)
+    read = ["ordinal", "w_titles", "w_heads", "w_urls", "w_tags", "pre_short", "pre_denied", *([] if phrases else ["pre_lower"])]
+    pairs = best.join(texts.select(*read), "ordinal").join(query_terms(queries), "query_id")
+    if phrases:
+        pairs = pairs.join(phrases, ["query_id", "ordinal"], "left").fillna(0, ["held2", "held3"])
+    else:
+        pairs = pairs.withColumns({f"held{k}": X.held(F.col(f"salient{k}"), F.col("pre_lower")) for k in (2, 3)})
     weights = [("titles", 0.45), ("heads", 0.50), ("urls", 0.35), ("tags", 0.25)]
     overlaps = F.lit(0.0)
     for name, weight in weights:
         overlaps = overlaps + weight * X.share(F.col("pre_asked"), F.col(f"w_{name}"))
     overlaps = overlaps + 0.20 * body_share("pre_asked", body_counts()[1])
-    phrases = 0.08 * X.held(F.col("salient2"), F.col("pre_lower")) + 0.12 * X.held(F.col("salient3"), F.col("pre_lower"))
+    phrases = 0.08 * F.col("held2") + 0.12 * F.col("held3")
     score = F.least(F.lit(1.0), F.col("score") / 25.0) + overlaps + phrases + support("pre_short", "pre_denied")
     scored = pairs.filter(F.size("q") > 0).select("query_id", "ordinal", "bm25_rank", F.round(score, 6).alias("prepass"), F.col("score").alias("bm25"))
     return ranked(scored.filter("prepass > 0"), k, F.desc("prepass"), F.col("bm25_rank")).drop("bm25_rank")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.storage import materialize
+from quarrymill.storage import materialize, new_path
 
 #: ``monotonically_increasing_id`` has the partition above these bits, and the place below.
 PLACE_BITS = 33
@@ -45,3 +45,28 @@ def positions_within(df: DataFrame, group: str, *keys: str, name: str = "positio
     before = spans.select("group_", F.col("part_").alias("of_"), (F.coalesce(F.sum("n_").over(w), F.lit(0)) - F.col("first_")).alias("before_"))
     met = placed.join(before, (F.col("part_") == F.col("of_")) & F.col(group).eqNullSafe(F.col("group_")))
     return met.select(*df.columns, (F.col("place_") + F.col("before_")).alias(name))
+
+
+def pre_order(nodes: DataFrame, most: int = 10) -> DataFrame:
+    """``id, depth, path, position`` of the trees of ``nodes (id, parent, ord)``: parents before their children, those by ``ord``.
+
+    Level by level, a table each, until one is empty; nodes that no root (a null parent) leads to, as in a cycle, are
+    left out. ``most`` is the number of digits of the largest ``ord``. Brothers' paths differ: ``ord`` and id tell them
+    apart.
+    """
+    spark = nodes.sparkSession
+    path = new_path(spark, "levels")
+    schema = "id long, depth int, path string"
+    place = F.concat_ws(".", F.lpad(F.col("ord").cast("string"), most, "0"), F.lpad(F.col("id").cast("string"), 19, "0"))
+    placed = nodes.select(F.col("id").cast("long"), F.col("parent").cast("long"), place.alias("place"))
+
+    def keep(level: DataFrame, depth: int) -> DataFrame:
+        level.write.parquet(f"{path}/level={depth}")
+        return spark.read.schema(schema).parquet(f"{path}/level={depth}")
+
+    depth, last = 0, keep(placed.filter("parent IS NULL").select("id", F.lit(0).alias("depth"), F.col("place").alias("path")), 0)
+    while last.limit(1).count():
+        depth += 1
+        up = last.select(F.col("id").alias("parent"), F.col("path").alias("above"))
+        last = keep(placed.join(up, "parent").select("id", F.lit(depth).alias("depth"), F.concat("above", F.lit("/"), "place").alias("path")), depth)
+    return positions(spark.read.schema(f"{schema}, level int").parquet(path).drop("level"), "path")

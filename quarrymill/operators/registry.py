@@ -12,7 +12,10 @@ HEADER = {"Site Name": "site_name", "License Type": "license_type", "Display Nam
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """A registry in CSV: quoted cells of any size, absent columns as "", urls normalised; rows without a url go."""
+    """A registry in CSV: quoted cells of any size, absent columns as "", urls normalised; rows without a url go. Without a file it is empty."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], ", ".join(f"{name} string" for name in HEADER.values()))
     rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, maxCharsPerColumn=-1)
     cell = lambda name: F.coalesce(F.col(f"`{name}`"), F.lit("")) if name in rows.columns else F.lit("")
     rows = rows.select(*(cell(name).alias(to) for name, to in HEADER.items()))

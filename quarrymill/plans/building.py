@@ -135,6 +135,16 @@ def source_chunks(spark, d):
     return order.positions_within(c, "source", "id").select("source", "position", "id", "n_words")
 
 
+@query("""WITH RECURSIVE n AS (SELECT min(page_id) AS id, url FROM pages GROUP BY url), t AS (SELECT id, CASE WHEN id > 0 THEN (id - 1) // 3 END AS parent, (id * 7) % 10 AS ord FROM n),
+    w AS (SELECT id, 0 AS depth, [ord, id] AS k FROM t WHERE parent IS NULL UNION ALL SELECT t.id, depth + 1, k || [t.ord, t.id] FROM t JOIN w ON t.parent = w.id)
+    SELECT id, CAST(depth AS INTEGER) AS depth, row_number() OVER (ORDER BY k) - 1 AS position FROM w""")
+def topic_order(spark, d):
+    """A tree of pages as readers meet it: each before what is below it, at any depth."""
+    n = table(spark, d, "pages").groupBy("url").agg(F.min("page_id").alias("id"))
+    tree = n.select("id", F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 3)).alias("parent"), (F.col("id") * 7 % 10).alias("ord"))
+    return order.pre_order(tree).select("id", "depth", "position")
+
+
 # ---- index artefacts
 
 

@@ -8,6 +8,7 @@ from urllib.parse import urldefrag, urljoin
 from pyspark.sql import functions as F
 
 from quarrymill.operators import order as O
+from quarrymill.operators import registry as G
 from quarrymill.operators import retrieval as R_
 from quarrymill.operators import router
 from quarrymill.sources import crawl as W
@@ -143,3 +144,26 @@ def test_documents_with_short_and_long_questions(spark):
     corpus = spark.createDataFrame(texts, "ordinal long, search_text string")
     got = sorted(tuple(r) for r in R_.documents_with(corpus, spark.createDataFrame(asked, "query_id long, q string")).collect())
     assert got == sorted((i, o) for i, q in asked for o, t in texts if t and q in t)
+
+
+def test_pre_order_equals_recursion(spark):
+    """Forests with ties, deep chains, nodes that only a cycle leads to, and no rows."""
+    rows = [(0, None, 3), (1, None, 1), *((i, R.randrange(0, i), R.randrange(0, 3)) for i in range(2, 60)), (90, 91, 0), (91, 90, 0), (92, 404, 0)]
+    below = {}
+    for i, parent, o in rows:
+        below.setdefault(parent, []).append((o, i))
+    want = []
+
+    def walk(parent, depth):
+        for _, i in sorted(below.get(parent, [])):
+            want.append((i, depth))
+            walk(i, depth + 1)
+
+    walk(None, 0)
+    df = spark.createDataFrame(rows, "id long, parent long, ord int")
+    assert [(r["id"], r["depth"]) for r in O.pre_order(df).orderBy("position").collect()] == want
+    assert O.pre_order(df.limit(0)).count() == 0
+
+
+def test_a_missing_registry_is_empty(spark, tmp_path):
+    assert G.read_sources(spark, str(tmp_path / "none.csv")).count() == 0

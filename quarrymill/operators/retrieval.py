@@ -396,3 +396,22 @@ def eval_metrics(cases: DataFrame) -> DataFrame:
     at = lambda k: F.round(F.coalesce(F.avg(F.when(F.col("first_rank") <= k, 1.0).otherwise(0.0)), F.lit(0.0)), 6).alias(f"hit_at_{k}")
     mrr = F.round(F.coalesce(F.avg(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))), F.lit(0.0)), 6)
     return cases.agg(F.count("*").alias("total"), at(1), at(3), at(5), mrr.alias("mrr"))
+
+
+def eval_report(cases: DataFrame, errors: DataFrame, most: int = 10) -> DataFrame:
+    """``kind, position, name, value``: hits as percentages, the mean reciprocal rank, and the first misses and errors.
+
+    ``cases`` are ``(query_id, first_rank)``, ``errors`` ``(query_id, reason)``: questions that could not be asked. Both
+    are counted in full; ``most`` bounds the lists, which are the report's.
+    """
+    m = eval_metrics(cases).crossJoin(errors.agg(F.count("*").alias("errors"))).crossJoin(cases.agg(F.count_if(F.col("first_rank").isNull()).alias("misses")))  # one row each
+    percent = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
+    whole = lambda c: F.col(c).cast("string")
+    lines = [("asked", whole("total")), ("errors", whole("errors")), ("misses", whole("misses")), ("hit at 1", percent("hit_at_1")), ("hit at 3", percent("hit_at_3")), ("hit at 5", percent("hit_at_5")), ("mrr", F.format_string("%.3f", "mrr"))]
+    metrics = m.select(F.inline(F.array(*(F.struct(F.lit("metric").alias("kind"), F.lit(n).alias("position"), F.lit(name).alias("name"), v.alias("value")) for n, (name, v) in enumerate(lines, 1)))))
+
+    def listed(kind: str, rows: DataFrame) -> DataFrame:
+        first = rows.orderBy("query_id").limit(most)
+        return first.select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy("query_id")).alias("position"), F.col("query_id").cast("string").alias("name"), "value")
+
+    return metrics.unionByName(listed("miss", cases.filter("first_rank IS NULL").select("query_id", F.lit("not found").alias("value")))).unionByName(listed("error", errors.select("query_id", F.col("reason").alias("value"))))

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import text as X
 from quarrymill.operators import operations as O
-from quarrymill.operators import order, router, search_index
-from quarrymill.plans.catalogue import ORACLES, PRODUCTS, asked, corpus, query, table
+from quarrymill.operators import order, retrieval, router, search_index
+from quarrymill.plans.catalogue import CTE, EXPECTED, ORACLES, PRODUCTS, asked, cases, corpus, query, table
 from quarrymill.plans.more import dashboard_entries
 from quarrymill.sources import crawl as W
-from quarrymill.storage import new_path
+from quarrymill.storage import materialize, new_path
 from quarrymill.streaming import toollog
 
 # ---- the crawl
@@ -204,3 +204,21 @@ def call_result_stream(spark, d):
 def log_errors(spark, d):
     """Lines of the log that are no records, apart from those that are."""
     return toollog.read(spark, tool_log(spark, d), "errors")
+
+
+# ---- the evaluation report
+
+
+@query(f"""WITH {CTE}, {EXPECTED}, hit AS (SELECT query_id, min(rank) AS r FROM tp JOIN ex USING (query_id, ordinal) WHERE rank <= 5 GROUP BY query_id),
+    c AS (SELECT e.query_id, r FROM (SELECT DISTINCT query_id FROM ex) e LEFT JOIN hit USING (query_id)),
+    er AS (SELECT item_id AS query_id, 'no expected document' AS reason FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM ex)),
+    m AS (SELECT count(*) AS total, coalesce(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 0) AS h1, coalesce(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END), 0) AS h3, coalesce(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 0) AS h5, coalesce(avg(coalesce(1.0::DOUBLE / r, 0)), 0) AS mrr, count(*) FILTER (WHERE r IS NULL) AS misses, (SELECT count(*) FROM er) AS errors FROM c)
+    SELECT 'metric' AS kind, x.position, x.name, x.value FROM (SELECT unnest([{{position: 1, name: 'asked', value: total::VARCHAR}}, {{position: 2, name: 'errors', value: errors::VARCHAR}}, {{position: 3, name: 'misses', value: misses::VARCHAR}}, {{position: 4, name: 'hit at 1', value: printf('%.1f%%', 100 * h1::DOUBLE)}}, {{position: 5, name: 'hit at 3', value: printf('%.1f%%', 100 * h3::DOUBLE)}}, {{position: 6, name: 'hit at 5', value: printf('%.1f%%', 100 * h5::DOUBLE)}}, {{position: 7, name: 'mrr', value: printf('%.3f', mrr)}}]) AS x FROM m)
+    UNION ALL SELECT 'miss', CAST(row_number() OVER (ORDER BY query_id) AS INTEGER) AS position, query_id::VARCHAR, 'not found' FROM c WHERE r IS NULL QUALIFY position <= 10
+    UNION ALL SELECT 'error', CAST(row_number() OVER (ORDER BY query_id) AS INTEGER) AS position, query_id::VARCHAR, reason FROM er QUALIFY position <= 10""")
+def eval_report(spark, d):
+    """What an evaluation prints: percentages, the mean reciprocal rank, and the first ten misses and errors of one run."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    found = materialize(cases(spark, d), "cases")
+    errors = b.join(found.select("query_id"), "query_id", "left_anti").select("query_id", F.lit("no expected document").alias("reason"))
+    return retrieval.eval_report(found, errors)

@@ -71,7 +71,10 @@ def solve(scored: DataFrame, weights: np.ndarray, close: float) -> tuple[np.ndar
     """The move whose rates meet the targets with the least squared change, and the largest gap it leaves as a share of all tokens.
 
     A domain without a target (NaN) keeps its tokens; the others' budget is the
-    least at which none of them has to shrink. Rates are the projection of 1 + p.move;
+    least at which none of them has to shrink. This is projected gradient in its lazy
+    form, on the rates with documents weighed by their tokens: the gradient of half
+    the squared gaps for a document's rate is then p.gap, so steps against it add up
+    to p.move, and the rates are the projection (onto 0 and more) of 1 + p.move;
     the tokens they give are the gradient of a convex function, so each step goes
     along the gap, preconditioned by the curvature on rates over 0, as far (of
     some lengths, tried in one pass) as takes the function down most. It ends

@@ -101,9 +101,14 @@ def pack(units: Column, least: int = C.CHUNK_LEAST, most: int = C.CHUNK_MOST, ov
 
 
 def chunks(c: Column, least: int = C.CHUNK_LEAST, most: int = C.CHUNK_MOST, overlap: int = C.CHUNK_OVERLAP) -> Column:
-    """A section's text to the array of its chunks; null and blank texts have none."""
+    """A section's text to the array of its chunks; null and blank texts have none.
+
+    A text without code that fits into one chunk, whatever its paragraphs' sizes are rounded to, is one: most are.
+    """
     units = F.flatten(F.transform(code_units(blocks(c)), lambda u: split(u, most)))
-    return pack(units, least, most, overlap)
+    parts = paragraphs(c)
+    small = c.isNotNull() & ~c.contains("```") & ~c.contains("~~~") & (X.estimate_tokens(c) + F.size(F.split(c, r"(?U)\n\s*\n")) <= most)
+    return F.when(small, F.when(F.size(parts) > 0, F.array(F.array_join(parts, GAP))).otherwise(F.array().cast("array<string>"))).otherwise(pack(units, least, most, overlap))
 
 
 def heading_path(title: Column, path: Column) -> Column:

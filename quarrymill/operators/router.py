@@ -141,7 +141,7 @@ def route(sources: DataFrame, snapshot: DataFrame, entries: DataFrame, routes: R
     base = F.when(F.col("route") == TRANSCRIPT, F.col("resolved")).otherwise(F.col("url"))
     parsed = materialize(S.sections(docs.select("id", "format", "content", base.alias("url"), F.col("name").alias("title"), *DOCUMENT), keep=DOCUMENT, empty=True), "sections")
     rejects.append(reject(parsed.filter("n IS NULL"), "no parseable content", "resolved", "part"))
-    cut = parsed.filter("n IS NOT NULL").select("id", "n", "title", "anchor", "heading_path", *DOCUMENT, F.posexplode_outer(K.chunks(F.col("text"))).alias("chunk", "body"))
+    cut = materialize(parsed.filter("n IS NOT NULL").select("id", "n", "title", "anchor", "heading_path", *DOCUMENT, F.posexplode_outer(K.chunks(F.col("text"))).alias("chunk", "body")), "cut")
     cut = cut.withColumn("path", K.heading_path(F.col("title"), F.filter(F.split("heading_path", " > "), lambda x: x != "")))
     heading = F.when(F.size("path") > 0, F.element_at("path", F.greatest(F.size("path"), F.lit(1)))).otherwise(F.col("title"))
     version = F.coalesce("label", X.version_of(F.concat_ws(" ", "title", "resolved")))
@@ -154,7 +154,7 @@ def route(sources: DataFrame, snapshot: DataFrame, entries: DataFrame, routes: R
     # Dashboard entries are chunks as they are.
     shown = s.filter(F.col("route") == DASHBOARD).withColumn("slug", U.query_param(F.col("url"), "package"))
     entry = entries.filter("content <> ''").select("slug", "display_name", F.col("content").alias("said"), F.col("url").alias("at"))
-    met = shown.join(entry, "slug", "left").withColumn("package", F.regexp_replace("display_name", "^Ecosystem Dashboard - ", ""))
+    met = materialize(shown.join(entry, "slug", "left"), "entries").withColumn("package", F.regexp_replace("display_name", "^Ecosystem Dashboard - ", ""))
     rejects.append(reject(met.filter("said IS NULL AND slug = ''"), "no package named", "url"))
     rejects.append(reject(met.filter("said IS NULL AND slug <> ''"), "no dashboard entry", "url"))
     package = X.keyword_list(F.col("keywords"), F.col("package"))

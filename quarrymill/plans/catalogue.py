@@ -384,11 +384,11 @@ def idf(spark, d):
     return R.idf(R.postings(c), R.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def scores(spark, d):
-    c = corpus(spark, d)
-    posts = materialize(R.postings(c), "postings")
-    stats = R.stats_of(c, posts)
-    return R.bm25(asked(spark, d), posts, R.idf(posts, stats), stats)
+def scores(spark, d, depth=None):
+    """All pairs with a common term, or what can be among each query's best ``depth``."""
+    counts = materialize(R.token_counts(corpus(spark, d)), "counts")
+    stats = R.stats_of(counts)
+    return R.bm25(asked(spark, d), counts, R.idf(R.postings_of(counts), stats), stats, depth)
 
 
 @query(f"WITH {CTE} SELECT query_id, CAST(count(*) AS BIGINT) AS n, round(sum(score), 2) AS total FROM sc GROUP BY query_id")
@@ -398,7 +398,7 @@ def bm25_scores(spark, d):
 
 @query(f"WITH {CTE} SELECT query_id, ordinal, score, rank FROM tp WHERE rank <= 5")
 def bm25_topk(spark, d):
-    return R.bm25_topk(scores(spark, d), 5).select("query_id", "ordinal", "score", "rank")
+    return R.bm25_topk(scores(spark, d, 5), 5).select("query_id", "ordinal", "score", "rank")
 
 
 L2 = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6)"
@@ -546,7 +546,7 @@ def candidate_lists(spark, d):
 
 @query(f"WITH {HYBRID} SELECT query_id, ordinal, prepass, rank FROM pr")
 def lexical_prepass(spark, d):
-    top = R.bm25_topk(scores(spark, d), C.PREPASS_DEPTH)
+    top = R.bm25_topk(scores(spark, d, C.PREPASS_DEPTH), C.PREPASS_DEPTH)
     return R.lexical_prepass(asked(spark, d), corpus(spark, d), materialize(top, "bm25"), 150).drop("bm25")
 
 
@@ -562,7 +562,7 @@ def rerank(spark, d):
 
 @query(f"WITH {CTE}, u AS (SELECT tp.*, source || '/' || (doc_id % 97) AS url FROM tp JOIN documents ON ordinal = doc_id WHERE rank <= 50) SELECT query_id, ordinal, url FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY score DESC, rank) AS nth FROM u) WHERE nth <= 1")
 def url_dedup(spark, d):
-    top = R.bm25_topk(scores(spark, d), 50)
+    top = R.bm25_topk(scores(spark, d, 50), 50)
     urls = table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), F.concat("source", F.lit("/"), F.col("doc_id") % 97).alias("url"))
     rows = top.join(urls, "ordinal").withColumnsRenamed({"score": "rerank", "rank": "ord"})
     return R.dedup_urls(rows).select("query_id", "ordinal", "url")
@@ -585,7 +585,7 @@ EXPECTED = "ex AS (SELECT item_id AS query_id, doc_id AS ordinal FROM benchmark
 
 def cases(spark, d):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    return R.eval_cases(R.bm25_topk(scores(spark, d), 5), R.documents_with(corpus(spark, d), b))
+    return R.eval_cases(R.bm25_topk(scores(spark, d, 5), 5), R.documents_with(corpus(spark, d), b))
 
 
 @query(f"WITH {CTE}, {EXPECTED}, hit AS (SELECT query_id, min(rank) AS r FROM tp JOIN ex USING (query_id, ordinal) WHERE rank <= 5 GROUP BY query_id) SELECT e.query_id, hit.r AS first_rank FROM (SELECT DISTINCT query_id FROM ex) e LEFT JOIN hit USING (query_id)")
@@ -775,7 +775,7 @@ def candidates(*columns):
     """The best pairs by BM25, with the texts of query and document and the document's type."""
 
     def frame(spark, d):
-        top = R.bm25_topk(scores(spark, d), 5).select("query_id", "ordinal")
+        top = R.bm25_topk(scores(spark, d, 5), 5).select("query_id", "ordinal")
         c = corpus(spark, d).select("ordinal", F.col("search_text").alias("t"), F.col("doc_type").alias("d"))
         q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
         return top.join(c, "ordinal").join(q, "query_id").select((F.col("query_id") * (1 << 40) + F.col("ordinal") + 1000).cast("long").alias("k"), *columns)

@@ -425,9 +425,9 @@ def dense_topk(spark, d):
 def overlap_ratio(spark, d):
     """Share of a query's terms in each document that has one of them."""
     q = table(spark, d, "benchmark").select("item_id", F.array_distinct(X.tokens(F.col("text"))).alias("q"))
-    terms = q.select("item_id", F.size("q").alias("n"), F.explode("q").alias("term"))
-    t = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    return terms.join(t, "term").groupBy("item_id", "doc_id").agg(F.round(F.count("*") / F.any_value("n"), 6).alias("ratio"))
+    found = R.matches(q.select(F.col("item_id").alias("query_id"), F.explode("q").alias("term")), table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), "text"), "text")
+    sizes = q.groupBy("item_id").agg(F.max(F.size("q")).alias("n"))
+    return found.join(F.broadcast(sizes) if R.few(sizes) else sizes, F.col("query_id") == F.col("item_id")).select("item_id", F.col("ordinal").alias("doc_id"), F.round(F.col("n_q") / F.col("n"), 6).alias("ratio"))
 
 
 MATCH = literal("k long, q string, t string", (1, "sve perf", "sve2 notes"), (2, "sve2", "sve only"), (3, "a b", "b c"), (4, "sme sve", "sme sve2 sme2"), (5, "x", ""))

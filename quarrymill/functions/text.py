@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from quarrymill import config as C
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once: within a lambda, what is written twice is done for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def words_in(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -39,20 +44,27 @@ def ngrams(toks: Column, n: int) -> Column:
 
 
 def estimate_tokens(c: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?U)\w+|\S"), F.lit(0))
     return F.ceil(F.size(found) * F.lit(C.TOKENS_PER_WORD)).cast("long")
 
 
 def clean(c: Column) -> Column:
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
-    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Line ends, runs of blanks and of empty lines made one, ends trimmed. A clean text is only looked at."""
+
+    def cleaned(t: Column) -> Column:
+        t = F.regexp_replace(t, r"\r\n?", "\n")
+        t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+        return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+
+    blank = lambda x: F.rlike(x, F.lit(r"(?U)\s"))
+    has = lambda t, x: F.contains(t, F.lit(x))
+    unclean = lambda t: has(t, "\r") | has(t, "\t") | has(t, "  ") | has(t, "\n\n\n") | blank(F.substring(t, 1, 1)) | blank(F.right(t, F.lit(1)))
+    return let(F.coalesce(c, F.lit("")), lambda t: F.when(unclean(t), cleaned(t)).otherwise(t))
 
 
 def overlap_tail(c: Column, n: int) -> Column:
     """The last ``n`` words, or the text itself if it has no more."""
-    w = F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0))
-    return F.when(F.size(w) <= n, c).otherwise(F.array_join(F.slice(w, -n, n), " "))
+    return let(F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0)), lambda w: F.when(F.size(w) <= n, c).otherwise(F.array_join(F.slice(w, -n, n), " ")))
 
 
 def sentences(c: Column) -> Column:

@@ -52,25 +52,36 @@ def code_units(found: Column, near: int = C.CODE_CONTEXT) -> Column:
         code = state(F.array_append(kept, join(F.array(before, b.text, after))), takes_next)
         return F.when(a.taken, state(a.units, F.lit(False))).when(b.code, code).otherwise(state(F.array_append(a.units, b.text), F.lit(False)))
 
-    ahead = F.transform(found, lambda b, i: F.struct(b.code.alias("code"), b.text.alias("text"), F.get(found, i + 1).alias("next")))
-    return cleaned(F.aggregate(ahead, F.struct(none.alias("units"), F.lit(False).alias("taken")), step, lambda a: a.units))
+    ahead = lambda all_: F.transform(all_, lambda b, i: F.struct(b.code.alias("code"), b.text.alias("text"), F.get(all_, i + 1).alias("next")))
+    return cleaned(F.aggregate(X.let(found, ahead), F.struct(none.alias("units"), F.lit(False).alias("taken")), step, lambda a: a.units))
 
 
 def windows(c: Column, most: int) -> Column:
     """Runs of words that are about ``most`` tokens long."""
-    step, words = max(1, int(most / C.TOKENS_PER_WORD)), F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0))
-    starts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / step).cast("int"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i * step + 1, step), " "))
+    step = max(1, int(most / C.TOKENS_PER_WORD))
+    starts = lambda words: F.sequence(F.lit(0), F.floor((F.size(words) - 1) / step).cast("int"))
+    return X.let(F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0)), lambda words: F.transform(starts(words), lambda i: F.array_join(F.slice(words, i * step + 1, step), " ")))
 
 
 def split(c: Column, most: int = C.CHUNK_MOST) -> Column:
     """A text in parts of at most ``most`` tokens where it can be: paragraphs, else sentences, else words."""
-    fits = lambda t: X.estimate_tokens(t) <= most
+    return F.transform(sized_split(c, most), lambda u: u.text)
+
+
+def sized(text: Column, n: Column) -> Column:
+    return F.struct(text.alias("text"), n.alias("n"))
+
+
+def sized_split(c: Column, most: int = C.CHUNK_MOST) -> Column:
+    """``split`` as ``array<struct<text, n>>``, with tokens counted once."""
+    counted = lambda texts: F.transform(texts, lambda u: sized(u, X.estimate_tokens(u)))
     sentences = lambda p: cleaned(F.split(p, r"(?U)(?<=[.!?])\s+"))
-    by_sentence = lambda p: F.flatten(F.transform(sentences(p), lambda s: F.when(fits(s), F.array(s)).otherwise(windows(s, most))))
-    part = lambda p: F.when(fits(p), F.array(p)).when(F.contains(p, F.lit("```")), windows(p, most)).otherwise(by_sentence(p))
-    whole = X.clean(c)
-    return F.when(fits(whole), cleaned(F.array(whole))).otherwise(F.flatten(F.transform(paragraphs(whole), part)))
+    fitting = lambda t, n, larger: F.when(n <= most, F.array(sized(t, n))).otherwise(larger)
+    by_sentence = lambda p: F.flatten(F.transform(sentences(p), lambda s: X.let(X.estimate_tokens(s), lambda n: fitting(s, n, counted(windows(s, most))))))
+    larger = lambda p: F.when(F.contains(p, F.lit("```")), counted(windows(p, most))).otherwise(by_sentence(p))
+    part = lambda p: X.let(X.estimate_tokens(p), lambda n: fitting(p, n, larger(p)))
+    parts = lambda whole: F.flatten(F.transform(paragraphs(whole), part))
+    return X.let(X.clean(c), lambda whole: X.let(X.estimate_tokens(whole), lambda n: F.when(whole == "", F.slice(F.array(sized(whole, n)), 1, 0)).otherwise(fitting(whole, n, parts(whole)))))
 
 
 def pack(units: Column, least: int = C.CHUNK_LEAST, most: int = C.CHUNK_MOST, overlap: int = C.CHUNK_OVERLAP) -> Column:
@@ -78,16 +89,19 @@ def pack(units: Column, least: int = C.CHUNK_LEAST, most: int = C.CHUNK_MOST, ov
 
     A rest that is too short to stand alone goes to the chunk before it.
     """
+    return pack_sized(F.transform(units, lambda u: sized(u, X.estimate_tokens(u))), least, most, overlap)
+
+
+def pack_sized(units: Column, least: int, most: int, overlap: int) -> Column:
+    """``pack`` of ``array<struct<text, n>>``."""
     if overlap < 1:
         raise ValueError("chunks overlap by at least one word")
     none = F.array().cast("array<string>")
-    sized = F.transform(units, lambda u: F.struct(u.alias("text"), X.estimate_tokens(u).alias("n")))
 
     def step(a: Column, u: Column) -> Column:
-        now = F.array_join(a.now, GAP)
-        tail = X.overlap_tail(now, overlap)
         full = (F.size(a.now) > 0) & (a.n + u.n > most) & (a.n >= least)
-        flushed = F.struct(F.array_append(a.done, now).alias("done"), F.array(tail, u.text).alias("now"), (X.estimate_tokens(tail) + u.n).alias("n"))
+        begun = lambda now: lambda tail: F.struct(F.array_append(a.done, now).alias("done"), F.array(tail, u.text).alias("now"), (X.estimate_tokens(tail) + u.n).alias("n"))
+        flushed = X.let(F.array_join(a.now, GAP), lambda now: X.let(X.overlap_tail(now, overlap), begun(now)))
         return F.when(full, flushed).otherwise(F.struct(a.done.alias("done"), F.array_append(a.now, u.text).alias("now"), (a.n + u.n).alias("n")))
 
     def finish(a: Column) -> Column:
@@ -97,7 +111,7 @@ def pack(units: Column, least: int = C.CHUNK_LEAST, most: int = C.CHUNK_MOST, ov
         return F.when(F.size(a.now) == 0, a.done).when(small, joined).otherwise(F.array_append(a.done, rest))
 
     start = F.struct(none.alias("done"), none.alias("now"), F.lit(0).cast("long").alias("n"))
-    return F.aggregate(sized, start, step, finish)
+    return F.aggregate(units, start, step, finish)
 
 
 def chunks(c: Column, least: int = C.CHUNK_LEAST, most: int = C.CHUNK_MOST, overlap: int = C.CHUNK_OVERLAP) -> Column:
@@ -105,10 +119,12 @@ def chunks(c: Column, least: int = C.CHUNK_LEAST, most: int = C.CHUNK_MOST, over
 
     A text without code that fits into one chunk, whatever its paragraphs' sizes are rounded to, is one: most are.
     """
-    units = F.flatten(F.transform(code_units(blocks(c)), lambda u: split(u, most)))
-    parts = paragraphs(c)
-    small = c.isNotNull() & ~c.contains("```") & ~c.contains("~~~") & (X.estimate_tokens(c) + F.size(F.split(c, r"(?U)\n\s*\n")) <= most)
-    return F.when(small, F.when(F.size(parts) > 0, F.array(F.array_join(parts, GAP))).otherwise(F.array().cast("array<string>"))).otherwise(pack(units, least, most, overlap))
+    fenced = c.contains("```") | c.contains("~~~")
+    units = F.when(fenced, code_units(blocks(c))).otherwise(paragraphs(F.coalesce(c, F.lit(""))))
+    packed = pack_sized(F.flatten(F.transform(units, lambda u: sized_split(u, most))), least, most, overlap)
+    small = c.isNotNull() & ~fenced & (X.estimate_tokens(c) + F.size(F.split(c, r"(?U)\n\s*\n")) <= most)
+    one = X.let(paragraphs(c), lambda parts: F.when(F.size(parts) > 0, F.array(F.array_join(parts, GAP))).otherwise(F.array().cast("array<string>")))
+    return F.when(small, one).otherwise(packed)
 
 
 def heading_path(title: Column, path: Column) -> Column:

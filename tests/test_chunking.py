@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quarrymill.functions import text as X
 from quarrymill.operators import chunking as K
 from quarrymill.sources import sections as S
 
@@ -66,3 +67,13 @@ def test_chunk_text(spark):
 def test_tables_and_code_of_pages():
     page = "<body><h1>A</h1><table><tr><th>x</th><th>y z</th></tr><tr><td>1</td><td></td><td>2 <b>3</b></td></tr></table><pre>a\n b</pre></body>"
     assert S.html_sections(page) == [(["A"], "x | y z\n1 | 2 3\n\n```\na\n b\n```")]
+
+
+def test_a_section_is_cut_into_blocks_once(spark):
+    """Within a lambda, blocks that were written out again were cut again for every block of a section."""
+    plan = spark.createDataFrame([("a",)], "t string").select(K.chunks(F.col("t")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(K.FENCED) == 1
+    texts = ["a  b\r\n\r\n\r\n\r\nc\t d ", "\u00a0x\u2028", "a\n\nb", "", None, "a\x85", "\n\n\n", "x \n y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = lambda t: re.sub(r"^\s+|\s+$", "", re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", re.sub(r"\r\n?", "\n", t or ""))))
+    assert [r[0] for r in rows.select(X.clean(F.col("t"))).collect()] == [plain(t) for t in texts]

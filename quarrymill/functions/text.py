@@ -115,7 +115,8 @@ def redact(c: Column) -> Column:
 
 
 def denies_support(c: Column) -> Column:
-    return c.rlike("(?i)" + "|".join(C.NEGATIVE_SUPPORT))
+    """Each pattern has the word that a text is looked through for first."""
+    return F.lower(c).contains(C.DENIED) & c.rlike("(?i)" + "|".join(C.NEGATIVE_SUPPORT))
 
 
 def match_count(q: Column, d: Column) -> Column:

@@ -386,9 +386,7 @@ def idf(spark, d):
 
 def scores(spark, d, depth=None):
     """All pairs with a common term, or what can be among each query's best ``depth``."""
-    counts = materialize(R.token_counts(corpus(spark, d)), "counts")
-    stats = R.stats_of(counts)
-    return R.bm25(asked(spark, d), counts, R.idf(R.postings_of(counts), stats), stats, depth)
+    return R.bm25(asked(spark, d), *R.counted(asked(spark, d), corpus(spark, d), materialize), depth)
 
 
 @query(f"WITH {CTE} SELECT query_id, CAST(count(*) AS BIGINT) AS n, round(sum(score), 2) AS total FROM sc GROUP BY query_id")
@@ -546,8 +544,9 @@ def candidate_lists(spark, d):
 
 @query(f"WITH {HYBRID} SELECT query_id, ordinal, prepass, rank FROM pr")
 def lexical_prepass(spark, d):
-    top = R.bm25_topk(scores(spark, d, C.PREPASS_DEPTH), C.PREPASS_DEPTH)
-    return R.lexical_prepass(asked(spark, d), corpus(spark, d), materialize(top, "bm25"), 150).drop("bm25")
+    counted = R.counted(asked(spark, d), corpus(spark, d), materialize)
+    top = R.bm25_topk(R.bm25(asked(spark, d), *counted, C.PREPASS_DEPTH), C.PREPASS_DEPTH)
+    return R.lexical_prepass(asked(spark, d), corpus(spark, d), materialize(top, "bm25"), 150, counted[0]).drop("bm25")
 
 
 @query(f"WITH {HYBRID} SELECT query_id, ordinal, round(rrf, 9) AS rrf FROM fu")

@@ -121,8 +121,8 @@ def denies_support(c: Column) -> Column:
 
 def match_count(q: Column, d: Column) -> Column:
     """Query tokens in the document; a capability prefix also matches its numbered forms."""
-    numbered = lambda t: t.isin(C.CAPABILITY_PREFIXES) & F.exists(d, lambda x: x.rlike("^[a-z]+[0-9]+$") & (F.regexp_replace(x, "[0-9]+$", "") == t))
-    return F.size(F.filter(q, lambda t: F.array_contains(d, t) | numbered(t))).cast("long")
+    numbered = lambda d, t: t.isin(C.CAPABILITY_PREFIXES) & F.exists(d, lambda x: x.rlike("^[a-z]+[0-9]+$") & (F.regexp_replace(x, "[0-9]+$", "") == t))
+    return let(d, lambda d: F.size(F.filter(q, lambda t: F.array_contains(d, t) | numbered(d, t)))).cast("long")
 
 
 def numbered_prefixes(d: Column) -> Column:

@@ -774,10 +774,11 @@ def candidates(*columns):
     """The best pairs by BM25, with the texts of query and document and the document's type."""
 
     def frame(spark, d):
-        top = R.bm25_topk(scores(spark, d, 5), 5).select("query_id", "ordinal")
+        top = materialize(R.bm25_topk(scores(spark, d, 5), 5).select("query_id", "ordinal"), "best")
+        top = F.broadcast(top) if R.few(top) else top  # else all texts are shuffled
         c = corpus(spark, d).select("ordinal", F.col("search_text").alias("t"), F.col("doc_type").alias("d"))
         q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-        return top.join(c, "ordinal").join(q, "query_id").select((F.col("query_id") * (1 << 40) + F.col("ordinal") + 1000).cast("long").alias("k"), *columns)
+        return c.join(top, "ordinal").join(q, "query_id").select((F.col("query_id") * (1 << 40) + F.col("ordinal") + 1000).cast("long").alias("k"), *columns)
 
     return frame
 
